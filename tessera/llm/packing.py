@@ -26,24 +26,37 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrays as A
 
 END_ID = 1
-CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-WIDE_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The public pre-tokenizer pattern of the byte-level vocabulary, with the letters and numbers below U+0100.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+OTHER = re.compile("[^\x00-\x1b\x20-\xff]")
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "loss_tokens long"
 )
-_tokenizers: dict[str, "ChunkTokenizer"] = {}
+_tokenizers: dict[str, "PretokenMemory"] = {}
 
 
-class ChunkTokenizer:
-    """Token ids by the tokenizers library, remembered per run of white space with the word after it.
+class _Places(dict):
+    """Numbers keys in the order in which they are first asked for."""
 
-    The byte-level pre-tokenizer never joins a character with white space after it, so a text's ids are those of its runs one
-    after the other. Texts with white space beyond ASCII are given to the library whole. The memory is emptied when it has
-    grown beyond `most` runs.
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = k = len(self)
+        self.new.append(key)
+        return k
+
+
+class PretokenMemory:
+    """Token ids by the tokenizers library, remembered per pre-token, which is what the library encodes one by one.
+
+    Texts with a character that the pattern above doesn't classify are given to the library whole. The memory is emptied when
+    it has grown beyond `most` pre-tokens.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
@@ -51,45 +64,45 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = np.empty(1 << 20, np.uint32), np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64)
-        self.used = 0
-
-    def learn(self, chunks: list[str]) -> None:
-        for lo in range(0, len(chunks), 4096):
-            part = chunks[lo : lo + 4096]
-            for chunk, e in zip(part, self.model.encode_batch(part, add_special_tokens=False)):
-                k, n = len(self.place), len(e.ids)
-                while self.used + n > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-                if k >= len(self.starts):
-                    self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
-                self.place[chunk], self.starts[k], self.sizes[k] = k, self.used, n
-                self.ids[self.used : self.used + n] = e.ids
-                self.used += n
-
-    def encode(self, text: str) -> np.ndarray:
-        if WIDE_SPACE.search(text):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = CHUNK.findall(text)
-        if not chunks:
-            return np.empty(0, np.uint32)
-        try:
-            at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            if len(self.place) > self.most:
-                self.clear()
-            self.learn([c for c in dict.fromkeys(chunks) if c not in self.place])
-            at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
-
-
-def tokenizer(path: str) -> ChunkTokenizer:
+        self.places, self.used = _Places(), 0
+        self.ids, self.sizes, self.starts = np.empty(1 << 20, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def learn(self) -> None:
+        sizes, new = [], self.places.new
+        for lo in range(0, len(new), 8192):
+            ids = [e.ids for e in self.model.encode_batch_fast(new[lo : lo + 8192], add_special_tokens=False)]
+            sizes += map(len, ids)
+            flat = [i for x in ids for i in x]
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.places.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.places) > self.most:
+            self.clear()
+        known = [None if OTHER.search(t) else list(map(self.places.__getitem__, PRETOKEN.findall(t))) for t in texts]
+        if self.places.new:
+            self.learn()
+        out = []
+        for t, k in zip(texts, known):
+            if k is None:
+                out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32))
+                continue
+            at = np.array(k, np.int64)
+            sizes = self.sizes[at]
+            ends = np.cumsum(sizes)
+            out.append(self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
+        return out
+
+
+def tokenizer(path: str) -> PretokenMemory:
     """One for each worker process and file."""
     if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
+        _tokenizers[path] = PretokenMemory(path)
     return _tokenizers[path]
 
 
@@ -180,7 +193,7 @@ def first_sequence() -> int:
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, most_tokens: int = 2048, most_segments: int = 2048, most_loss: int = 2048, block: int = 2048
+    docs: DataFrame, vocabulary: str, most_tokens: int = 2048, most_segments: int = 2048, most_loss: int = 2048, block: int = 1024
 ) -> DataFrame:
     """One row per piece of a document. A document's ids are those of its text and then id 1; all of them bear loss.
 
@@ -211,8 +224,9 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for u in A.units(batches):
-            for i, text in zip(u.column("doc_id").to_pylist(), u.column("text").to_pylist()):
-                held.append((i, np.append(t.encode(text or ""), np.uint32(END_ID)).astype("<u4")))
+            texts = [x or "" for x in u.column("text").to_pylist()]
+            for i, ids in zip(u.column("doc_id").to_pylist(), t.encode(texts)):
+                held.append((i, np.append(ids, np.uint32(END_ID)).astype("<u4")))
             if len(held) >= block:
                 yield from pieces(False)
         yield from pieces(True)
@@ -221,7 +235,7 @@ def pack_documents(
 
 
 def pack_conversations(
-    turns: DataFrame, vocabulary: str, most_tokens: int = 2048, most_segments: int = 16, most_loss: int = 1536, block: int = 2048
+    turns: DataFrame, vocabulary: str, most_tokens: int = 2048, most_segments: int = 16, most_loss: int = 1536, block: int = 1024
 ) -> DataFrame:
     """Packs whole conversations (conv_id, turn, role, text); the assistant's tokens bear loss. One row per conversation:
     conv_id, tokens, loss_tokens, sequence_id, offset, oversize. Turns are counted per conversation before packing, so a
@@ -230,7 +244,7 @@ def pack_conversations(
     def measure(batches):
         t = tokenizer(vocabulary)
         for batch in batches:
-            n = [len(t.encode(x or "")) + 1 for x in batch.column("text").to_pylist()]
+            n = [len(x) + 1 for x in t.encode([x or "" for x in batch.column("text").to_pylist()])]
             m = [k if r == "assistant" else 0 for k, r in zip(n, batch.column("role").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), A.longs(n), A.longs(m)], ["conv_id", "n", "m"])
 
