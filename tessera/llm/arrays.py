@@ -111,7 +111,7 @@ def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     pw, inv = powers(len(h) + 1, seed)
     acc = np.zeros(len(h) + 1, U64)
     np.cumsum(h * pw[:-1], out=acc[1:])
-    return mix((acc[k:] - acc[:-k]) * inv[: len(h) - k + 1] + U64(k) * GOLD)
+    return mix((acc[k:] - acc[:-k]) * inv[: len(h) - k + 1] + U64(k * int(GOLD) % 2**64))
 
 
 def inside(first: np.ndarray, k: int) -> np.ndarray:
@@ -159,3 +159,21 @@ def crc_mod(ids: pa.Array, m: int) -> np.ndarray:
 
 def longs(x) -> pa.Array:
     return pa.array(np.asarray(x, np.int64))
+
+
+def row_keys(ids: pa.Array, text_hash: np.ndarray) -> np.ndarray:
+    """One key for a document's id and text; only rows that are alike in both share it."""
+    x = ids.fill_null(-1).to_numpy().view(np.uint64) * GOLD + ids.is_null().to_numpy(zero_copy_only=False)
+    return mix(text_hash + x)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Byte planes of the columns, so that small numbers compress; all columns are unsigned 64-bit."""
+    raw = b"".join(np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, n_columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True), np.uint8)
+    n = len(raw) // 8 // n_columns
+    return [np.ascontiguousarray(raw[i * 8 * n : (i + 1) * 8 * n].reshape(8, n).T).view(np.uint64).ravel() for i in range(n_columns)]

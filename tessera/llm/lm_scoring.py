@@ -49,12 +49,6 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h, np.insert(tail.astype(np.int64), at, 0), w.first + np.arange(len(w.first)), A.span_hashes(acc, w.off[:-1], w.off[1:])
 
 
-def row_keys(ids: pa.Array, text_hash: np.ndarray) -> np.ndarray:
-    """One key for a document's id and text; only rows that are alike in both share it."""
-    x = ids.fill_null(-1).to_numpy().view(np.uint64) * A.GOLD + ids.is_null().to_numpy(zero_copy_only=False)
-    return A.mix(text_hash + x)
-
-
 class Lexicon:
     """The frequent words: hashes in sorted order, with their counts, and ranks by count (the end token has rank 0)."""
 
@@ -176,18 +170,6 @@ def frequent_words(docs: DataFrame, most: int, per_unit: int = 65_536) -> tuple[
     return np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows])
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Byte planes of the columns, so that small numbers compress; all columns are unsigned 64-bit."""
-    raw = b"".join(np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def unpack(blob: bytes, n_columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True), np.uint8)
-    n = len(raw) // 8 // n_columns
-    return [np.ascontiguousarray(raw[i * 8 * n : (i + 1) * 8 * n].reshape(8, n).T).view(np.uint64).ravel() for i in range(n_columns)]
-
-
 def score_documents(docs: DataFrame, folds: int = 10, frequent: int = 65_536, rounds: int = 2) -> DataFrame:
     """Scores every document, learning from those whose crc32(doc_id as text) mod folds is not 0.
 
@@ -222,7 +204,7 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = 65_536, ro
     def send(batches):
         for u in A.units(batches, most=UNIT):
             h, tail, off, text_hash = tokens(u.column("text"))
-            keys = row_keys(u.column("doc_id"), text_hash)
+            keys = A.row_keys(u.column("doc_id"), text_hash)
             doc = np.repeat(np.arange(u.num_rows), np.diff(off))
             rare = words.ranks(h) == n_words
             h, tail, doc = h[rare], tail[rare], doc[rare]
@@ -236,15 +218,15 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = 65_536, ro
                 s = slice(cut[b], cut[b + 1])
                 if cut[b] < cut[b + 1]:
                     step = np.diff(doc[s], prepend=0)
-                    rows.append((b, pack(h[s], step * TAIL + tail[s]), pack(keys, learn)))
+                    rows.append((b, A.pack(h[s], step * TAIL + tail[s]), A.pack(keys, learn)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "words", "docs"])
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         hs, tails, owner, keys, learn, base = [], [], [], [], [], 0
         for words_blob, docs_blob in zip(table.column("words").to_pylist(), table.column("docs").to_pylist()):
-            h, x = unpack(words_blob, 2)
-            key_, flags = unpack(docs_blob, 2)
+            h, x = A.unpack(words_blob, 2)
+            key_, flags = A.unpack(docs_blob, 2)
             hs.append(h)
             tails.append((x % np.uint64(TAIL)).astype(np.int64))
             owner.append(np.cumsum(x // np.uint64(TAIL)).astype(np.int64) + base)
@@ -312,7 +294,7 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = 65_536, ro
             counted = [A.per_text(seen[rank], off), A.per_text(rank == n_words, off)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    u.column("doc_id"), pa.array(row_keys(u.column("doc_id"), text_hash).view(np.int64)),
+                    u.column("doc_id"), pa.array(A.row_keys(u.column("doc_id"), text_hash).view(np.int64)),
                     pa.array(A.crc_mod(u.column("doc_id"), folds) == 0), A.longs(np.diff(off)), *map(A.longs, counted), *map(pa.array, sums),
                 ],
                 ["doc_id", "row", "held_out", "n_tokens", "known", "rare", "logs", "score"],
