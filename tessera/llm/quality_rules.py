@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrays as A
 from .spread import vector_sum
 
-BUCKETS = 1 << 16
+BUCKETS, THRESHOLD = 1 << 16, -0.25
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -95,10 +95,8 @@ def trigram_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.
     return (np.zeros(BUCKETS), np.zeros(BUCKETS)) if total is None else (total[0], total[1])
 
 
-def quality_verdicts(
-    docs: DataFrame, labels: DataFrame, most_trusted: int = 20_000, threshold: float = -0.25, smoothing: float = 1.0
-) -> DataFrame:
-    """One row per document with the base counts, llr and kept.
+def llr_table(docs: DataFrame, labels: DataFrame, most_trusted: int = 20_000, smoothing: float = 1.0) -> np.ndarray:
+    """log p_trusted - log p_raw of every bucket.
 
     most_trusted: the classifier's trusted side learns from at most so many documents labelled good, those with the smallest
     hash of their id; the raw side counts all documents.
@@ -108,24 +106,38 @@ def quality_verdicts(
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_trusted)
     )
     raw, good = trigram_counts(docs, trusted)
-    table = np.zeros(BUCKETS)
-    if good.sum():
-        table = np.log((good + smoothing) / (good.sum() + smoothing * BUCKETS)) - np.log((raw + smoothing) / (raw.sum() + smoothing * BUCKETS))
+    if not good.sum():
+        return np.zeros(BUCKETS)
+    return np.log((good + smoothing) / (good.sum() + smoothing * BUCKETS)) - np.log((raw + smoothing) / (raw.sum() + smoothing * BUCKETS))
+
+
+def judged(texts: pa.Array, table: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    w = A.scan(texts)
+    c = base_counts(w)
+    code, at = trigram_buckets(w.data, w.off)
+    llr = np.diff(np.concatenate([[0.0], np.cumsum(table[code])])[at]) / np.maximum(np.diff(at), 1)
+    failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+    return c | {"base_failed": failed, "kept": ~failed & (llr >= threshold), "llr": llr}
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document with the base counts, the verdicts and llr."""
+    table = llr_table(docs, labels)
 
     def judge(batches):
         for u in A.units(batches):
-            w = A.scan(u.column("text"))
-            c = base_counts(w)
-            code, at = trigram_buckets(w.data, w.off)
-            acc = np.concatenate([[0.0], np.cumsum(table[code])])
-            llr = np.diff(acc[at]) / np.maximum(np.diff(at), 1)
-            failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
-            yield pa.RecordBatch.from_arrays(
-                [u.column("doc_id"), *map(A.longs, c.values()), pa.array(failed), pa.array(~failed & (llr >= threshold)), pa.array(llr)],
-                SCHEMA_NAMES,
-            )
+            found = judged(u.column("text"), table, threshold)
+            yield pa.RecordBatch.from_arrays([u.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, SCHEMA)
 
 
-SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_verdicts keeps."""
+    table = llr_table(docs, labels)
+
+    def sift(batches):
+        for u in A.units(batches):
+            yield u.filter(pa.array(judged(u.column("text"), table, threshold)["kept"]))
+
+    return docs.mapInArrow(sift, docs.schema)
