@@ -9,8 +9,8 @@ its own documents from the round's common parameters, and the parameters are ave
 the log-probabilities of all symbols by one matrix product per block of tokens.
 
 Word counts are exact over all training documents: frequent words (a bounded list) are counted in vectors, all other words
-travel once, packed in hash buckets, with the document they are in, so that the bucket that counts a word also returns each
-document's sum of log counts.
+travel once, packed in hash buckets, with the document they are in, so that the bucket that counts a word also returns, packed
+per unit of text, each document's sum of log counts.
 
 Edge cases: a null text counts as empty and has only the end token; a null id hashes as the empty text and gets a row of its
 own; repeated rows and rows with equal ids each count in the word counts and each get the score of their own text; an empty table gives an empty
@@ -33,6 +33,7 @@ SYMBOLS, INPUTS = OWN + TAIL, CONTEXT + TAIL + 1
 END = np.array([0x1234567890ABCDEF], np.uint64)[0]  # the end token's place among the word hashes
 ALPHA = 0.1
 UNIT = 4 << 20
+SENT = {"bucket": pa.int32(), "unit": pa.int64(), "words": pa.binary(), "docs": pa.binary(), "keys": pa.binary()}
 SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -213,46 +214,59 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = 65_536, ro
             h, tail, doc, bucket = h[order], tail[order], doc[order], bucket[order]
             learn = A.crc_mod(u.column("doc_id"), folds) != 0
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = []
+            unit = int(A.mix(np.array([keys.sum()], np.uint64)).view(np.int64)[0])
+            home, flags, rows = unit % buckets, A.pack(learn), []
             for b in range(buckets):
                 s = slice(cut[b], cut[b + 1])
-                if cut[b] < cut[b + 1]:
+                if cut[b] < cut[b + 1] or b == home:
                     step = np.diff(doc[s], prepend=0)
-                    rows.append((b, A.pack(h[s], step * TAIL + tail[s]), A.pack(keys, learn)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "words", "docs"])
+                    rows.append((b, unit, A.pack(h[s], step * TAIL + tail[s]), flags, A.pack(keys) if b == home else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SENT.values())], list(SENT))
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        hs, tails, owner, keys, learn, base = [], [], [], [], [], 0
-        for words_blob, docs_blob in zip(table.column("words").to_pylist(), table.column("docs").to_pylist()):
+        hs, tails, owner, learn, at = [], [], [], [], [0]
+        for words_blob, flags in zip(table.column("words").to_pylist(), table.column("docs").to_pylist()):
             h, x = A.unpack(words_blob, 2)
-            key_, flags = A.unpack(docs_blob, 2)
             hs.append(h)
             tails.append((x % np.uint64(TAIL)).astype(np.int64))
-            owner.append(np.cumsum(x // np.uint64(TAIL)).astype(np.int64) + base)
-            keys.append(key_)
-            learn.append(flags == 1)
-            base += len(key_)
-        h, tail, doc, keys, learn = map(np.concatenate, (hs, tails, owner, keys, learn))
+            owner.append(np.cumsum(x // np.uint64(TAIL)).astype(np.int64) + at[-1])
+            learn.append(A.unpack(flags, 1)[0] == 1)
+            at.append(at[-1] + len(learn[-1]))
+        h, tail, doc, learn = map(np.concatenate, (hs, tails, owner, learn))
         kinds, which = np.unique(h, return_inverse=True)
         c = np.bincount(which, weights=learn[doc], minlength=len(kinds))
         kind_tail = np.zeros(len(kinds), np.int64)
         kind_tail[which] = tail
-        logs = np.bincount(doc, weights=np.log10(c + ALPHA)[which], minlength=base)
-        known = np.bincount(doc, weights=c[which] > 0, minlength=base)
-        tokens_ = np.bincount(doc, minlength=base)
-        has = np.flatnonzero(tokens_)
+        logs = np.bincount(doc, weights=np.log10(c + ALPHA)[which], minlength=at[-1])
+        known = np.bincount(doc, weights=c[which] > 0, minlength=at[-1]).astype(np.int64)
+        rare = np.bincount(doc, minlength=at[-1])
+        sums = []
+        for lo, hi in zip(at, at[1:]):
+            has = np.flatnonzero(rare[lo:hi])
+            sums.append(A.pack(np.diff(has, prepend=0), logs[lo:hi][has].view(np.uint64), known[lo:hi][has], rare[lo:hi][has]))
         stats = np.stack([np.bincount(kind_tail, weights=c, minlength=TAIL), np.bincount(kind_tail, weights=c > 0, minlength=TAIL)])
-        one, rest = pa.array([stats.tobytes()], pa.binary()), [pa.nulls(1, t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64())]
-        names = ["row", "logs", "known", "rare", "stats"]
-        own = [pa.array(keys[has].view(np.int64)), pa.array(logs[has]), A.longs(known[has]), A.longs(tokens_[has]), pa.nulls(len(has), pa.binary())]
-        return pa.concat_tables([pa.Table.from_arrays(own, names), pa.Table.from_arrays([*rest, one], names)])
-
-    sent = docs.mapInArrow(send, "bucket int, words binary, docs binary")
-    answers = materialise(sent.groupBy("bucket").applyInArrow(answer, "row long, logs double, known long, rare long, stats binary"))
+        names = ["unit", "sums", "keys", "stats"]
+        own = [table.column("unit"), pa.array(sums, pa.binary()), table.column("keys"), pa.nulls(len(sums), pa.binary())]
+        one = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([stats.tobytes()], pa.binary())]
+        return pa.concat_tables([pa.Table.from_arrays(own, names), pa.Table.from_arrays(one, names)])
+
+    def combine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = A.unpack(next(k for k in table.column("keys").to_pylist() if k is not None), 1)[0]
+        logs, known, rare = np.zeros(len(keys)), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for blob in table.column("sums").to_pylist():
+            step, x, k, r = A.unpack(blob, 4)
+            doc = np.cumsum(step).astype(np.int64)
+            logs[doc] += x.view(np.float64)
+            known[doc] += k.astype(np.int64)
+            rare[doc] += r.astype(np.int64)
+        return pa.Table.from_arrays([pa.array(keys.view(np.int64)), pa.array(logs), pa.array(known), pa.array(rare)], ["row", "logs", "known", "rare"])
+
+    sent = docs.mapInArrow(send, "bucket int, unit long, words binary, docs binary, keys binary")
+    answers = materialise(sent.groupBy("bucket").applyInArrow(answer, "unit long, sums binary, keys binary, stats binary"))
     found = vector_sum(answers.filter("stats IS NOT NULL").select("stats"))
     rare = found[0].reshape(2, TAIL) if found else np.zeros((2, TAIL))
-    partial = answers.filter("stats IS NULL").groupBy("row").agg(*(F.sum(x).alias(f"p_{x}") for x in ("logs", "known", "rare")))
+    by_row = answers.filter("stats IS NULL").groupBy("unit").applyInArrow(combine, "row long, logs double, known long, rare long")
+    partial = by_row.groupBy("row").agg(*(F.sum(x).alias(f"p_{x}") for x in ("logs", "known", "rare")))
 
     # totals: N tokens, V words, and per shared symbol
     c = counts[:-1]
