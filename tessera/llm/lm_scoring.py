@@ -317,7 +317,7 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = 65_536, ro
     head = docs.mapInArrow(score, "doc_id long, row long, held_out boolean, n_tokens long, known long, rare long, logs double, score double")
     both = head.join(partial, "row", "left")
     # rows alike in id and text have sent their rare words together: each takes its own share of the sums
-    share_of = F.coalesce(F.col("rare") / F.col("p_rare"), F.lit(0.0))
+    share_of = F.coalesce(F.try_divide("rare", "p_rare"), F.lit(0.0))
     more = share_of * F.coalesce("p_logs", F.lit(0.0))
     return both.select(
         "doc_id", "held_out", "n_tokens",
