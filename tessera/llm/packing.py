@@ -61,38 +61,55 @@ class PretokenMemory:
 
         self.model, self.most = Tokenizer.from_file(path), most
         self.model.encode_special_tokens = True
+        self.begins = np.zeros(self.model.get_vocab_size(), bool)
+        self.begins[[i for token, i in self.model.get_vocab().items() if token[0] == "\u0120"]] = True
         self.clear()
 
     def clear(self) -> None:
         self.places, self.used = _Places(), 0
-        self.ids, self.sizes, self.starts = np.empty(1 << 20, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.starts, self.sizes = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+
+    def store(self, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Ids, end to end, of the pre-tokens numbered `at`."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while len(self.places) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[at], self.sizes[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
 
     def learn(self) -> None:
-        sizes, new = [], self.places.new
-        for lo in range(0, len(new), 8192):
-            ids = [e.ids for e in self.model.encode_batch_fast(new[lo : lo + 8192], add_special_tokens=False)]
-            sizes += map(len, ids)
-            flat = [i for x in ids for i in x]
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        new, base = self.places.new, len(self.places) - len(self.places.new)
+        # a space with letters: many in one text, as every id that begins such a pre-token, and no other, begins with a space
+        spaced = [k for k, p in enumerate(new) if p[0] == " " and p[1:2].isalpha()]
+        for lo in range(0, len(spaced), 4096):
+            at = spaced[lo : lo + 4096]
+            ids = np.array(self.model.encode_batch_fast(["".join([new[k] for k in at])], add_special_tokens=False)[0].ids, np.int64)
+            heads = np.flatnonzero(self.begins[ids])
+            self.store(np.array(at) + base, np.diff(np.append(heads, len(ids))), ids)
+        single = set(spaced)
+        other = [k for k in range(len(new)) if k not in single]
+        for lo in range(0, len(other), 4096):
+            at = other[lo : lo + 4096]
+            ids = [e.ids for e in self.model.encode_batch_fast([new[k] for k in at], add_special_tokens=False)]
+            self.store(np.array(at) + base, np.array([len(x) for x in ids]), np.array([i for x in ids for i in x]))
         self.places.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.places) > self.most:
             self.clear()
-        known = [None if OTHER.search(t) else list(map(self.places.__getitem__, PRETOKEN.findall(t))) for t in texts]
+        known = []
+        for t in texts:
+            found = None if OTHER.search(t) else PRETOKEN.findall(t)
+            known.append(None if found is None else np.fromiter(map(self.places.__getitem__, found), np.int64, len(found)))
         if self.places.new:
             self.learn()
         out = []
-        for t, k in zip(texts, known):
-            if k is None:
+        for t, at in zip(texts, known):
+            if at is None:
                 out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.array(k, np.int64)
             sizes = self.sizes[at]
             ends = np.cumsum(sizes)
             out.append(self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])

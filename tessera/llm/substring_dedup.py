@@ -26,22 +26,33 @@ from .spread import materialise, parts
 
 WINDOW, BLOCK = 50, 25
 LAST = 2**63 - 1  # stands for a null id
-UNIT = 4 << 20
+UNIT = 2 << 20
 
 
-def by_bucket(bucket: np.ndarray, buckets: int, columns: list[np.ndarray], place: np.ndarray, extra: np.ndarray | int, head: list[np.ndarray]):
-    """A batch with one row per bucket that has entries: the columns, and steps between places with a flag, packed; and the
-    head, which every row repeats."""
+SENT = {"bucket": pa.int32(), "unit": pa.int64(), "entries": pa.binary(), "head": pa.binary(), "keys": pa.binary()}
+SENT_SCHEMA = "bucket int, unit long, entries binary, head binary, keys binary"
+
+
+def by_bucket(
+    bucket: np.ndarray, buckets: int, columns: list[np.ndarray], place: np.ndarray, extra: np.ndarray | int, head: list[np.ndarray],
+    unit: int = 0, keys: bytes | None = None,
+) -> pa.RecordBatch:
+    """One row per bucket that has entries: the columns, and steps between places with a flag, packed; and the head, which every
+    row repeats. The row of one bucket, which is there in any case, carries `keys`."""
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     flag = np.broadcast_to(np.asarray(extra, np.int64), place.shape)
-    head_blob, rows = A.pack(*head), []
-    for b in np.flatnonzero(np.diff(cut)):
+    head_blob, rows, home = A.pack(*head), [], unit % buckets if keys else -1
+    for b in range(buckets):
         at = order[cut[b] : cut[b + 1]]
-        step = np.diff(place[at], prepend=0)
-        rows.append((int(b), A.pack(*(c[at] for c in columns), step * 2 + flag[at]), head_blob))
-    kinds = (pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "entries", "head"])
+        if len(at) or b == home:
+            step = np.diff(place[at], prepend=0)
+            rows.append((b, unit, A.pack(*(c[at] for c in columns), step * 2 + flag[at]), head_blob, keys if b == home else None))
+    return sent_batch(rows)
+
+
+def sent_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(SENT.values())], list(SENT))
 
 
 def read_buckets(table: pa.Table, columns: int, head: int):
@@ -57,7 +68,7 @@ def read_buckets(table: pa.Table, columns: int, head: int):
 
 def probe_hits(docs: DataFrame) -> DataFrame:
     """(doc, at): the places, by word, where a probe met a block elsewhere, or a block was met; doc is the id or LAST."""
-    buckets = parts(docs.sparkSession)
+    buckets = 2 * parts(docs.sparkSession)
 
     def probe(batches):
         for u in A.units(batches, most=UNIT):
@@ -86,11 +97,7 @@ def probe_hits(docs: DataFrame) -> DataFrame:
             s = np.flatnonzero(answered)
             if len(s):  # answers travel too, marked by a bucket number of their own
                 doc = w.doc_of[at[s]]
-                local = pa.RecordBatch.from_arrays(
-                    [pa.array([buckets + int(ids[0] % np.uint64(buckets))], pa.int32()), pa.array([A.pack(doc, at[s] - w.first[doc])], pa.binary()), pa.array([A.pack(ids)], pa.binary())],
-                    ["bucket", "entries", "head"],
-                )
-                yield local
+                yield sent_batch([(buckets + int(ids[0] % np.uint64(buckets)), 0, A.pack(doc, at[s] - w.first[doc]), A.pack(ids), None)])
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() >= buckets:
@@ -117,12 +124,12 @@ def probe_hits(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(ids.view(np.int64)), pa.array(at.astype(np.int32))], ["doc", "at"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(probe, "bucket int, entries binary, head binary").groupBy("bucket").applyInArrow(meet, "doc long, at int")
+    return d.mapInArrow(probe, SENT_SCHEMA).groupBy("bucket").applyInArrow(meet, "doc long, at int")
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(row, at): starts of the windows whose sequence of words starts in a document with a smaller id too."""
-    buckets = parts(docs.sparkSession)
+    """(row, starts): packed starts of the windows whose sequence of words starts in a document with a smaller id too."""
+    buckets = 2 * parts(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
     near = hits.groupBy("doc").agg(F.collect_list("at").alias("hits"))
 
@@ -156,49 +163,49 @@ def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
             known[order] = ids[doc[order]] > least
             keys = A.row_keys(u.column("doc_id"), A.span_hashes(A.prefix(w.data), w.off[:-1], w.off[1:]))
             bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            head = [ids.view(np.uint64), keys, w.counts]
+            unit = int(A.mix(np.array([keys.sum()], np.uint64)).view(np.int64)[0])
             s = np.flatnonzero(~known)
-            yield by_bucket(bucket[s], buckets, [h[s], check[s]], at[s], 0, head)
+            head = [np.diff(ids.view(np.uint64), prepend=np.uint64(0)), w.counts]
+            yield by_bucket(bucket[s], buckets, [h[s], check[s]], at[s], 0, head, unit, A.pack(keys, w.counts))
             s = np.flatnonzero(known)
             if len(s):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([buckets + int(keys[0] % np.uint64(buckets))], pa.int32()), pa.array([A.pack(doc[s], at[s] - w.first[doc[s]])], pa.binary()), pa.array([A.pack(keys)], pa.binary())],
-                    ["bucket", "entries", "head"],
-                )
+                yield sent_batch([(buckets + unit % buckets, unit, A.pack(np.diff(at[s], prepend=0)), None, None)])
 
     def judge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         if key[0].as_py() >= buckets:
-            for e, h in zip(table.column("entries").to_pylist(), table.column("head").to_pylist()):
-                doc, place = A.unpack(e, 2)
-                rows.append(A.unpack(h, 1)[0][doc.astype(np.int64)])
-                at.append(place.astype(np.int64))
-        else:
-            (h, check, place, _, unit), heads = read_buckets(table, 2, 3)
-            ids, keys, starts = np.empty(len(h), np.int64), np.empty(len(h), np.uint64), np.empty(len(h), np.int64)
-            cut = np.searchsorted(unit, np.arange(len(heads) + 1))
-            for k, (id_, key_, counts) in enumerate(heads):
-                s = slice(cut[k], cut[k + 1])
-                off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-                doc = np.searchsorted(off, place[s], side="right") - 1
-                ids[s], keys[s], starts[s] = id_.view(np.int64)[doc], key_[doc], place[s] - off[doc]
+            return pa.Table.from_arrays([table.column(c) for c in ("unit", "entries", "keys")], ["unit", "places", "keys"])
+        (h, check, place, _, unit), heads = read_buckets(table, 2, 2)
+        ids = np.empty(len(h), np.int64)
+        cut = np.searchsorted(unit, np.arange(len(heads) + 1))
+        for k, (steps, counts) in enumerate(heads):
+            s = slice(cut[k], cut[k + 1])
+            off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+            ids[s] = np.cumsum(steps, dtype=np.uint64).view(np.int64)[np.searchsorted(off, place[s], side="right") - 1]
+        gone = np.zeros(len(h), bool)
+        if len(h):
             order = np.lexsort((ids, check, h))
             hs, cs = h[order], check[order]
             new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])])
             least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone = order[ids[order] > least]
-            rows.append(keys[gone])
-            at.append(starts[gone])
-        rows, at = np.concatenate(rows), np.concatenate(at)
-        # one row a document: its starts, as steps
-        order = np.lexsort((at, rows))
-        rows, at = rows[order], at[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.empty(0, np.int64)
-        blobs = [A.pack(np.diff(x, prepend=0)) for x in np.split(at, first[1:])] if len(rows) else []
-        return pa.Table.from_arrays([pa.array(rows[first].view(np.int64)), pa.array(blobs, pa.binary())], ["row", "starts"])
-
-    sent = d.join(near, "doc").select("doc_id", "doc", "text", "hits").mapInArrow(extend, "bucket int, entries binary, head binary")
-    return sent.groupBy("bucket").applyInArrow(judge, "row long, starts binary")
+            gone[order] = ids[order] > least
+        blobs = []
+        for k in range(len(heads)):
+            s = slice(cut[k], cut[k + 1])
+            blobs.append(A.pack(np.diff(place[s][gone[s]], prepend=0)))
+        return pa.Table.from_arrays([table.column("unit"), pa.array(blobs, pa.binary()), table.column("keys")], ["unit", "places", "keys"])
+
+    def by_row(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, counts = A.unpack(next(k for k in table.column("keys").to_pylist() if k is not None), 2)
+        off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+        at = np.sort(np.concatenate([np.cumsum(A.unpack(b, 1)[0]).astype(np.int64) for b in table.column("places").to_pylist()]))
+        cut = np.searchsorted(at, off)
+        docs_ = np.flatnonzero(np.diff(cut))
+        blobs = [A.pack(np.diff(at[cut[k] : cut[k + 1]] - off[k], prepend=0)) for k in docs_]
+        return pa.Table.from_arrays([pa.array(keys[docs_].view(np.int64)), pa.array(blobs, pa.binary())], ["row", "starts"])
+
+    sent = d.join(near, "doc").select("doc_id", "doc", "text", "hits").mapInArrow(extend, SENT_SCHEMA)
+    places = sent.groupBy("bucket").applyInArrow(judge, "unit long, places binary, keys binary")
+    return places.groupBy("unit").applyInArrow(by_row, "row long, starts binary")
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
