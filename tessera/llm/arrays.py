@@ -37,7 +37,7 @@ def powers(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(seed)
     if have is None or len(have[0]) < n:
         base = (STEP + 2 * 0xD1B54A32D192ED03 * seed) % 2**64 | 1
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         have = []
         for m in (base, pow(base, -1, 2**64)):
             row = np.full(size, m, U64)

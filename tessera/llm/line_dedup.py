@@ -14,7 +14,7 @@ counts; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .spread import materialise
 
@@ -57,16 +57,27 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
         by, depth = ["rank", "rank2"], depth + d
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once, also where `use` needs it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def drop_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines (lines with a word) and n_removed."""
     gone = repeated_runs(docs, min_lines).select(*KEY, F.explode(F.sequence("k", F.col("k") + min_lines - 1)).alias("k"))
     gone = gone.groupBy(*KEY).agg(F.collect_set("k").alias("gone"))
     d = keyed(docs).join(gone, KEY, "left")
-    d = d.withColumn("lines", F.split("text", "\n"))
-    full = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
-    d = d.withColumn("full", full)
-    out = F.transform("gone", lambda k: F.get("full", k))
-    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(out, i)), "\n")
+
+    def with_words(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+
+    def without(lines: Column, full: Column) -> Column:
+        out = F.transform("gone", lambda k: F.get(full, k))
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out), lambda i: F.get(lines, i)), "\n")
+
+    kept = let(F.split("text", "\n"), lambda lines: let(with_words(lines), lambda full: without(lines, full)))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    counts = [F.coalesce(F.size("full"), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")]
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
+    counts = [F.coalesce(n_lines, F.lit(0)), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))]
+    counts = [c.cast("long").alias(name) for c, name in zip(counts, ("n_lines", "n_removed"))]
     return d.select(*(text.alias("text") if c == "text" else c for c in docs.columns), *counts)

@@ -26,7 +26,7 @@ from .spread import materialise, parts
 
 WINDOW, BLOCK = 50, 25
 LAST = 2**63 - 1  # stands for a null id
-UNIT = 2 << 20
+UNIT = 1 << 20
 
 
 SENT = {"bucket": pa.int32(), "unit": pa.int64(), "entries": pa.binary(), "head": pa.binary(), "keys": pa.binary()}
