@@ -17,6 +17,8 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -26,193 +28,181 @@ from .spread import materialise, parts
 
 WINDOW, BLOCK = 50, 25
 LAST = 2**63 - 1  # stands for a null id
-UNIT = 1 << 20
+UNIT_WORDS = 1_000_000  # entries of so many words are packed together
+
 
+SENT = {"bucket": pa.int32(), "unit": pa.int64(), "entries": pa.binary(), "keys": pa.binary()}
+SENT_SCHEMA = "bucket int, unit long, entries binary, keys binary"
+PLACES_SCHEMA = "unit long, places binary, keys binary"
 
-SENT = {"bucket": pa.int32(), "unit": pa.int64(), "entries": pa.binary(), "head": pa.binary(), "keys": pa.binary()}
-SENT_SCHEMA = "bucket int, unit long, entries binary, head binary, keys binary"
 
+def gathered(pieces: Iterator[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+    """Joins pieces until they hold UNIT_WORDS words: `at` and `counts` number the words of the whole unit."""
+    held, words = [], 0
+    for piece in pieces:
+        held.append(piece | {"at": piece["at"] + words})
+        words += int(piece["counts"].sum())
+        if words >= UNIT_WORDS:
+            yield {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+            held, words = [], 0
+    if held:
+        yield {k: np.concatenate([x[k] for x in held]) for k in held[0]}
 
-def by_bucket(
-    bucket: np.ndarray, buckets: int, columns: list[np.ndarray], place: np.ndarray, extra: np.ndarray | int, head: list[np.ndarray],
-    unit: int = 0, keys: bytes | None = None,
-) -> pa.RecordBatch:
-    """One row per bucket that has entries: the columns, and steps between places with a flag, packed; and the head, which every
-    row repeats. The row of one bucket, which is there in any case, carries `keys`."""
+
+def by_bucket(h: np.ndarray, buckets: int, columns: list[np.ndarray], x: dict[str, np.ndarray], local: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket that has entries: `columns` and steps between places, packed. The row of one bucket, which is there
+    in any case, carries the keys and word counts of the unit's documents; a row beyond the buckets carries the places that the
+    unit has answered itself."""
+    unit = int(A.mix(np.array([x["keys"].sum()], np.uint64)).view(np.int64)[0])
+    bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    flag = np.broadcast_to(np.asarray(extra, np.int64), place.shape)
-    head_blob, rows, home = A.pack(*head), [], unit % buckets if keys else -1
+    rows = [(buckets + unit % buckets, unit, A.pack(np.diff(local, prepend=0)), None)] if len(local) else []
     for b in range(buckets):
         at = order[cut[b] : cut[b + 1]]
-        if len(at) or b == home:
-            step = np.diff(place[at], prepend=0)
-            rows.append((b, unit, A.pack(*(c[at] for c in columns), step * 2 + flag[at]), head_blob, keys if b == home else None))
-    return sent_batch(rows)
+        if len(at) or b == unit % buckets:
+            keys = A.pack(x["keys"], x["counts"]) if b == unit % buckets else None
+            rows.append((b, unit, A.pack(*(c(at) for c in columns)), keys))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(SENT.values())], list(SENT))
 
 
-def sent_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(SENT.values())], list(SENT))
+def answers(table: pa.Table, columns: int, found) -> pa.Table:
+    """Places per row of a bucket. found: from the columns, end to end, which entries are answered; the last column, which it
+    doesn't get, holds the steps between places."""
+    parts_ = [A.unpack(e, columns + 1) for e in table.column("entries").to_pylist()]
+    cut = np.cumsum([0, *(len(p[0]) for p in parts_)])
+    ok = found(*(np.concatenate(c) for c in list(zip(*parts_))[:columns]), cut)
+    blobs = [A.pack(np.diff(np.cumsum(p[-1]).astype(np.int64)[ok[lo:hi]], prepend=0)) for p, lo, hi in zip(parts_, cut, cut[1:])]
+    return pa.Table.from_arrays([table.column("unit"), pa.array(blobs, pa.binary()), table.column("keys")], ["unit", "places", "keys"])
+
+
+def passed_on(table: pa.Table) -> pa.Table:
+    return pa.Table.from_arrays([table.column(c) for c in ("unit", "entries", "keys")], ["unit", "places", "keys"])
+
 
+def per_document(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """(key, places): packed places per document, from the packed places of a unit."""
+    keys, counts = A.unpack(next(k for k in table.column("keys").to_pylist() if k is not None), 2)
+    off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+    at = np.sort(np.concatenate([np.cumsum(A.unpack(b, 1)[0]).astype(np.int64) for b in table.column("places").to_pylist()]))
+    cut = np.searchsorted(at, off)
+    docs = np.flatnonzero(np.diff(cut))
+    blobs = [A.pack(np.diff(at[cut[k] : cut[k + 1]] - off[k], prepend=0)) for k in docs]
+    return pa.Table.from_arrays([pa.array(keys[docs].view(np.int64)), pa.array(blobs, pa.binary())], ["key", "places"])
 
-def read_buckets(table: pa.Table, columns: int, head: int):
-    """The entries of a bucket's rows end to end: columns, place in its unit, flag, and the unit's number; and the heads."""
-    out, heads = [], []
-    for k, (e, h) in enumerate(zip(table.column("entries").to_pylist(), table.column("head").to_pylist())):
-        *cols, x = A.unpack(e, columns + 1)
-        x = x.astype(np.int64)
-        out.append([*cols, np.cumsum(x >> 1), x & 1, np.full(len(x), k)])
-        heads.append(A.unpack(h, head))
-    return [np.concatenate(c) for c in zip(*out)], heads
+
+def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of equal rows in sorted columns, and the number of its run for each row."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def probe_hits(docs: DataFrame) -> DataFrame:
-    """(doc, at): the places, by word, where a probe met a block elsewhere, or a block was met; doc is the id or LAST."""
-    buckets = 2 * parts(docs.sparkSession)
+    """(key, places): per document, by id or LAST, the packed places where a probe met a block, or a block was met."""
+    buckets = parts(docs.sparkSession)
 
-    def probe(batches):
-        for u in A.units(batches, most=UNIT):
+    def pieces(batches):
+        for u in A.units(batches):
             w = A.scan(u.column("text"))
             at = np.flatnonzero(A.inside(w.first, BLOCK))
-            if not len(at):
-                continue
-            h = A.window_hashes(A.word_hashes(w), BLOCK)[at]
+            h = A.window_hashes(A.word_hashes(w), BLOCK)[at] if len(at) else np.empty(0, np.uint64)
             anchor = (at - np.repeat(w.first[:-1], w.counts)[at]) % BLOCK == 0
+            yield {"h": h, "anchor": anchor, "at": at, "keys": u.column("doc_id").fill_null(LAST).to_numpy().view(np.uint64), "counts": w.counts}
+
+    def probe(batches):
+        for x in gathered(pieces(batches)):
+            h, anchor, at = x["h"], x["anchor"], x["at"]
             # places that this unit answers: their hash is that of a block here, and occurs twice or more here
             order = np.argsort(h)
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            first = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            several = np.diff(np.append(first, len(h))) > 1
-            has_block = np.bitwise_or.reduceat(anchor[order], first)
-            answered = np.zeros(len(h), bool)
-            answered[order] = (several & has_block)[group]
-            sent = ~answered
-            sent[order[first]] = True  # one of each answered hash travels as a block
-            bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            ids = u.column("doc_id").fill_null(LAST).to_numpy().view(np.uint64)
-            head = [np.diff(ids, prepend=np.uint64(0)), w.counts]
+            first, run = runs_of(h[order])
+            answered, sent = np.zeros(len(h), bool), np.ones(len(h), bool)
+            if len(h):
+                several = np.diff(np.append(first, len(h))) > 1
+                answered[order] = (several & np.bitwise_or.reduceat(anchor[order], first))[run]
+                sent = ~answered
+                sent[order[first]] = True  # one of each answered hash travels, as a block
             s = np.flatnonzero(sent)
-            yield by_bucket(bucket[s], buckets, [h[s] & np.uint64(0xFFFFFFFF)], at[s], anchor[s] | answered[s], head)
-            s = np.flatnonzero(answered)
-            if len(s):  # answers travel too, marked by a bucket number of their own
-                doc = w.doc_of[at[s]]
-                yield sent_batch([(buckets + int(ids[0] % np.uint64(buckets)), 0, A.pack(doc, at[s] - w.first[doc]), A.pack(ids), None)])
+            h, flag, place = h[s], (anchor | answered)[s], at[s]
+            columns = [lambda i: h[i] & np.uint64(0xFFFFFFFF), lambda i: flag[i], lambda i: np.diff(place[i], prepend=0)]
+            yield by_bucket(h, buckets, columns, x, at[answered])
 
-    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        if key[0].as_py() >= buckets:
-            ids, at = [], []
-            for e, h in zip(table.column("entries").to_pylist(), table.column("head").to_pylist()):
-                doc, place = A.unpack(e, 2)
-                ids.append(A.unpack(h, 1)[0][doc.astype(np.int64)])
-                at.append(place)
-            ids, at = np.concatenate(ids), np.concatenate(at)
-        else:
-            (h, place, block, unit), heads = read_buckets(table, 1, 2)
+    def met(h: np.ndarray, block: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        ok = np.zeros(len(h), bool)
+        if len(h):
             order = np.argsort(h)
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            first = np.flatnonzero(new)
-            ok = (np.diff(np.append(first, len(h))) > 1) & (np.bitwise_or.reduceat(block[order], first) > 0)
-            hit = np.sort(order[ok[np.cumsum(new) - 1]])
-            ids, at = np.empty(len(hit), np.uint64), np.empty(len(hit), np.int64)
-            cut = np.searchsorted(unit[hit], np.arange(len(heads) + 1))
-            for k, (steps, counts) in enumerate(heads):
-                s = slice(cut[k], cut[k + 1])
-                off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-                doc = np.searchsorted(off, place[hit[s]], side="right") - 1
-                ids[s], at[s] = np.cumsum(steps, dtype=np.uint64)[doc], place[hit[s]] - off[doc]
-        return pa.Table.from_arrays([pa.array(ids.view(np.int64)), pa.array(at.astype(np.int32))], ["doc", "at"])
+            first, run = runs_of(h[order])
+            several = np.diff(np.append(first, len(h))) > 1
+            ok[order] = (several & (np.bitwise_or.reduceat(block[order], first) > 0))[run]
+        return ok
+
+    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return passed_on(table) if key[0].as_py() >= buckets else answers(table, 2, met)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(probe, SENT_SCHEMA).groupBy("bucket").applyInArrow(meet, "doc long, at int")
+    found = d.mapInArrow(probe, SENT_SCHEMA).groupBy("bucket").applyInArrow(meet, PLACES_SCHEMA)
+    return found.groupBy("unit").applyInArrow(per_document, "key long, places binary")
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(row, starts): packed starts of the windows whose sequence of words starts in a document with a smaller id too."""
-    buckets = 2 * parts(docs.sparkSession)
+    """(key, places): packed starts of the windows whose sequence of words starts in a document with a smaller id too, by the
+    key of the document's id and text."""
+    buckets = parts(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    near = hits.groupBy("doc").agg(F.collect_list("at").alias("hits"))
+    near = hits.groupBy("key").agg(F.collect_list("places").alias("hits")).withColumnRenamed("key", "doc")
 
-    def extend(batches):
-        for u in A.units(batches, most=UNIT):
+    def pieces(batches):
+        for u in A.units(batches):
             w = A.scan(u.column("text"))
-            ok = A.inside(w.first, WINDOW)
-            if not ok.any():
-                continue
-            lists = u.column("hits")
-            hit_doc = np.repeat(np.arange(u.num_rows), np.diff(lists.offsets.to_numpy()))
-            hit = w.first[hit_doc] + lists.flatten().to_numpy()
-            lo = np.maximum(hit - (WINDOW - BLOCK) + 0, w.first[hit_doc])
-            step = np.zeros(len(w.starts) + 1, np.int64)
-            lo, hi = np.minimum(lo, len(w.starts)), np.minimum(hit + 1, len(w.starts))
-            np.add.at(step, lo, 1)
-            np.subtract.at(step, hi, 1)
+            n, ok = len(w.starts), A.inside(w.first, WINDOW)
+            hit = [w.first[k] + np.cumsum(A.unpack(b, 1)[0]).astype(np.int64) for k, x in enumerate(u.column("hits").to_pylist()) for b in x]
+            hit = np.concatenate(hit) if hit else np.empty(0, np.int64)
+            step = np.zeros(n + 1, np.int64)  # starts of the windows that hold a hit's block
+            np.add.at(step, np.minimum(np.maximum(hit - (WINDOW - BLOCK), 0), n), 1)
+            np.subtract.at(step, np.minimum(hit + 1, n), 1)
             at = np.flatnonzero((np.cumsum(step)[: len(ok)] > 0) & ok)
-            if not len(at):
-                continue
-            h = A.window_hashes(A.word_hashes(w), WINDOW)[at]
-            check = A.window_hashes(A.word_hashes(w, 1), WINDOW, 1)[at] & np.uint64(0xFFFF)
-            doc = w.doc_of[at]
-            ids = u.column("doc").to_numpy()
-            # in this unit: the smallest document of each sequence; only its places travel
-            order = np.lexsort((ids[doc], check, h))
-            hs, cs = h[order], check[order]
-            new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])])
-            least = ids[doc[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
-            known = np.zeros(len(at), bool)
-            known[order] = ids[doc[order]] > least
+            h, check = ((A.window_hashes(A.word_hashes(w, seed), WINDOW, seed)[at] if len(at) else np.empty(0, np.uint64)) for seed in (0, 1))
             keys = A.row_keys(u.column("doc_id"), A.span_hashes(A.prefix(w.data), w.off[:-1], w.off[1:]))
-            bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            unit = int(A.mix(np.array([keys.sum()], np.uint64)).view(np.int64)[0])
-            s = np.flatnonzero(~known)
-            head = [np.diff(ids.view(np.uint64), prepend=np.uint64(0)), w.counts]
-            yield by_bucket(bucket[s], buckets, [h[s], check[s]], at[s], 0, head, unit, A.pack(keys, w.counts))
-            s = np.flatnonzero(known)
-            if len(s):
-                yield sent_batch([(buckets + unit % buckets, unit, A.pack(np.diff(at[s], prepend=0)), None, None)])
+            yield {"h": h, "check": check & np.uint64(0xFFFF), "at": at, "ids": u.column("doc").to_numpy()[w.doc_of[at]], "keys": keys, "counts": w.counts}
 
-    def judge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        if key[0].as_py() >= buckets:
-            return pa.Table.from_arrays([table.column(c) for c in ("unit", "entries", "keys")], ["unit", "places", "keys"])
-        (h, check, place, _, unit), heads = read_buckets(table, 2, 2)
-        ids = np.empty(len(h), np.int64)
-        cut = np.searchsorted(unit, np.arange(len(heads) + 1))
-        for k, (steps, counts) in enumerate(heads):
-            s = slice(cut[k], cut[k + 1])
-            off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-            ids[s] = np.cumsum(steps, dtype=np.uint64).view(np.int64)[np.searchsorted(off, place[s], side="right") - 1]
-        gone = np.zeros(len(h), bool)
+    def larger(h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which entries are of a document larger than the smallest with the same sequence."""
+        out = np.zeros(len(h), bool)
         if len(h):
             order = np.lexsort((ids, check, h))
-            hs, cs = h[order], check[order]
-            new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])])
-            least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone[order] = ids[order] > least
-        blobs = []
-        for k in range(len(heads)):
-            s = slice(cut[k], cut[k + 1])
-            blobs.append(A.pack(np.diff(place[s][gone[s]], prepend=0)))
-        return pa.Table.from_arrays([table.column("unit"), pa.array(blobs, pa.binary()), table.column("keys")], ["unit", "places", "keys"])
-
-    def by_row(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, counts = A.unpack(next(k for k in table.column("keys").to_pylist() if k is not None), 2)
-        off = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-        at = np.sort(np.concatenate([np.cumsum(A.unpack(b, 1)[0]).astype(np.int64) for b in table.column("places").to_pylist()]))
-        cut = np.searchsorted(at, off)
-        docs_ = np.flatnonzero(np.diff(cut))
-        blobs = [A.pack(np.diff(at[cut[k] : cut[k + 1]] - off[k], prepend=0)) for k in docs_]
-        return pa.Table.from_arrays([pa.array(keys[docs_].view(np.int64)), pa.array(blobs, pa.binary())], ["row", "starts"])
+            first, run = runs_of(h[order], check[order])
+            out[order] = ids[order] > ids[order][first][run]
+        return out
+
+    def extend(batches):
+        for x in gathered(pieces(batches)):
+            known = larger(x["h"], x["check"], x["ids"])  # in this unit; the rest, of the smallest documents, travels
+            s = np.flatnonzero(~known)
+            h, check, ids, place = (x[c][s] for c in ("h", "check", "ids", "at"))
+            columns = [
+                lambda i: h[i], lambda i: check[i], lambda i: np.diff(ids[i].view(np.uint64), prepend=np.uint64(0)),
+                lambda i: np.diff(place[i], prepend=0),
+            ]
+            yield by_bucket(h, buckets, columns, x, x["at"][known])
+
+    def judged(h: np.ndarray, check: np.ndarray, steps: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        ids = [np.cumsum(steps[lo:hi], dtype=np.uint64).view(np.int64) for lo, hi in zip(cut, cut[1:])]
+        return larger(h, check, np.concatenate(ids))
+
+    def judge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return passed_on(table) if key[0].as_py() >= buckets else answers(table, 3, judged)
 
     sent = d.join(near, "doc").select("doc_id", "doc", "text", "hits").mapInArrow(extend, SENT_SCHEMA)
-    places = sent.groupBy("bucket").applyInArrow(judge, "unit long, places binary, keys binary")
-    return places.groupBy("unit").applyInArrow(by_row, "row long, starts binary")
+    places = sent.groupBy("bucket").applyInArrow(judge, PLACES_SCHEMA)
+    return places.groupBy("unit").applyInArrow(per_document, "key long, places binary")
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept, the words left, joined by single spaces."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hits = materialise(probe_hits(docs))
-    found = materialise(repeated_windows(docs, hits)).groupBy("row").agg(F.collect_list("starts").alias("starts"))
+    found = materialise(repeated_windows(docs, hits)).groupBy(F.col("key").alias("row")).agg(F.collect_list("places").alias("starts"))
 
     def key(batches):
         for u in A.units(batches):
