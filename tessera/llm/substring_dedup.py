@@ -146,7 +146,9 @@ def probe_hits(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(key, places): packed starts of the windows whose sequence of words starts in a document with a smaller id too, by the
+    """Hits and repeats grow with the input, so they are merged with the documents at any size, never broadcast.
+
+    (key, places): packed starts of the windows whose sequence of words starts in a document with a smaller id too, by the
     key of the document's id and text."""
     buckets = parts(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
@@ -193,7 +195,7 @@ def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
     def judge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return passed_on(table) if key[0].as_py() >= buckets else answers(table, 3, judged)
 
-    sent = d.join(near, "doc").select("doc_id", "doc", "text", "hits").mapInArrow(extend, SENT_SCHEMA)
+    sent = d.join(near.hint("merge"), "doc").select("doc_id", "doc", "text", "hits").mapInArrow(extend, SENT_SCHEMA)
     places = sent.groupBy("bucket").applyInArrow(judge, PLACES_SCHEMA)
     return places.groupBy("unit").applyInArrow(per_document, "key long, places binary")
 
@@ -236,6 +238,6 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    rows = docs.mapInArrow(key, "doc_id long, text string, row long").join(found, "row", "left").select("doc_id", "text", "starts")
+    rows = docs.mapInArrow(key, "doc_id long, text string, row long").join(found.hint("merge"), "row", "left").select("doc_id", "text", "starts")
     out = rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
