@@ -140,6 +140,24 @@ def per_text(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def units(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about `most` bytes of text; a longer text stays whole, alone or with the next few."""
+    try:
+        yield from _cut(batches, column, most)
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back: workers are reused, and idle ones stand beside the executor's JVM."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def _cut(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

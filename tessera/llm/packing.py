@@ -56,7 +56,7 @@ class PretokenMemory:
     it has grown beyond `most` pre-tokens.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
