@@ -1,7 +1,148 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as T
+from ..operators import data_quality, graph, lint as L, search
+from ..operators.duplicates import duplicate_tables
+from ..sources.synthetic import oracle, synthetic_catalog
+
 FLAGSHIP = "fk_orphans"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query("SELECT count(*) AS orphans FROM orders o WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)")
+def fk_orphans(spark, d):
+    return data_quality.orphan_count(table(spark, d, "orders"), table(spark, d, "customer"), {"o_custkey": "c_custkey"})
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS total FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def pk_duplicates(spark, d):
+    return data_quality.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(oracle("""SELECT coalesce(t.table_id, e.a) AS table_id, coalesce(n, 0) AS relations FROM cat_tables t FULL JOIN (
+    SELECT a, count(*) AS n FROM (SELECT parent_table AS a FROM cat_refs UNION ALL SELECT child_table FROM cat_refs) GROUP BY a) e ON e.a = t.table_id"""))
+def relation_counts(spark, d):
+    return graph.relation_counts(synthetic_catalog(spark, d))
+
+
+@query(oracle("""SELECT t.table_id, count(b) AS degree FROM cat_tables t LEFT JOIN (
+    SELECT parent_table AS a, child_table AS b FROM cat_refs UNION SELECT child_table, parent_table FROM cat_refs) e ON e.a = t.table_id GROUP BY t.table_id"""))
+def distinct_degree(spark, d):
+    return graph.distinct_degree(synthetic_catalog(spark, d))
+
+
+@query(oracle("""SELECT table_id, n AS n_columns, CASE WHEN hi <= lo THEN 0 WHEN (n - lo) / (hi - lo) < 0.25 THEN 0 WHEN (n - lo) / (hi - lo) < 0.5 THEN 1
+    WHEN (n - lo) / (hi - lo) < 0.75 THEN 2 ELSE 3 END AS bin FROM (SELECT *, min(n) OVER () AS lo, CAST(max(n) OVER () AS double) AS hi FROM (
+    SELECT t.table_id, count(col_ord) AS n FROM cat_tables t LEFT JOIN cat_columns c ON c.table_id = t.table_id GROUP BY t.table_id))"""))
+def heat_bins(spark, d):
+    c = synthetic_catalog(spark, d)
+    n = c.tables.join(c.columns, "table_id", "left").groupBy("table_id").agg(F.count("col_ord").alias("n_columns"))
+    return graph.heat(n, "n_columns")
+
+
+@query(oracle("""SELECT CASE WHEN code LIKE '%\\_%' ESCAPE '\\' THEN split_part(code, '_', 1) ELSE '(sin prefijo)' END AS prefix,
+    string_agg(table_id, ',' ORDER BY table_ord) AS tables FROM cat_tables GROUP BY 1"""))
+def prefix_groups(spark, d):
+    return graph.prefix_groups(synthetic_catalog(spark, d))
+
+
+@query(oracle("""SELECT table_id, min(hop) AS hop FROM (WITH RECURSIVE e AS (SELECT parent_table AS a, child_table AS b FROM cat_refs UNION SELECT child_table, parent_table FROM cat_refs),
+    r AS (SELECT 'table-1' AS table_id, 0 AS hop UNION SELECT b, hop + 1 FROM r JOIN e ON e.a = r.table_id WHERE hop < 3) SELECT * FROM r) GROUP BY table_id HAVING min(hop) > 0"""))
+def neighbours_within_3(spark, d):
+    return graph.neighbours_within(synthetic_catalog(spark, d), "table-1", 3)
+
+
+@query()
+def semantic_flags(spark, d):
+    return graph.semantic_flags(synthetic_catalog(spark, d))
+
+
+@query()
+def lint_issues(spark, d):
+    return L.lint(synthetic_catalog(spark, d))
+
+
+@query()
+def lint_score(spark, d):
+    return L.lint_score(synthetic_catalog(spark, d))
+
+
+def _rule(rule: str, sql: str):
+    def run(spark, d):
+        return L.lint(synthetic_catalog(spark, d)).filter(F.col("rule_id") == rule).select("rule_id", "severity", "detail", "table_id")
+
+    run.__name__ = "lint_" + rule.replace("-", "_")
+    number = next(i for i, r in enumerate(L.RULES) if r[0] == rule)
+    detail, k = f"'{L.DETAILS[rule]}'", 1
+    while f"%{k}" in detail:
+        detail, k = detail.replace(f"%{k}", f"' || CAST(v{k} AS varchar) || '"), k + 1
+    query(oracle(f"SELECT '{rule}' AS rule_id, '{L.RULES[number][2]}' AS severity, {detail} AS detail, tid AS table_id FROM ({sql})"))(run)
+
+
+COLS = "cat_columns c JOIN cat_tables t ON t.table_id = c.table_id"
+REFS = "cat_refs r JOIN cat_tables p ON p.table_id = r.parent_table JOIN cat_tables q ON q.table_id = r.child_table"
+IS_TEXT, IS_NUMERIC = "regexp_matches(c.data_type, '(?i)^(varchar|varchar2|nvarchar|char|nchar|string|text)')", "regexp_matches(c.data_type, '(?i)^(number|numeric|decimal|integer|int|smallint|bigint|float|double|real|serial)')"
+for _name, _sql in {
+    "table-empty": "SELECT t.table_id AS tid, t.code AS v1 FROM cat_tables t WHERE table_id NOT IN (SELECT table_id FROM cat_columns)",
+    "table-no-pk": "SELECT t.table_id AS tid, t.code AS v1 FROM cat_tables t WHERE pk IS NULL AND table_id IN (SELECT table_id FROM cat_columns)",
+    "column-duplicate": f"SELECT t.table_id AS tid, t.code AS v1, lower(c.code) AS v2, count(*) AS v3 FROM {COLS} GROUP BY ALL HAVING count(*) > 1",
+    "pk-nullable": f"SELECT t.table_id AS tid, t.code AS v1, c.code AS v2 FROM {COLS} WHERE column_id = pk AND NOT mandatory",
+    "fk-undeclared": f"SELECT t.table_id AS tid, t.code AS v1, c.code AS v2 FROM {COLS} WHERE regexp_matches(c.code, '(?i)(^|[^a-z0-9])id$') AND column_id IS DISTINCT FROM pk AND column_id NOT IN (SELECT child_column FROM cat_refs)",
+    "fk-no-index": f"SELECT t.table_id AS tid, t.code AS v1, c.code AS v2 FROM {COLS} WHERE column_id IN (SELECT child_column FROM cat_refs) AND column_id NOT IN (SELECT column_id FROM cat_indexes)",
+    "text-no-length": f"SELECT t.table_id AS tid, t.code AS v1, c.code AS v2, c.data_type AS v3 FROM {COLS} WHERE {IS_TEXT} AND length IS NULL",
+    "varchar-out-of-range": f"SELECT t.table_id AS tid, t.code AS v1, c.code AS v2, length AS v3 FROM {COLS} WHERE {IS_TEXT} AND length > 4000",
+    "identity-non-numeric": f"SELECT t.table_id AS tid, t.code AS v1, c.code AS v2, c.data_type AS v3 FROM {COLS} WHERE identity_ AND NOT {IS_NUMERIC}",
+    "index-duplicate": "SELECT t.table_id AS tid, t.code AS v1, before AS v2, name AS v3 FROM (SELECT table_id, name, first_value(name) OVER w AS before, row_number() OVER w AS rn FROM cat_indexes WINDOW w AS (PARTITION BY table_id, column_id ORDER BY index_ord)) i JOIN (SELECT table_id, code FROM cat_tables) t ON t.table_id = i.table_id WHERE rn > 1",
+    "naming-inconsistent": """SELECT table_id AS tid, code AS v1, dominant AS v2 FROM (SELECT *, CASE WHEN contains(code, '_') THEN 'snake_case' WHEN regexp_matches(code, '^[a-z].*[A-Z]') THEN 'camelCase' WHEN regexp_matches(code, '^[A-Z]') THEN 'PascalCase' ELSE 'other' END AS style FROM cat_tables) s,
+        (SELECT style AS dominant FROM (SELECT CASE WHEN contains(code, '_') THEN 'snake_case' WHEN regexp_matches(code, '^[a-z].*[A-Z]') THEN 'camelCase' WHEN regexp_matches(code, '^[A-Z]') THEN 'PascalCase' ELSE 'other' END AS style, table_ord FROM cat_tables) GROUP BY style HAVING count(*) >= 3 ORDER BY count(*) DESC, min(table_ord) LIMIT 1) WHERE style <> dominant AND dominant <> 'other'""",
+    "reference-orphan": "SELECT NULL AS tid, r.name AS v1 FROM cat_refs r WHERE parent_table NOT IN (SELECT table_id FROM cat_tables) OR child_table NOT IN (SELECT table_id FROM cat_tables)",
+    "reference-missing-column": f"SELECT child_table AS tid, r.name AS v1 FROM {REFS} LEFT JOIN cat_columns c ON c.table_id = parent_table AND c.column_id = parent_column WHERE c.column_id IS NULL",
+    "fk-non-pk": f"SELECT child_table AS tid, r.name AS v1, p.code AS v2, c.code AS v3 FROM {REFS} JOIN cat_columns c ON c.table_id = parent_table AND c.column_id = parent_column WHERE parent_column IS DISTINCT FROM p.pk",
+    "self-reference": f"SELECT child_table AS tid, r.name AS v1, p.code AS v2 FROM {REFS} WHERE parent_table = child_table",
+    "many-to-many": f"SELECT child_table AS tid, r.name AS v1 FROM {REFS} WHERE regexp_matches(cardinality, '(?i)[NM]\\s*:\\s*[NM]')",
+    "delete-no-action": f"SELECT child_table AS tid, r.name AS v1 FROM {REFS} WHERE on_delete ILIKE '%no action%'",
+}.items():
+    _rule(_name, _sql)
+
+
+@query()
+def duplicate_table_pairs(spark, d):
+    return duplicate_tables(synthetic_catalog(spark, d))
+
+
+@query("""SELECT p_partkey, array_to_string(list_distinct(list_transform(range(1, length(lower(p_name)) + 1), lambda i: substr('#' || lower(p_name) || '#', i, 3))).list_sort(), ',') AS trigrams,
+    round(CASE WHEN p_name = p_type THEN 1 ELSE 1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)) END, 6) AS lev FROM part""")
+def text_similarity(spark, d):
+    name = F.lower("p_name")
+    lev = F.round(T.levenshtein_similarity(F.col("p_name"), F.col("p_type")), 6)
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(T.trigrams(name)), ",").alias("trigrams"), lev.alias("lev"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda x: x <> ''), '|') AS words FROM part""")
+def split_identifiers(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.split_identifier(F.col("p_name")), "|").alias("words"))
+
+
+@query()
+def tfidf_norms(spark, d):
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    return search.tfidf_norms(search.postings(docs), docs.agg(F.count(F.lit(1)).alias("n")))
