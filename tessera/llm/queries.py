@@ -82,4 +82,26 @@ QUERIES = {f.__name__: f for f in (
     op8_substring_dedup, op9_quality_rules, op10_packing, pipeline,
 )}
 
-ORACLES: dict[str, str] = {}
+#: SQL for DuckDB. The other operators need hashes, models, tokenizers or closures that SQL doesn't express; the tests hold them
+#: against brute-force versions.
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": r"""
+        WITH l AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        x AS (SELECT *, list_filter(range(1, len(a) + 1), lambda i: regexp_matches(a[i], '[^\x20\x09-\x0D]')) AS full_ FROM l),
+        r AS (SELECT doc_id, k, a[full_[k]] || chr(10) || a[full_[k + 1]] AS run FROM x, unnest(range(1, len(full_))) u(k)),
+        f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS n FROM r),
+        g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM f, unnest([k, k + 1]) v(j) WHERE n > 1 GROUP BY doc_id)
+        SELECT x.doc_id, len(full_) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+               sha256(CASE WHEN gone IS NULL THEN t ELSE array_to_string(list_transform(list_filter(range(1, len(a) + 1),
+                   lambda i: NOT list_contains(list_transform(gone, lambda j: full_[j]), i)), lambda i: a[i]), chr(10)) END) AS kept_sha256
+        FROM x LEFT JOIN g ON g.doc_id = x.doc_id""",
+    "op8_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+        p AS (SELECT doc_id, k, array_to_string(a[k:k + 49], ' ') AS s FROM w, unnest(range(1, len(a) - 48)) u(k)),
+        m AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS least FROM p),
+        g AS (SELECT DISTINCT doc_id, k + o AS j FROM m, unnest(range(0, 50)) v(o) WHERE least < doc_id),
+        e AS (SELECT doc_id, j, a[j] AS word FROM w, unnest(range(1, len(a) + 1)) u(j)),
+        k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS kept, count(*) AS n FROM e ANTI JOIN g ON g.doc_id = e.doc_id AND g.j = e.j GROUP BY e.doc_id)
+        SELECT w.doc_id, len(a) AS n_words, len(a) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k ON k.doc_id = w.doc_id""",
+}
