@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import data_quality, graph, lint as L, search
+from ..operators import data_quality, ddl, diff, export, graph, lint as L, search
 from ..operators.duplicates import duplicate_tables
 from ..sources.synthetic import oracle, synthetic_catalog
 
@@ -146,3 +146,51 @@ def split_identifiers(spark, d):
 def tfidf_norms(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
     return search.tfidf_norms(search.postings(docs), docs.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(oracle("""SELECT t.table_ord, t.table_id, 'CREATE TABLE "' || t.name || '" (' || chr(10) || coalesce(body, '') ||
+        CASE WHEN pk.name IS NULL THEN '' ELSE ',' || chr(10) || '  CONSTRAINT "PK_' || t.name || '" PRIMARY KEY ("' || pk.name || '")' END || chr(10) || ');' || coalesce(chr(10) || chr(10) || idx, '') AS ddl
+    FROM cat_tables t LEFT JOIN cat_columns pk ON pk.column_id = t.pk LEFT JOIN (SELECT table_id, string_agg('  "' || name || '" ' || CASE data_type WHEN 'VARCHAR' THEN 'VARCHAR2(' || coalesce(CAST(length AS varchar), '255') || ')'
+        WHEN 'INTEGER' THEN 'NUMBER' WHEN 'DATE' THEN 'DATE' ELSE data_type || coalesce('(' || CAST(length AS varchar) || ')', '') END || CASE WHEN identity_ THEN ' GENERATED BY DEFAULT AS IDENTITY' ELSE '' END ||
+        CASE WHEN mandatory THEN ' NOT NULL' ELSE '' END, ',' || chr(10) ORDER BY col_ord) AS body FROM cat_columns GROUP BY table_id) c ON c.table_id = t.table_id
+    LEFT JOIN (SELECT i.table_id, string_agg('CREATE INDEX "' || i.name || '" ON "' || t.name || '" ("' || c.name || '");', chr(10) || chr(10) ORDER BY index_ord) AS idx
+        FROM cat_indexes i JOIN cat_tables t ON t.table_id = i.table_id JOIN cat_columns c ON c.column_id = i.column_id GROUP BY i.table_id) x ON x.table_id = t.table_id"""))
+def ddl_tables(spark, d):
+    return ddl.table_ddl(synthetic_catalog(spark, d))
+
+
+@query(oracle("""SELECT ref_ord, ref_id, 'ALTER TABLE "' || q.name || '" ADD CONSTRAINT "' || r.name || '" FOREIGN KEY ("' || cc.name || '") REFERENCES "' || p.name || '" ("' || pc.name || '");' AS ddl
+    FROM cat_refs r JOIN cat_tables p ON p.table_id = parent_table JOIN cat_tables q ON q.table_id = child_table
+    JOIN cat_columns pc ON pc.table_id = parent_table AND pc.column_id = parent_column JOIN cat_columns cc ON cc.table_id = child_table AND cc.column_id = child_column"""))
+def ddl_foreign_keys(spark, d):
+    return ddl.reference_ddl(synthetic_catalog(spark, d))
+
+
+def _versions(spark, d):
+    """The customers, and a second version: some renamed, some gone, some new, some in another segment."""
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("code"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
+    k = F.col("id")
+    after = base.filter(k % 10 != 3).select(
+        F.when(k % 10 == 4, k + 10_000_000).otherwise(k).alias("id"), F.when(k % 10 == 4, F.concat("code", F.lit("-new"))).otherwise(F.col("code")).alias("code"),
+        F.when(k % 10 == 5, "OTHER").otherwise(F.col("segment")).alias("segment"), "nation",
+    )
+    return base, after
+
+
+@query("""SELECT kind, count(*) AS n, CAST(sum(id) AS bigint) AS ids FROM (
+    SELECT CASE c_custkey % 10 WHEN 3 THEN 'removed' WHEN 4 THEN 'removed' ELSE 'modified' END AS kind, c_custkey AS id FROM customer WHERE c_custkey % 10 IN (3, 4) OR (c_custkey % 10 = 5 AND c_mktsegment <> 'OTHER')
+    UNION ALL SELECT 'added', c_custkey + 10000000 FROM customer WHERE c_custkey % 10 = 4) GROUP BY kind""")
+def diff_by_kind(spark, d):
+    base, after = _versions(spark, d)
+    found = diff.diff_rows(base, after, "id", "id", ["code"], ["code", "segment", "nation"])
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@query()
+def export_csv(spark, d):
+    return export.csv_lines(L.lint(synthetic_catalog(spark, d)))
+
+
+@query()
+def export_json(spark, d):
+    return export.json_lines(L.lint(synthetic_catalog(spark, d)))
