@@ -70,20 +70,17 @@ def jaccard(x: Column, y: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(union, F.lit(1)))
 
 
-def match_score(query: str, text: Column, weight: float) -> Column:
-    """Literal match: equal, prefix, inside, all or some words, or inside without separators; null without a match."""
+def match_score(query: str, text: Column, weight: float | Column) -> Column:
+    """Literal match of a query that isn't blank: equal, prefix, inside, all or some of its words inside words of the text, or
+    inside the text without separators; null without a match."""
     q, t = query.strip().lower(), F.lower(text)
     words = q.split()
     rules = F.when(t == q, 1.0).when(t.startswith(q), 0.95).when(F.contains(t, F.lit(q)), 0.8)
     if len(words) > 1:
-        hits = [F.contains(t, F.lit(w)) for w in words]
-        every, some = hits[0], hits[0]
-        for h in hits[1:]:
-            every, some = every & h, some | h
-        rules = rules.when(every, 0.7).when(some, 0.5)
-    import re
-
-    bare = re.sub(r"[^a-z0-9]", "", q)
-    if bare:
-        rules = rules.when(F.contains(F.regexp_replace(t, "[^a-z0-9]", ""), F.lit(bare)), 0.65)
-    return rules * weight
+        found = sum((_inside(t, w).cast("int") for w in words), F.lit(0))
+        rules = rules.when(found == len(words), 0.7).when(found > 0, 0.5)
+    return rules.when(F.contains(F.regexp_replace(t, r"[_\s]", ""), F.lit("".join(words))), 0.65) * weight
+
+
+def _inside(t: Column, word: str) -> Column:
+    return F.exists(F.split(t, r"[\s_]+"), lambda x: F.contains(x, F.lit(word)))

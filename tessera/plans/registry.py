@@ -194,3 +194,30 @@ def export_csv(spark, d):
 @query()
 def export_json(spark, d):
     return export.json_lines(L.lint(synthetic_catalog(spark, d)))
+
+
+SEARCHED = "sup le"
+
+
+def _match(text: str) -> str:
+    q, words = SEARCHED, SEARCHED.split()
+    inside = " + ".join(f"CAST(len(list_filter(regexp_split_to_array(lower({text}), '[\\s_]+'), lambda x: contains(x, '{w}'))) > 0 AS int)" for w in words)
+    return f"""CASE WHEN lower({text}) = '{q}' THEN 1.0 WHEN starts_with(lower({text}), '{q}') THEN 0.95 WHEN contains(lower({text}), '{q}') THEN 0.8
+        WHEN {inside} = {len(words)} THEN 0.7 WHEN {inside} > 0 THEN 0.5 WHEN contains(regexp_replace(lower({text}), '[_\\s]', '', 'g'), '{"".join(words)}') THEN 0.65 END"""
+
+
+@query(oracle(f"""SELECT kind, id, matched_in, round(CAST(w AS double) * CAST(coalesce({_match("matched_in")}, {_match("title")}) AS double), 6) AS score FROM (
+    SELECT 'table' AS kind, table_id AS id, name AS title, name AS matched_in, 1.0 AS w FROM cat_tables
+    UNION ALL SELECT 'table', table_id, name, code, 0.95 FROM cat_tables WHERE lower(code) <> lower(name)
+    UNION ALL SELECT 'column', column_id, name, name, 0.85 FROM cat_columns UNION ALL SELECT 'column', column_id, name, code, 0.8075 FROM cat_columns WHERE lower(code) <> lower(name)
+    UNION ALL SELECT 'index', name, name, name, 0.5 FROM cat_indexes) WHERE coalesce({_match("matched_in")}, {_match("title")}) IS NOT NULL"""))
+def global_search(spark, d):
+    return search.global_search(synthetic_catalog(spark, d), SEARCHED).select("kind", "id", "matched_in", F.round("score", 6).alias("score"))
+
+
+@query("""WITH q AS (SELECT vec_id AS q_id, CAST(embedding AS double[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+    SELECT vec_id, round(list_dot_product(CAST(embedding AS double[]), q) / sqrt(list_dot_product(CAST(embedding AS double[]), CAST(embedding AS double[]))) / sqrt(list_dot_product(q, q)), 6) AS score
+    FROM embeddings, q WHERE vec_id <> q_id ORDER BY score DESC, vec_id LIMIT 20""")
+def cosine_top_20(spark, d):
+    v = table(spark, d, "embeddings")
+    return search.cosine_top(v, v.orderBy("vec_id").limit(1), 20)
