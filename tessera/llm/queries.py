@@ -59,6 +59,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # smaller Arrow batches: texts cross to Python and back three times, and each crossing holds whole batches outside the heap
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     d = drop_repeated_passages(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

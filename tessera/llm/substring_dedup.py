@@ -28,7 +28,7 @@ from .spread import materialise, parts
 
 WINDOW, BLOCK = 50, 25
 LAST = 2**63 - 1  # stands for a null id
-UNIT_WORDS = 1_000_000  # entries of so many words are packed together
+UNIT_WORDS = 500_000  # entries of so many words are packed together
 
 
 SENT = {"bucket": pa.int32(), "unit": pa.int64(), "entries": pa.binary(), "keys": pa.binary()}
