@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalog import Catalog
+from ..session import cut_lineage
 
 
 def both_ways(refs: DataFrame) -> DataFrame:
@@ -68,3 +70,121 @@ def semantic_flags(c: Catalog) -> DataFrame:
         "table_id", ((F.size("pk") == 0) & (F.coalesce("n", F.lit(0)) > 0)).alias("no_pk"), ((F.col("degree") == 0) & F.col("many")).alias("orphan"),
         (F.col("degree") >= 8).alias("god"), F.coalesce("bare", no).alias("fk_no_index"), F.coalesce("loose", no).alias("nullable_key"),
     )
+
+
+def shortest_path(c: Catalog, start: str, end: str) -> DataFrame:
+    """(step, table_id) of a shortest way over references in either direction, empty if there is none. Of equal ways the first
+    in breadth-first order is taken, neighbours in the order of their references: a way's key is the list of the orders of its
+    steps, so the least key wins and no table has to be numbered."""
+    spark = c.tables.sparkSession
+    ends = [c.refs.select(F.col(a).alias("a"), F.col(b).alias("b"), "ref_ord") for a, b in (("parent_table", "child_table"), ("child_table", "parent_table"))]
+    edges = cut_lineage(ends[0].union(ends[1]).filter("a <> b").groupBy("a", "b").agg(F.min("ref_ord").alias("ref_ord")))
+    front = spark.createDataFrame([(start, [start], [])], "b string, path array<string>, key array<long>")
+    seen = front.select("b")
+    while True:
+        found = front.filter(F.col("b") == end).select("path")
+        if not found.isEmpty() or front.isEmpty():
+            return found.select(F.posexplode("path").alias("step", "table_id"))
+        key = F.concat("key", F.array("ref_ord"))
+        ways = front.withColumnRenamed("b", "a").join(edges, "a").join(seen, "b", "left_anti").select("b", F.concat("path", F.array("b")).alias("path"), key.alias("key"))
+        front = cut_lineage(ways.groupBy("b").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key")))
+        seen = cut_lineage(seen.union(front.select("b")))
+
+
+def path_edges(c: Catalog, path: DataFrame) -> DataFrame:
+    """(ref_id) of all references, parallel ones too, between neighbours on the path (step, table_id)."""
+    nxt = path.select((F.col("step") - 1).alias("step"), F.col("table_id").alias("b"))
+    pairs = path.withColumnRenamed("table_id", "a").join(nxt, "step").select("a", "b")
+    both = pairs.union(pairs.select("b", "a")).toDF("parent_table", "child_table").distinct()
+    return c.refs.join(both, ["parent_table", "child_table"], "left_semi").select("ref_id")
+
+
+def _walk(model: pd.DataFrame) -> pd.DataFrame:
+    """Depth-first walk of one model's rows (kind 0: tables by rank; kind 1: references by rank)."""
+    model = model.sort_values(["kind", "rank"])
+    near: dict[str, list[str]] = {t: [] for t in model.loc[model.kind == 0, "a"]}
+    starts = list(near)
+    for a, b in model.loc[model.kind == 1, ["a", "b"]].itertuples(index=False):
+        if a in near and a != b:
+            near[a].append(b)
+    seen, depth, found = set(), {}, []
+    for start in starts:
+        trail = [] if start in seen else [(start, iter(near[start]))]
+        while trail:
+            at, rest = trail[-1]
+            if at not in seen:
+                seen.add(at)
+                depth[at] = len(trail) - 1
+            for b in rest:
+                if b not in seen:
+                    trail.append((b, iter(near.get(b, ()))))
+                    break
+                if b in depth:
+                    found += [(len(found), [t for t, _ in trail[depth[b]:]])]
+            else:
+                trail.pop()
+                depth.pop(at, None)
+    return pd.DataFrame({"model_id": model.model_id.iloc[0], "cycle": [n for n, _ in found], "tables": [t for _, t in found]})
+
+
+def fk_cycles(tables: DataFrame, refs: DataFrame) -> DataFrame:
+    """(model_id, cycle, tables): one cycle per reference that leads back into the walk from parents to children. Which cycles
+    are found depends on the order of the walk, so each model is walked in one task, by the references between its tables; a
+    model is one file. Frames without model_id are one model."""
+    frames = [f if "model_id" in f.columns else f.withColumn("model_id", F.lit("model")) for f in (tables, refs)]
+    rows = frames[0].select("model_id", F.lit(0).alias("kind"), F.col("table_ord").alias("rank"), F.col("table_id").alias("a"), F.lit(None).cast("string").alias("b"))
+    rows = rows.union(frames[1].select("model_id", F.lit(1), "ref_ord", "parent_table", "child_table"))
+    return rows.groupBy("model_id").applyInPandas(_walk, "model_id string, cycle long, tables array<string>")
+
+
+def cycle_members(cycles: DataFrame) -> DataFrame:
+    return cycles.select("model_id", F.explode("tables").alias("table_id")).distinct()
+
+
+def heat_values(c: Catalog, metric: str, issues: DataFrame | None = None) -> DataFrame:
+    """(table_id, value): columns, indexes, relations or issues of every table."""
+    if metric == "relations":
+        counted = relation_counts(c).withColumnRenamed("relations", "value")
+    else:
+        rows = {"columns": c.columns, "indexes": c.indexes, "issues": issues}[metric]
+        counted = rows.filter("table_id IS NOT NULL").groupBy("table_id").agg(F.count(F.lit(1)).alias("value"))
+    return c.tables.select("table_id").join(counted, "table_id", "left").select("table_id", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def relations_of(c: Catalog) -> DataFrame:
+    """(table_id, ref_ord, ref_id, direction, other_table, joins, covering) for each table and each of its references, a reference
+    of a table to itself once. joins: columns by code; covering: indexes and keys of the child with a column of the reference."""
+    t, k = c.tables.select("table_id"), c.columns.select("table_id", "column_id", "code")
+    r = c.refs.join(t.toDF("parent_table"), "parent_table").join(t.toDF("child_table"), "child_table")
+    j = r.select("ref_id", "parent_table", "child_table", F.posexplode("joins").alias("at", "j")).select("*", "j.*")
+    j = j.join(k.toDF("parent_table", "parent_column", "pc"), ["parent_table", "parent_column"], "left").join(k.toDF("child_table", "child_column", "cc"), ["child_table", "child_column"], "left")
+    label = F.concat(F.coalesce("pc", "parent_column"), F.lit(" → "), F.coalesce("cc", "child_column"))
+    labels = j.groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct("at", label.alias("l")))).alias("l"))
+    held = c.indexes.select("table_id", F.lit(0).alias("g"), F.col("index_ord").alias("o"), "name", F.explode("columns").alias("child_column"))
+    held = held.union(c.keys.select("table_id", F.lit(1), "key_ord", "name", F.explode("columns"))).withColumnRenamed("table_id", "child_table")
+    over = j.join(held, ["child_table", "child_column"]).groupBy("ref_id").agg(F.array_sort(F.collect_set(F.struct("g", "o", "name"))).alias("c"))
+    r = r.join(labels, "ref_id", "left").join(over, "ref_id", "left")
+    names = [F.coalesce(F.array_join(F.transform(x, lambda s: s[f]), ", "), F.lit("")) for x, f in (("l", "l"), ("c", "name"))]
+    side = lambda own, other, name: r.select(F.col(own).alias("table_id"), "ref_ord", "ref_id", F.lit(name).alias("direction"), F.col(other).alias("other_table"), names[0].alias("joins"), names[1].alias("covering"))
+    return side("parent_table", "child_table", "child").union(side("child_table", "parent_table", "parent").filter("table_id <> other_table"))
+
+
+def first_columns(c: Catalog, shown: int) -> DataFrame:
+    """(table_id, columns, more): the codes of a table's first columns and how many follow."""
+    at = F.row_number().over(Window.partitionBy("table_id").orderBy("col_ord"))
+    ranked = c.columns.withColumn("at", at)
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= shown, F.struct("at", "code")))), lambda x: x["code"])
+    return ranked.groupBy("table_id").agg(F.array_join(listed, ",").alias("columns"), F.greatest(F.lit(0), F.count(F.lit(1)) - shown).alias("more"))
+
+
+def radial_positions(rows: DataFrame, at: str, n: Column, radius_x: float = 420.0, radius_y: float = 280.0) -> DataFrame:
+    """Adds x and y on an ellipse, from the top, for row `at` of `n`."""
+    angle = -F.pi() / 2 + 2 * F.pi() * F.col(at) / F.greatest(n, F.lit(1))
+    return rows.withColumns({"x": F.cos(angle) * radius_x, "y": F.sin(angle) * radius_y})
+
+
+def grid_positions(c: Catalog) -> DataFrame:
+    """(table_id, x, y): a table's own position, else a cell of a grid of three columns."""
+    t = c.complete().tables
+    cell = [F.pmod("table_ord", F.lit(3)) * 340.0, F.floor(F.col("table_ord") / 3) * 260.0]
+    return t.select("table_id", F.coalesce("position.x", cell[0]).alias("x"), F.coalesce("position.y", cell[1]).alias("y"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -16,3 +17,11 @@ def ship_package(spark: SparkSession) -> SparkSession:
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([*have, root])
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the folder that the cluster names in spark.checkpoint.dir; one of our own where that is unset."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+    return df.checkpoint()
