@@ -52,30 +52,55 @@ def quoted(name: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def picked(columns: Column, ids: Column) -> Column:
-    """The quoted names of the columns (id, q) with the given ids, in the order of the ids; ids without a column are skipped."""
-    names = F.map_from_entries(F.transform(columns, lambda x: F.struct(x["column_id"], x["q"])))
-    return F.filter(F.transform(ids, lambda i: F.try_element_at(names, i)), lambda x: x.isNotNull())
+def default_value(value: Column) -> Column:
+    """A default as SQL: numbers, truth values and NULL in upper case, quoted texts and functions as they are, others quoted;
+    null for a blank one."""
+    v = F.regexp_replace(value, r"^\s+|\s+$", "")
+    plain = v.rlike(r"^\d+(\.\d+)?$") | v.rlike("(?i)^TRUE|FALSE$") | v.rlike("(?i)^NULL$")
+    kept = v.rlike("^['\"]") | v.rlike(r"(?i)\b(SYSDATE|CURRENT_DATE|CURRENT_TIMESTAMP|USER|SYSTIMESTAMP)\b")
+    return F.when(v == "", None).when(plain, F.upper(v)).when(kept, v).otherwise(F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
+def column_map(c: Catalog) -> DataFrame:
+    """(table_id, known): a table's columns (code, name) by id, code and name; of equal keys the first column counts."""
+    named = c.columns.select("table_id", "col_ord", "code", "name", F.explode(F.array_distinct(F.array_compact(F.array("column_id", "code", "name")))).alias("k"))
+    first = named.groupBy("table_id", "k").agg(F.min_by(F.struct("code", "name"), "col_ord").alias("v"))
+    return first.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("known"))
+
+
+def found(known: Column, ids: Column, field: str) -> Column:
+    """A field of the columns with the given ids, in the order of the ids; ids without a column are skipped."""
+    return F.array_compact(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda i: F.try_element_at(known, i)[field]))
+
+
+def picked(known: Column, ids: Column) -> Column:
+    """The quoted names of the columns with the given ids."""
+    return F.transform(found(known, ids, "name"), quoted)
+
+
+def column_type(prefix: str = "") -> Column:
+    return oracle_type(*(F.col(prefix + f) for f in ("data_type", "length", "precision")))
 
 
 def table_columns(c: Catalog) -> DataFrame:
-    """tables with t, the quoted name, and c, their columns in order (col_ord, line, column_id, q)."""
+    """tables with t, the quoted name, c, their columns in order (col_ord, line), and known, as column_map has it."""
+    c = c.complete()
     name = quoted(F.col("name"))
     line = F.concat_ws(
-        " ", F.concat(F.lit("  "), name), oracle_type(F.col("data_type"), F.col("length")), F.when(F.col("identity"), "GENERATED BY DEFAULT AS IDENTITY"),
-        F.when(F.col("mandatory"), "NOT NULL"),
+        " ", F.concat(F.lit("  "), name), column_type(), F.when(F.col("identity"), "GENERATED BY DEFAULT AS IDENTITY"),
+        F.when(F.col("mandatory"), "NOT NULL"), F.concat(F.lit("DEFAULT "), default_value(F.col("default_value"))),
     )
-    cols = c.columns.select("table_id", F.struct("col_ord", line.alias("line"), "column_id", name.alias("q")).alias("x"))
-    lists = cols.groupBy("table_id").agg(F.array_sort(F.collect_list("x")).alias("c"))
-    none = F.expr("cast(array() as array<struct<col_ord:bigint,line:string,column_id:string,q:string>>)")
-    return c.tables.withColumn("t", name).join(lists, "table_id", "left").withColumn("c", F.coalesce("c", none))
+    lists = c.columns.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("col_ord", line.alias("line")))).alias("c"))
+    none = F.expr("cast(array() as array<struct<col_ord:bigint,line:string>>)")
+    t = c.tables.withColumn("t", name).join(lists, "table_id", "left").join(column_map(c), "table_id", "left")
+    return t.withColumns({"c": F.coalesce("c", none), "known": F.coalesce("known", F.expr("cast(map() as map<string,struct<code:string,name:string>>)"))})
 
 
 def index_ddl(c: Catalog) -> DataFrame:
     """(table_id, index_ord, ddl) of every index."""
-    i = c.indexes.withColumnRenamed("name", "index_name").join(table_columns(c).select("table_id", "t", "c"), "table_id")
+    i = c.indexes.withColumnRenamed("name", "index_name").join(table_columns(c).select("table_id", "t", "known"), "table_id")
     kind = F.when(F.col("is_unique"), "CREATE UNIQUE INDEX ").otherwise("CREATE INDEX ")
-    ddl = F.concat(kind, quoted(F.col("index_name")), F.lit(" ON "), F.col("t"), F.lit(" ("), F.array_join(picked(F.col("c"), F.col("columns")), ", "), F.lit(");"))
+    ddl = F.concat(kind, quoted(F.col("index_name")), F.lit(" ON "), F.col("t"), F.lit(" ("), F.array_join(picked(F.col("known"), F.col("columns")), ", "), F.lit(");"))
     return i.select("table_id", "index_ord", ddl.alias("ddl"))
 
 
@@ -84,7 +109,7 @@ def table_ddl(c: Catalog) -> DataFrame:
     first = c.keys.filter("is_primary").groupBy("table_id").agg(F.min_by("name", "key_ord").alias("key_name"))
     indexes = index_ddl(c).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("index_ord", "ddl"))).alias("i"))
     t = table_columns(c).join(first, "table_id", "left").join(indexes, "table_id", "left")
-    pk = picked(F.col("c"), F.coalesce("primary_key", F.array().cast("array<string>")))
+    pk = picked(F.col("known"), F.col("primary_key"))
     key_name = quoted(F.coalesce(F.nullif("key_name", F.lit("")), F.concat(F.lit("PK_"), F.col("name"))))
     constraint = F.when(F.size(pk) > 0, F.array(F.concat(F.lit("  CONSTRAINT "), key_name, F.lit(" PRIMARY KEY ("), F.array_join(pk, ", "), F.lit(")"))))
     body = F.concat(F.transform("c", lambda x: x["line"]), F.coalesce(constraint, F.array().cast("array<string>")))
@@ -94,19 +119,17 @@ def table_ddl(c: Catalog) -> DataFrame:
 
 def reference_ddl(c: Catalog) -> DataFrame:
     """(ref_ord, ref_id, ddl): ALTER TABLE ... FOREIGN KEY; references without both tables, or without columns, are left out."""
-    t = c.tables.select("table_id", quoted(F.col("name")).alias("q"))
-    k = c.columns.select("table_id", "column_id", quoted(F.col("name")).alias("q"))
-    r = c.refs.join(t.toDF("parent_table", "p"), "parent_table").join(t.toDF("child_table", "q"), "child_table")
-    j = r.select("*", F.posexplode("joins").alias("at", "j")).select("*", "j.*")
-    j = j.join(k.toDF("parent_table", "parent_column", "pc"), ["parent_table", "parent_column"], "left").join(k.toDF("child_table", "child_column", "cc"), ["child_table", "child_column"], "left")
-    g = j.groupBy("ref_ord", "ref_id", "name", "p", "q").agg(F.array_sort(F.collect_list(F.struct("at", "pc", "cc"))).alias("j"))
-    side = [_named(n) for n in ("cc", "pc")]
+    t = table_columns(c).select("table_id", "t", "known")
+    r = c.refs.join(t.toDF("parent_table", "p", "p_known"), "parent_table").join(t.toDF("child_table", "q", "q_known"), "child_table")
+    child, parent = (picked(F.col(k), F.transform("joins", lambda j: j[f])) for k, f in (("q_known", "child_column"), ("p_known", "parent_column")))
     ddl = F.concat(
         F.lit("ALTER TABLE "), F.col("q"), F.lit(" ADD CONSTRAINT "), quoted(F.col("name")), F.lit(" FOREIGN KEY ("),
-        F.array_join(side[0], ", "), F.lit(") REFERENCES "), F.col("p"), F.lit(" ("), F.array_join(side[1], ", "), F.lit(");"),
+        F.array_join(child, ", "), F.lit(") REFERENCES "), F.col("p"), F.lit(" ("), F.array_join(parent, ", "), F.lit(");"),
     )
-    return g.filter((F.size(side[0]) > 0) & (F.size(side[1]) > 0)).select("ref_ord", "ref_id", ddl.alias("ddl"))
+    return r.filter((F.size(child) > 0) & (F.size(parent) > 0)).select("ref_ord", "ref_id", ddl.alias("ddl"))
 
 
-def _named(field: str) -> Column:
-    return F.filter(F.transform("j", lambda x: x[field]), lambda x: x.isNotNull())
+def model_ddl(c: Catalog) -> DataFrame:
+    """(part, item, ddl): all tables in order, then all foreign keys."""
+    tables = table_ddl(c).select(F.lit(0).alias("part"), F.col("table_ord").alias("item"), "ddl")
+    return tables.union(reference_ddl(c).select(F.lit(1), "ref_ord", "ddl"))
