@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import Catalog
+from ..session import cut_lineage
 
 NODES = "model_id string, node long, parent long, tag string, scalar string, label string, is_first boolean, ancestors array<long>, within map<string,long>"
 #: Tags whose nearest ancestor a node remembers.
@@ -186,9 +187,9 @@ def _keyed(frame: DataFrame, scope: list[str], ident: str, order: str) -> DataFr
 
 
 def catalogs(files: DataFrame) -> Catalogs:
-    """Catalogs of files (model_id, model_name, text). A file without text has no objects. The nodes are cached, since every frame
-    starts from them; a lost part is parsed again from its files."""
-    nodes = files.select("model_id", "text").mapInPandas(node_rows, NODES).persist()
+    """Catalogs of files (model_id, model_name, text). A file without text has no objects. Every frame starts from the
+    nodes, and later plans use each frame many times, so each is computed once and kept in the shared folder."""
+    nodes = cut_lineage(files.select("model_id", "text").mapInPandas(node_rows, NODES))
     none = F.array().cast("array<string>")
 
     t = _props(nodes, _in(nodes, "table", "tables").select("model_id", "node")).withColumn("table_ord", _ordinal())
@@ -211,6 +212,8 @@ def catalogs(files: DataFrame) -> Catalogs:
         _bool(_v("column.identity", "identity", "isidentity")).alias("identity"), _v("defaultvalue", "default").alias("default_value"), _v("comment").alias("comment"),
     )
 
+    c = cut_lineage(c)
+
     def inside(tag: str, owner_tag: str, value: Column) -> DataFrame:
         own = F.try_element_at("within", F.lit(owner_tag))
         found = nodes.filter(F.col("tag") == tag).select("model_id", own.alias("item"), F.try_element_at("within", F.lit("table")).alias("owner"), F.col("node").alias("at"), value.alias("value"))
@@ -244,7 +247,7 @@ def catalogs(files: DataFrame) -> Catalogs:
     pk = F.when(F.col("chosen").isNotNull(), F.col("chosen.columns")).otherwise(F.col("listed"))
     t = t.withColumn("primary_key", F.when(F.size(pk) > 0, pk))
     k = k.join(t.select("model_id", "owner", F.col("chosen.key_id").alias("primary")), ["model_id", "owner"], "left").withColumn("is_primary", F.col("is_primary") | F.coalesce(F.col("key_id") == F.col("primary"), F.lit(False))).drop("owner", "primary")
-    t = _placed(nodes, t.drop("owner", "chosen", "listed"))
+    t = cut_lineage(_placed(nodes, t.drop("owner", "chosen", "listed")))
 
     d = _props(nodes, _in(nodes, "domain", "domains", strict=True).select("model_id", "node")).withColumn("at", _ordinal()).select(
         "model_id", F.col("at").cast("long").alias("domain_ord"), F.concat(F.lit("domain-"), F.col("at")).alias("domain_id"),
@@ -252,7 +255,7 @@ def catalogs(files: DataFrame) -> Catalogs:
     )
     root = nodes.filter("tag = 'model'").groupBy("model_id").agg(F.min_by("node", F.struct("parent", "node")).alias("node"))
     models = files.select("model_id", "model_name").join(_props(nodes, root), "model_id", "left").select("model_id", F.coalesce(_v("name"), "model_name").alias("name"))
-    return Catalogs(models, t.withColumn("table_ord", F.col("table_ord").cast("long")), c.drop("owner"), _references(nodes, t, c), x, k, d)
+    return Catalogs(models, t.withColumn("table_ord", F.col("table_ord").cast("long")), c.drop("owner"), *(cut_lineage(f) for f in (_references(nodes, t, c), x, k, d)))
 
 
 def _references(nodes: DataFrame, t: DataFrame, c: DataFrame) -> DataFrame:
