@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ddl, diff, export, graph, lint, search
+from tessera.session import cut_lineage
 from tessera.sources import xml_model
 
 MODEL = """<?xml version="1.0"?>
@@ -115,7 +116,7 @@ def test_diff_models(spark):
     base, target = chain(spark, [("t0", "t1")], 3), chain(spark, [("t0", "t1")], 4)
     assert diff.diff_models(base, base).count() == 0
     wider = type(target)(target.tables, target.columns.withColumn("length", F.when(F.col("table_id") == "t0", 9).otherwise(F.col("length"))), target.refs, target.indexes, target.keys)
-    got = diff.diff_models(base, wider)
+    got = cut_lineage(diff.diff_models(base, wider))
     assert sorted((r.object_type, r.kind, r.id, [tuple(x) for x in r.changes]) for r in got.collect()) == [("column", "modified", "t0c", [("Longitud", "1", "9")]), ("table", "added", "t3", [])]
     assert diff.diff_summary(got).first().asDict() == {"added": 1, "removed": 0, "modified": 1, "total": 2}
     lines = [r.line for r in diff.alter_statements(got, wider).orderBy("part").collect()]
