@@ -221,3 +221,69 @@ def global_search(spark, d):
 def cosine_top_20(spark, d):
     v = table(spark, d, "embeddings")
     return search.cosine_top(v, v.orderBy("vec_id").limit(1), 20)
+
+
+@query(oracle("""SELECT min(hop) + 1 AS steps FROM (WITH RECURSIVE e AS (SELECT parent_table AS a, child_table AS b FROM cat_refs UNION SELECT child_table, parent_table FROM cat_refs),
+    r AS (SELECT 'table-1' AS table_id, 0 AS hop UNION SELECT b, hop + 1 FROM r JOIN e ON e.a = r.table_id WHERE hop < 20) SELECT * FROM r) WHERE table_id = 'table-9' HAVING min(hop) IS NOT NULL"""))
+def shortest_path_steps(spark, d):
+    path = graph.shortest_path(synthetic_catalog(spark, d), "table-1", "table-9")
+    return path.agg(F.count(F.lit(1)).alias("steps")).filter("steps > 0")
+
+
+@query()
+def fk_cycles(spark, d):
+    c = synthetic_catalog(spark, d)
+    return graph.fk_cycles(c.tables, c.refs).select("cycle", F.array_join("tables", ",").alias("tables"))
+
+
+RELATION_SIDES = """(SELECT *, parent_table AS table_id, 'child' AS direction, child_table AS other_table FROM cat_refs UNION ALL
+    SELECT *, child_table, 'parent', parent_table FROM cat_refs WHERE parent_table <> child_table)"""
+
+
+@query(oracle(f"""SELECT r.table_id, r.ref_ord, r.ref_id, r.direction, r.other_table, coalesce(coalesce(pc.code, r.parent_column) || ' → ' || coalesce(cc.code, r.child_column), '') AS joins,
+        coalesce(i.names, '') AS covering FROM {RELATION_SIDES} r JOIN cat_tables p ON p.table_id = r.parent_table JOIN cat_tables q ON q.table_id = r.child_table
+    LEFT JOIN cat_columns pc ON pc.table_id = r.parent_table AND pc.column_id = r.parent_column LEFT JOIN cat_columns cc ON cc.table_id = r.child_table AND cc.column_id = r.child_column
+    LEFT JOIN (SELECT table_id, column_id, string_agg(name, ', ' ORDER BY index_ord) AS names FROM cat_indexes GROUP BY ALL) i ON i.table_id = r.child_table AND i.column_id = r.child_column"""))
+def relations(spark, d):
+    return graph.relations_of(synthetic_catalog(spark, d))
+
+
+@query(oracle("SELECT table_id, (table_ord % 3) * 340.0::double AS x, floor(table_ord / 3) * 260.0::double AS y FROM cat_tables"))
+def grid_positions(spark, d):
+    return graph.grid_positions(synthetic_catalog(spark, d))
+
+
+@query(oracle("SELECT DISTINCT split_part(code, '_', 1) AS prefix FROM cat_tables WHERE instr(code, '_') > 1"))
+def table_prefixes(spark, d):
+    return search.prefixes(synthetic_catalog(spark, d))
+
+
+@query(oracle("""SELECT t.table_id FROM cat_tables t LEFT JOIN (SELECT table_id, string_agg(name || ' ' || code, ' ' ORDER BY col_ord) AS cols FROM cat_columns GROUP BY table_id) c ON c.table_id = t.table_id
+    WHERE contains(lower(concat_ws(' ', t.name, t.code, c.cols)), 'green')"""))
+def filter_tables(spark, d):
+    return search.filter_tables(synthetic_catalog(spark, d), " Green ").select("table_id")
+
+
+@query()
+def lexical_search(spark, d):
+    return search.lexical_search(search.table_documents(synthetic_catalog(spark, d)), "supplier green").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(oracle("""SELECT i.table_id, i.index_ord, 'CREATE INDEX "' || i.name || '" ON "' || t.name || '" ("' || c.name || '");' AS ddl
+    FROM cat_indexes i JOIN cat_tables t ON t.table_id = i.table_id JOIN cat_columns c ON c.column_id = i.column_id"""))
+def ddl_indexes(spark, d):
+    return ddl.index_ddl(synthetic_catalog(spark, d))
+
+
+def second_version(c):
+    """The catalog without every tenth table, with other comments and lengths, as a second version of it."""
+    at, n = F.col("table_ord") % 10, F.col("col_ord") % 7
+    tables = c.tables.filter(at != 3).withColumn("comment", F.when(at == 5, "v2").otherwise(F.col("comment")))
+    columns = c.columns.withColumn("length", F.when(n == 0, F.coalesce("length", F.lit(0)) + 1).otherwise(F.col("length")))
+    return type(c)(tables, columns.join(tables.select("table_id"), "table_id", "left_semi"), c.refs, c.indexes, c.keys)
+
+
+@query()
+def diff_models(spark, d):
+    c = synthetic_catalog(spark, d)
+    return diff.diff_models(c, second_version(c)).withColumn("changes", F.to_json("changes"))
