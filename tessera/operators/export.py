@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 ORDER = ["phase", "owner", "rule_no", "item"]
@@ -23,3 +25,32 @@ def csv_lines(issues: DataFrame) -> DataFrame:
 def json_lines(issues: DataFrame) -> DataFrame:
     """(phase, owner, rule_no, item, line): each issue as a JSON object with all its fields."""
     return issues.select(*ORDER, F.to_json(F.struct("rule_id", "severity", "category", "title", "detail", "table_id", "table_name"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+#: Headings of the Markdown report by severity, in order.
+SEVERITIES = [("error", "Errores"), ("warning", "Avisos"), ("info", "Sugerencias")]
+TABLE_HEAD = "| Regla | Título | Tabla | Detalle |\n|-------|--------|-------|---------|"
+NO_ISSUES = "No se han encontrado incidencias."
+
+
+def markdown_lines(issues: DataFrame, score: DataFrame, name: str, day: str) -> DataFrame:
+    """(section, phase, owner, rule_no, item, line): the report's head (section 0), then for each severity that occurs its heading and
+    its issues. score: the row of lint_score with its counts by severity; day: the date as it is shown."""
+    low, zero = F.lit(-1).cast("long"), [F.lit(0).cast("long").alias(c) for c in ORDER]
+    head = F.concat(
+        F.lit(f"# Informe de calidad — {name}\n\n- **Fecha:** {day}\n- **Puntuación:** "), F.col("score").cast("string"), F.lit("/100\n- **Errores:** "), F.col("n_error").cast("string"),
+        F.lit("\n- **Avisos:** "), F.col("n_warning").cast("string"), F.lit("\n- **Sugerencias:** "), F.col("n_info").cast("string"), F.lit("\n"),
+        F.when(F.col("n_error") + F.col("n_warning") + F.col("n_info") == 0, "\n" + NO_ISSUES).otherwise(""),
+    )
+    counts = issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    titles = issues.sparkSession.createDataFrame([(i + 1, s, t) for i, (s, t) in enumerate(SEVERITIES)], "section int, severity string, title string")
+    headings = counts.join(F.broadcast(titles), "severity").select("section", *(low.alias(c) for c in ORDER), F.concat(F.lit("## "), "title", F.lit(" ("), F.col("n").cast("string"), F.lit(f")\n\n{TABLE_HEAD}")).alias("line"))
+    row = F.concat(F.lit("| `"), "rule_id", F.lit("` | "), "title", F.lit(" | "), F.coalesce("table_name", F.lit("—")), F.lit(" | "), F.replace("detail", F.lit("|"), F.lit("\\|")), F.lit(" |"))
+    number = F.array_position(F.array(*(F.lit(s) for s, _ in SEVERITIES)), F.col("severity")).cast("int")
+    rows = issues.select(number.alias("section"), *(F.col(c).cast("long").alias(c) for c in ORDER), row.alias("line"))
+    return score.select(F.lit(0).alias("section"), *zero, head.alias("line")).union(headings).union(rows)
+
+
+def report_filename(name: str, kind: str) -> str:
+    """informe-NAME.KIND with runs of other characters than letters and digits as dashes."""
+    return f"informe-{re.sub('[^a-z0-9]+', '-', name.lower()) or 'modelo'}.{'md' if kind == 'markdown' else kind}"

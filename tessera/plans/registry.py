@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import data_quality, ddl, diff, export, graph, lint as L, search
+from ..operators import data_quality, ddl, diff, export, graph, lint as L, migration, search
 from ..operators.duplicates import duplicate_tables
 from ..sources.synthetic import oracle, synthetic_catalog
 
@@ -287,3 +287,15 @@ def second_version(c):
 def diff_models(spark, d):
     c = synthetic_catalog(spark, d)
     return diff.diff_models(c, second_version(c)).withColumn("changes", F.to_json("changes"))
+
+
+@query()
+def migration_script(spark, d):
+    c = synthetic_catalog(spark, d)
+    return migration.script_lines(c, second_version(c))
+
+
+@query()
+def export_markdown(spark, d):
+    c = synthetic_catalog(spark, d)
+    return export.markdown_lines(L.lint(c), L.lint_score(c), "synthetic", "1/1/2026")

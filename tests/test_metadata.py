@@ -121,3 +121,15 @@ def test_diff_models(spark):
     assert diff.diff_summary(got).first().asDict() == {"added": 1, "removed": 0, "modified": 1, "total": 2}
     lines = [r.line for r in diff.alter_statements(got, wider).orderBy("part").collect()]
     assert lines[0].startswith("-- Nueva tabla: T3\nCREATE TABLE T3 (") and lines[1] == "ALTER TABLE T0 MODIFY (id 9);"
+
+
+def test_markdown(spark):
+    from test_operators import catalog
+
+    c = catalog(spark, [("t", "T", ["c"])], [("t", "c", "Code|ID", "INTEGER", 1, False, False)])
+    lines = export.markdown_lines(lint.lint(c), lint.lint_score(c), "shop", "1/1/2026").orderBy("section", *export.ORDER).collect()
+    assert lines[0].line.startswith("# Informe de calidad — shop\n\n- **Fecha:** 1/1/2026\n- **Puntuación:** ") and "- **Errores:** 1" in lines[0].line
+    assert lines[1].line == "## Errores (1)\n\n" + export.TABLE_HEAD and lines[2].line.startswith("| `pk-nullable` | ") and "Code\\|ID" in lines[2].line
+    none = export.markdown_lines(lint.lint(c, {"pk-nullable": "off", "fk-undeclared": "off"}), lint.lint_score(c, {"pk-nullable": "off", "fk-undeclared": "off"}), "x", "d").collect()
+    assert [r.section for r in none] == [0] and none[0].line.endswith(export.NO_ISSUES)
+    assert export.report_filename("My Shop!", "markdown") == "informe-my-shop-.md" and export.report_filename("", "csv") == "informe-modelo.csv"
