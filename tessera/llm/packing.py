@@ -52,15 +52,18 @@ class _Places(dict):
 class PretokenMemory:
     """Token ids by the tokenizers library, remembered per pre-token, which is what the library encodes one by one.
 
-    Texts with a character that the pattern above doesn't classify are given to the library whole. The memory is emptied when
-    it has grown beyond `most` pre-tokens.
+    Texts with a character that the pattern above doesn't classify, or with an added token such as <|endoftext|>, which the
+    library takes out of a text before it splits it, are given to the library whole. The memory is emptied when it has grown
+    beyond `most` pre-tokens.
     """
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
-        self.model.encode_special_tokens = True
+        added = [t.content for t in self.model.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.other = re.compile("|".join([OTHER.pattern, *map(re.escape, added)]))
         self.begins = np.zeros(self.model.get_vocab_size(), bool)
         self.begins[[i for token, i in self.model.get_vocab().items() if token[0] == "\u0120"]] = True
         self.clear()
@@ -85,7 +88,11 @@ class PretokenMemory:
         spaced = [k for k, p in enumerate(new) if p[0] == " " and p[1:2].isalpha()]
         for lo in range(0, len(spaced), 4096):
             at = spaced[lo : lo + 4096]
-            ids = np.array(self.model.encode_batch_fast(["".join([new[k] for k in at])], add_special_tokens=False)[0].ids, np.int64)
+            joined = "".join([new[k] for k in at])
+            if self.added.search(joined):  # made by the joining: one by one below
+                del spaced[lo:]
+                break
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
             heads = np.flatnonzero(self.begins[ids])
             self.store(np.array(at) + base, np.diff(np.append(heads, len(ids))), ids)
         single = set(spaced)
@@ -101,7 +108,7 @@ class PretokenMemory:
             self.clear()
         known = []
         for t in texts:
-            found = None if OTHER.search(t) else PRETOKEN.findall(t)
+            found = None if self.other.search(t) else PRETOKEN.findall(t)
             known.append(None if found is None else np.fromiter(map(self.places.__getitem__, found), np.int64, len(found)))
         if self.places.new:
             self.learn()

@@ -212,6 +212,19 @@ def test_tokens(text):
     assert t.encode([text])[0].tolist() == t.model.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y<|endoftext|", "plain text"]
+    fresh = Tokenizer.from_file(vocabulary())
+    want = {i: np.array([*fresh.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    assert want[0].tolist() == [64, 50256, 65, 1]
+    assert [x.tolist() for x in packing.PretokenMemory(vocabulary()).encode(texts)] == [x[:-1].tolist() for x in want.values()]
+    for r in packing.pack_documents(make(spark, list(enumerate(texts))), vocabulary()).collect():
+        assert r.doc_tokens == len(want[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
 def test_packing(docs, raw):
     t = packing.tokenizer(vocabulary())
     ids = {i: np.array([*t.model.encode(x, add_special_tokens=False).ids, 1], "<u4") for i, x in raw.items()}
