@@ -49,11 +49,21 @@ def gathered(pieces: Iterator[dict[str, np.ndarray]]) -> Iterator[dict[str, np.n
         yield {k: np.concatenate([x[k] for x in held]) for k in held[0]}
 
 
-def by_bucket(h: np.ndarray, buckets: int, columns: list[np.ndarray], x: dict[str, np.ndarray], local: np.ndarray) -> pa.RecordBatch:
+def named(units: Iterator[dict[str, np.ndarray]]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Units with names that no other unit of the stage has: the task's partition number and a counter, mixed one to one."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    for n, x in enumerate(units):
+        yield int(A.mix(np.array([task << 32 | n], np.uint64)).view(np.int64)[0]), x
+
+
+def by_bucket(
+    unit: int, h: np.ndarray, buckets: int, columns: list[np.ndarray], x: dict[str, np.ndarray], local: np.ndarray
+) -> pa.RecordBatch:
     """One row per bucket that has entries: `columns` and steps between places, packed. The row of one bucket, which is there
     in any case, carries the keys and word counts of the unit's documents; a row beyond the buckets carries the places that the
     unit has answered itself."""
-    unit = int(A.mix(np.array([x["keys"].sum()], np.uint64)).view(np.int64)[0])
     bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -112,7 +122,7 @@ def probe_hits(docs: DataFrame) -> DataFrame:
             yield {"h": h, "anchor": anchor, "at": at, "keys": u.column("doc_id").fill_null(LAST).to_numpy().view(np.uint64), "counts": w.counts}
 
     def probe(batches):
-        for x in gathered(pieces(batches)):
+        for unit, x in named(gathered(pieces(batches))):
             h, anchor, at = x["h"], x["anchor"], x["at"]
             # places that this unit answers: their hash is that of a block here, and occurs twice or more here
             order = np.argsort(h)
@@ -126,7 +136,7 @@ def probe_hits(docs: DataFrame) -> DataFrame:
             s = np.flatnonzero(sent)
             h, flag, place = h[s], (anchor | answered)[s], at[s]
             columns = [lambda i: h[i] & np.uint64(0xFFFFFFFF), lambda i: flag[i], lambda i: np.diff(place[i], prepend=0)]
-            yield by_bucket(h, buckets, columns, x, at[answered])
+            yield by_bucket(unit, h, buckets, columns, x, at[answered])
 
     def met(h: np.ndarray, block: np.ndarray, cut: np.ndarray) -> np.ndarray:
         ok = np.zeros(len(h), bool)
@@ -178,7 +188,7 @@ def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
         return out
 
     def extend(batches):
-        for x in gathered(pieces(batches)):
+        for unit, x in named(gathered(pieces(batches))):
             known = larger(x["h"], x["check"], x["ids"])  # in this unit; the rest, of the smallest documents, travels
             s = np.flatnonzero(~known)
             h, check, ids, place = (x[c][s] for c in ("h", "check", "ids", "at"))
@@ -186,7 +196,7 @@ def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 lambda i: h[i], lambda i: check[i], lambda i: np.diff(ids[i].view(np.uint64), prepend=np.uint64(0)),
                 lambda i: np.diff(place[i], prepend=0),
             ]
-            yield by_bucket(h, buckets, columns, x, x["at"][known])
+            yield by_bucket(unit, h, buckets, columns, x, x["at"][known])
 
     def judged(h: np.ndarray, check: np.ndarray, steps: np.ndarray, cut: np.ndarray) -> np.ndarray:
         ids = [np.cumsum(steps[lo:hi], dtype=np.uint64).view(np.int64) for lo, hi in zip(cut, cut[1:])]

@@ -306,6 +306,18 @@ def test_substrings(docs, raw):
         assert (r.n_words, r.n_removed) == (len(w), len(gone)) and r.kept == " ".join(x for j, x in enumerate(w) if j not in gone)
 
 
+def test_units_of_equal_id_sums_stay_apart(spark):
+    """Every row, or pair of rows, is alone in its partition; ids 1, 4 and 2, 3 have equal sums, and so have rows of one id."""
+    rng = random.Random(6)
+    passage = {k: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abcd"}
+    rows = [(1, passage["a"]), (4, "x " + passage["b"]), (2, passage["b"]), (3, "y z " + passage["a"])]
+    rows += [(7, passage["c"]), (7, passage["d"]), (8, "u " + passage["c"]), (9, "v w " + passage["d"])]
+    units = [rows[:2], rows[2:4], *([r] for r in rows[4:])]
+    d = spark.createDataFrame(spark.sparkContext.parallelize(units, len(units)).flatMap(list), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.drop_repeated_passages(d).collect())
+    assert got == [(1, 60, 0), (2, 60, 0), (3, 62, 60), (4, 61, 60), (7, 60, 0), (7, 60, 0), (8, 61, 60), (9, 62, 60)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
