@@ -1,19 +1,24 @@
 """Mixing sources to target weights, in DataFrame functions only: Pfair scheduling of source blocks, earliest deadline first.
 
-A source's documents, in a fixed pseudo-random order, fill blocks of equal text size. With the integer share a of all H shares,
-block j of a source is released at slot floor(j * H / a) and due at slot ceil((j + 1) * H / a); every slot takes the released
-block with the earliest deadline (ties: the first source in order of name). Shares add up to H, so every deadline is met and,
-after any number of slots, each source is less than one block from its target. The schedule repeats after H slots: one period
-is computed, and every block of any source finds its slot from it by division.
+A source's documents, in a fixed pseudo-random order, fill blocks of equal text size. With the share a of all H shares, block
+j of a source is released at slot floor(j * H / a) and due at slot ceil((j + 1) * H / a); every slot takes the released block
+with the earliest deadline (ties: the first source in order of name). Shares are the target weights in units of 2**-40, so
+their rounding moves no block: after any number of slots, each source that has blocks left is less than one block from its
+target. All blocks of the input are scheduled; the schedule does not repeat.
 
-A source that has run out leaves its slots empty; `on_target` marks the documents before the first such slot.
+A source that has run out takes no slots, and slots in which no block is released stay empty; `on_target` marks the documents
+before the first slot that is empty or after which a source that has run out is a block or more behind its target.
+
+The schedule is a run over the blocks, one step each, on one row: first the state at every STEPS-th block, then all stretches
+in between side by side.
 
 Ranks inside a source come from 4096 buckets of the order's hash: sums per bucket, their running totals, and a running sum
 inside the bucket, so that a source with a third of all rows is spread like any other.
 
 Edge cases: a null source is a source of its own; a null or empty text has size 0 and shares its neighbour's block; repeated
 rows get neighbouring places; ties in the order are broken by id and text; one source gets all slots; an empty table gives an
-empty result; target weights of sources that have no document are left out.
+empty result; target weights of sources that have no document are left out; documents of a source with weight 0, or not named
+in the weights, have no slot (null) and are not on target.
 """
 
 from __future__ import annotations
@@ -21,54 +26,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 NO_SOURCE = "\x00"
+STEPS = 256  # blocks of a stretch of the schedule
 
 
 def shares_of(sizes: DataFrame, weights: dict[str, float] | None, total: int) -> DataFrame:
-    """(mix_source, share) from (mix_source, size): shares of about `total`, at least 1. Without weights, the target of a
-    source is in proportion to the square root of its size."""
+    """(mix_source, share) and the other columns of sizes, from (mix_source, size): shares of about `total`, at least 1 for a
+    weight above 0; other sources are left out. Without weights, the target of a source is in proportion to the square root of
+    its size."""
     if weights is None:
         w = F.sqrt(F.greatest("size", F.lit(1)).cast("double"))
     else:
         w = F.coalesce(*(F.when(F.col("mix_source") == k, float(v)) for k, v in weights.items()), F.lit(0.0))
     all_ = Window.partitionBy(F.lit(0))
-    share = F.greatest(F.lit(1), F.round(total * F.col("w") / F.greatest(F.sum("w").over(all_), F.lit(1e-300)))).cast("long")
-    return sizes.select("mix_source", w.alias("w")).select("mix_source", share.alias("share"))
+    share = F.greatest(F.lit(1), F.round(total * F.col("w") / F.sum("w").over(all_))).cast("long")
+    return sizes.withColumn("w", w).filter("w > 0").withColumn("share", share).drop("w", "size")
 
 
 def schedule(shares: DataFrame) -> DataFrame:
-    """One period of the schedule: (mix_source, share, period, turn, place), where the source's block number `turn` of the
-    period has the slot number `place`. The number of rows is the number of shares, whatever the number of documents."""
-    one = shares.agg(F.array_sort(F.collect_list(F.struct("mix_source", "share"))).alias("s"))
-    one = one.withColumn("a", F.transform("s", lambda x: x["share"]))
-    one = one.withColumn("h", F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y)).filter("h > 0")
-    h, a = F.col("h"), F.col("a")
+    """(mix_source, share, turn, place, ends): the slot number `place` of the source's block number `turn`, for its first
+    `blocks` blocks (without that column: one period, as many blocks as shares). ends: the first slot off target."""
+    if "blocks" not in shares.columns:
+        shares = shares.withColumn("blocks", F.col("share"))
+    one = shares.agg(F.array_sort(F.collect_list(F.struct("mix_source", "share", "blocks"))).alias("s"))
+    one = one.withColumns({"a": F.transform("s", lambda x: x["share"]), "n": F.transform("s", lambda x: x["blocks"])})
+    one = one.withColumns({c: F.aggregate(x, F.lit(0).cast("long"), lambda p, q: p + q) for c, x in (("h", "a"), ("m", "n"))}).filter("h > 0 AND m > 0")
 
     def div(x: Column, y: Column) -> Column:
         return F.call_function("div", x, y)
 
-    def pick(counts: Column, t: Column) -> Column:
-        def due(c: Column, i: Column) -> Column:
-            n = F.get(a, i)
-            ready = (c < n) & (div(c * h, n) <= t)
-            return F.when(ready, F.struct(div((c + 1) * h + n - 1, n).alias("due"), i.alias("i")))
-
-        return F.array_min(F.transform(counts, due))["i"]
-
-    def step(state: Column, t: Column) -> Column:
-        i = pick(state["counts"], t)
-        counts = F.transform(state["counts"], lambda c, k: F.when(k == i, c + 1).otherwise(c))
-        return F.struct(counts.alias("counts"), F.concat(state["picks"], F.array(i)).alias("picks"))
-
-    start = F.struct(F.transform("a", lambda x: F.lit(0).cast("long")).alias("counts"), F.expr("cast(array() as array<int>)").alias("picks"))
-    picks = F.aggregate(F.sequence(F.lit(0).cast("long"), h - 1), start, step, lambda s: s["picks"])
-    slots = one.select("s", "h", F.posexplode(picks).alias("place", "i"))
-    slots = slots.select(F.get("s", F.col("i")).alias("x"), F.col("h").alias("period"), "place").select("x.*", "period", "place")
-    turn = F.row_number().over(Window.partitionBy("mix_source").orderBy("place")) - 1
-    return slots.select("mix_source", "share", "period", turn.cast("long").alias("turn"), F.col("place").cast("long").alias("place"))
+    def after(c: Column, a: Column, h: Column) -> Column:
+        """Due slot of block c: ceil((c + 1) * h / a)."""
+        return div(c + 1, a) * h + div((c + 1) % a * h + a - 1, a)
+
+    def release(c: Column, a: Column, h: Column) -> Column:
+        return div(c, a) * h + div(c % a * h, a)
+
+    def step(counts: Column, t: Column) -> tuple[Column, Column]:
+        """The slot of the next block and its source's number, from the blocks placed and the next free slot."""
+        def window(c: Column, i: Column) -> Column:
+            a = F.get("a", i)
+            return F.when(c < F.get("n", i), F.struct(F.greatest(release(c, a, F.col("h")), t).alias("at"), after(c, a, F.col("h")).alias("due"), i.alias("i")))
+
+        # the earliest slot in which a block is released, and there the earliest deadline
+        return F.array_min(F.transform(counts, window))
+
+    def moved(state: Column) -> Column:
+        return F.aggregate(F.array(step(state["counts"], state["t"])), state, lambda s, p: F.struct(
+            F.transform(s["counts"], lambda c, k: F.when(k == p["i"], c + 1).otherwise(c)).alias("counts"), (p["at"] + 1).alias("t"), p["i"].alias("i")
+        ))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.transform("a", lambda x: zero).alias("counts"), zero.alias("t"), F.lit(0).alias("i"))
+    few = lambda k: F.sequence(F.lit(1).cast("long"), F.least(F.lit(STEPS).cast("long"), F.col("m") - k * STEPS))
+    last = lambda x: F.element_at(x, -1)
+    stretches = F.sequence(zero, div(F.col("m") - 1, F.lit(STEPS).cast("long")))
+    states = F.aggregate(stretches, F.array(start), lambda x, k: F.concat(x, F.array(F.aggregate(few(k), last(x), lambda s, _: moved(s)))))
+    part = one.select("s", "a", "n", "h", "m", F.posexplode(states).alias("k", "state")).filter(F.col("k") * STEPS < F.col("m"))
+    part = part.repartition("k")
+    placed = F.aggregate(few(F.col("k").cast("long")), F.array("state"), lambda x, _: F.concat(x, F.array(moved(last(x)))))
+    rows = part.select("s", "k", F.posexplode(placed).alias("o", "x")).filter("o > 0")
+    rows = rows.select(
+        F.get("s", F.col("x.i")).alias("y"), (F.get("x.counts", F.col("x.i")) - 1).alias("turn"), (F.col("x.t") - 1).alias("place"),
+        (F.col("k").cast("long") * STEPS + F.col("o") - 1).alias("rank"),
+    ).select("y.mix_source", "y.share", "turn", "place", "rank")
+    late = one.select(F.array_min(F.transform("s", lambda x: after(x["blocks"], x["share"], F.col("h")) - 1)).alias("late"))
+    gap = rows.agg(F.min(F.when(F.col("place") > F.col("rank"), F.col("rank"))).alias("gap"))
+    ends = gap.crossJoin(late).select(F.least("gap", "late").alias("ends"))
+    return rows.drop("rank").crossJoin(F.broadcast(ends))
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = 65_536, shares: int = 1000
+    docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = 65_536, shares: int = 1 << 40
 ) -> DataFrame:
     """All rows of docs with mix_block, mix_slot, mix_start (characters of its source before the document) and on_target.
     The mixed order is that of mix_slot, then mix_start."""
@@ -81,6 +109,7 @@ def mix_sources(
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("mix_source", "mix_bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("mix_offset"))
     sizes = sums.groupBy("mix_source").agg(F.sum("size").alias("size"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("size") / block_chars)).cast("long"))
     plan = schedule(shares_of(sizes, weights, shares))
     inner = (
         Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_order", F.col("doc_id").asc_nulls_last(), "mix_hash")
@@ -88,21 +117,17 @@ def mix_sources(
     )
     placed = d.withColumn("mix_inner", F.coalesce(F.sum("mix_size").over(inner), F.lit(0)))
     placed = placed.join(offsets, ["mix_source", "mix_bucket"]).withColumn("mix_start", F.col("mix_offset") + F.col("mix_inner"))
-    placed = placed.withColumn("mix_block", F.floor(F.col("mix_start") / block_chars))
-    small = plan.select("mix_source", "share").distinct()
-    placed = placed.join(F.broadcast(small), "mix_source").withColumn("turn", F.col("mix_block") % F.col("share"))
-    placed = placed.join(F.broadcast(plan.drop("share")), ["mix_source", "turn"])
-    slot = F.expr("mix_block div share") * F.col("period") + F.col("place")
-    # the first slot that no source can fill: the one of the block after a source's last
-    blocks = sizes.select("mix_source", F.greatest(F.lit(1), F.ceil(F.col("size") / block_chars)).alias("n"))
-    ends = blocks.join(F.broadcast(plan), "mix_source").filter("turn = n % share")
-    end = ends.agg(F.min(F.expr("n div share") * F.col("period") + F.col("place")).alias("mix_end"))
-    placed = placed.withColumn("mix_slot", slot).join(F.broadcast(end.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
-    return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_start", (F.col("mix_slot") < F.col("mix_end")).alias("on_target"))
+    # a document of size 0 is in the block of the character before it, so that none starts behind the last block
+    first = F.greatest(F.lit(0), F.col("mix_start") - (F.col("mix_size") == 0).cast("long"))
+    placed = placed.withColumn("mix_block", F.floor(first / block_chars))
+    slots = plan.select("mix_source", F.col("turn").alias("mix_block"), F.col("place").alias("mix_slot"), "ends")
+    placed = placed.join(F.broadcast(slots), ["mix_source", "mix_block"], "left")
+    on_target = F.coalesce(F.col("mix_slot") < F.col("ends"), F.lit(False))
+    return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_start", on_target.alias("on_target"))
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """All rows of docs, in files and rows in the mixed order."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mixed = mix_sources(docs, **options).repartitionByRange(n, "mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start", "doc_id")
+    mixed = mix_sources(docs, **options).repartitionByRange(n, F.asc_nulls_last("mix_slot"), "mix_start").sortWithinPartitions(F.asc_nulls_last("mix_slot"), "mix_start", "doc_id")
     return mixed.select(*docs.columns)

@@ -84,6 +84,21 @@ def test_mixing(docs, raw):
     assert counts.min() >= 0 and set(m.source) == set(plan.mix_source)
 
 
+def test_mixing_keeps_to_the_exact_weights(spark):
+    """Weights that no share of 1000 meets, against the weights themselves over the whole schedule."""
+    weights = {"a": 0.5004, "b": 0.4993, "c": 0.0003, "zero": 0.0}
+    rows = [(i, "x" * 10, s) for i, s in enumerate(["a"] * 1800 + ["b"] * 1800 + ["c"] * 3 + ["zero"] * 5 + ["unnamed"] * 5)]
+    m = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block_chars=10).toPandas()
+    assert len(m) == len(rows)
+    assert m[m.source.isin(["zero", "unnamed"])].mix_slot.isna().all() and not m[m.source.isin(["zero", "unnamed"])].on_target.any()
+    m = m[m.mix_slot.notna()].sort_values("mix_slot")
+    assert len(m) == 3603 and m.mix_slot.is_unique
+    m = m[m.on_target]
+    assert len(m) > 3590 and list(m.mix_slot) == list(range(len(m)))
+    for source, w in weights.items():
+        assert np.abs(np.cumsum((m.source == source).to_numpy()) - w * np.arange(1, len(m) + 1)).max() < 1
+
+
 @pytest.mark.parametrize("least", [1, 2, 3, 4])
 def test_lines(docs, raw, least):
     seen, want = set(), {}
