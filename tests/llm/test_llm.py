@@ -333,6 +333,21 @@ def test_units_of_equal_id_sums_stay_apart(spark):
     assert got == [(1, 60, 0), (2, 60, 0), (3, 62, 60), (4, 61, 60), (7, 60, 0), (7, 60, 0), (8, 61, 60), (9, 62, 60)]
 
 
+def test_sequences_follow_the_mix(spark):
+    """Source a has four times the text of b, so a target of 2/3: prefixes of sequence_id hold it, whatever order docs come in."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(340)), "a" if i < 1600 else "b", "en", 1) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    got = corpus_pipeline.packing_stage(spark, d, DATA).toPandas().sort_values(["sequence_id", "offset"])
+    assert set(got.doc_id) == set(range(2000))
+    tokens, of_b = got.length.cumsum().to_numpy(), (got.length * (got.doc_id >= 1600)).cumsum().to_numpy()
+    for part in (0.2, 0.3, 0.4, 0.5):
+        k = np.searchsorted(tokens, part * tokens[-1])
+        assert abs(of_b[k] / tokens[k] - 1 / 3) < 0.08
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
