@@ -7,7 +7,7 @@ wrong labels) is dropped, unless it is its language's best. The nearest centroid
 than nearly all of the centroid's own training documents is marked rejected.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, as is every text when nothing could be learned; a
-null id is hashed as the empty text; repeated rows get equal results; ties go to the first language in order of name.
+null id is hashed as the empty text; extra columns are ignored; repeated rows get equal results; ties go to the first language in order of name.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import arrays as A
-from .spread import vector_sum
+from .spread import spread_join, vector_sum
 
 DIMS = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -94,6 +94,17 @@ def trusted_centroids(sample: DataFrame, model: list, idf: np.ndarray) -> list:
     return [r for j, r in enumerate(model) if good[j] or (own[j], -j) == best[r.lang]]
 
 
+def smallest_hashes(ids: DataFrame, most: int) -> DataFrame:
+    """Of each language's distinct ids the `most` with the smallest hashes. Hashes are spread evenly, so all but about twice that
+    many are left out by their hash alone, and only the rest is ranked: no language's rows meet in one task."""
+    ids = ids.withColumn("hash", F.xxhash64("doc_id"))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = (F.col("hash").cast("double") + 2.0**63) / 2.0**64
+    near = spread_join(ids, sizes, ["lang"], ["doc_id"]).filter(share * F.col("n") <= 2 * most + 50)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", F.col("doc_id").asc_nulls_last()))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "lang")
+
+
 def identify_languages(docs: DataFrame, sample_per_lang: int = 300, clusters: int = 4, folds: int = 5) -> DataFrame:
     """Predicts the language of every document, learning from rows whose crc32(doc_id as text) mod folds is not 0.
 
@@ -114,10 +125,7 @@ def identify_languages(docs: DataFrame, sample_per_lang: int = 300, clusters: in
     total = vector_sum(train.select("text").mapInArrow(frequencies, "df binary"))
     df, n = (total[0][:-1], total[0][-1]) if total else (np.zeros(DIMS), 0)
     idf = np.log((1 + n) / (1 + df)) + 1
-    ranked = train.select("doc_id", "lang").distinct().withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    )
-    picked = ranked.filter(F.col("rank") <= sample_per_lang).select("doc_id", "lang")
+    picked = smallest_hashes(train.select("doc_id", "lang").distinct(), sample_per_lang)
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = vectors(pa.array(rows.sort_values("doc_id")["text"], pa.string()), idf)

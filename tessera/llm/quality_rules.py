@@ -5,7 +5,7 @@ one those of all documents; both are smoothed. A document's verdict is the mean
 log p_trusted - log p_raw, against a fixed threshold: no sampling, no random choice.
 
 Edge cases: a null text counts as empty and fails the base rule; repeated rows get equal verdicts; a null id is kept as a
-null id; without any labelled document both multinomials are uniform over the raw counts' smoothing, so the ratio is 0 or
+null id; extra columns are ignored by the verdicts and kept by `drop_low_quality`; without any labelled document both multinomials are uniform over the raw counts' smoothing, so the ratio is 0 or
 above the threshold and only the base rules decide; an empty table gives an empty result.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrays as A
 from .spread import vector_sum
 
-BUCKETS, THRESHOLD = 1 << 16, -0.25
+BUCKETS, THRESHOLD, UNIT = 1 << 16, -0.25, 2.0**-32
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -115,7 +115,9 @@ def judged(texts: pa.Array, table: np.ndarray, threshold: float) -> dict[str, np
     w = A.scan(texts)
     c = base_counts(w)
     code, at = trigram_buckets(w.data, w.off)
-    llr = np.diff(np.concatenate([[0.0], np.cumsum(table[code])])[at]) / np.maximum(np.diff(at), 1)
+    # whole multiples of UNIT: sums don't depend on the order of documents or on what shares a batch
+    steps = np.round(table / UNIT).astype(np.int64)[code]
+    llr = A.per_text(steps, at) * UNIT / np.maximum(np.diff(at), 1)
     failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
     return c | {"base_failed": failed, "kept": ~failed & (llr >= threshold), "llr": llr}
 

@@ -28,8 +28,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Target weights of the registered mix: every other source has weight 1, so src0 gets four blocks for one of another's.
+TARGETS = {"src0": 4.0}
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mix_sources(table(spark, sf_dir, "documents"), TARGETS, other=1.0)
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_start", "on_target")
 
 
@@ -59,8 +63,6 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # smaller Arrow batches: texts cross to Python and back three times, and each crossing holds whole batches outside the heap
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     d = drop_repeated_passages(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

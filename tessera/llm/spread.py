@@ -1,37 +1,83 @@
-"""Spark helpers that the operators share."""
+"""Spark helpers that the operators share.
+
+Edge cases: `spread_join` takes keys that are null as a join does (they meet nothing); `vector_sum` of no rows is None;
+`materialise` of an empty table gives an empty table of the same columns.
+"""
 
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..session import checkpoint_folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "tessera-shared")
-    return folder.rstrip("/")
+    """This application's folder in the one that driver and executors share; `clean_up` deletes it."""
+    return f"{checkpoint_folder(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that the operators have written for themselves; results not yet written or collected are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(docs: DataFrame, bytes_each: int) -> int:
+    """Buckets of about bytes_each bytes of text, so that what meets in one has a bounded size; at least one a shuffle partition."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(parts(docs.sparkSession), -(-size // bytes_each))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once, also where `use` needs it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, by: list[str], spread_by: list[str], ways: int = 64) -> DataFrame:
+    """rows joined with groups, which has one row for each value of `by` and n, its number of rows.
+
+    A value with more than one in 1024 of all rows is hot: there are at most 1024 of these, so the list of them is broadcast;
+    their rows are salted by a hash of spread_by over several tasks, and their group is sent to each of them."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col("n") * 1024 > total).select(*by, F.lit(True).alias("hot_")))
+    salt = F.when(F.col("hot_"), F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int")).otherwise(0)
+    copies = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, by, "left").withColumn("salt_", salt).drop("hot_")
+    right = groups.join(hot, by, "left").withColumn("salt_", F.explode(copies)).drop("hot_")
+    return left.join(right, [*by, "salt_"]).drop("salt_")
+
+
 def _add_up(batches):
     total: list[np.ndarray] | None = None
     kinds: list[pa.DataType] = []
