@@ -8,7 +8,8 @@ places. A bucket reports the places whose hash is that of a block and that occur
 Hits are extended: all windows of 50 words around a hit are hashed (80 bits) and travel packed to the bucket of their hash,
 which keeps the smallest document of each sequence; windows of any larger document are repeats, and their union is the maximal
 repeats. Work and traffic grow with the words, never with pairs of documents: places that share a hash inside a unit of text
-are answered there, and only one of them, or those of the smallest document, travels.
+are answered there, and only one of them, or those of the smallest document, travels. The number of buckets follows the size of
+the input, so a bucket, which is one group in memory, holds the entries of a bounded stretch of text.
 
 Edge cases: a null text has no words; a null id is larger than any other and null ids are equal; rows with equal ids don't
 remove each other's words, also where they repeat; windows are judged on the input; a text of fewer than 50 words stays; an
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrays as A
-from .spread import materialise, parts
+from .spread import buckets_for, materialise, small_batches
 
 WINDOW, BLOCK = 50, 25
 LAST = 2**63 - 1  # stands for a null id
 UNIT_WORDS = 500_000  # entries of so many words are packed together
+BUCKET_BYTES = 16 << 20  # text whose entries meet in one bucket, about
+BATCH_ROWS = 1000  # texts cross to Python and back three times, and each crossing holds whole batches outside the heap
 
 
 SENT = {"bucket": pa.int32(), "unit": pa.int64(), "entries": pa.binary(), "keys": pa.binary()}
@@ -109,9 +112,8 @@ def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def probe_hits(docs: DataFrame) -> DataFrame:
+def probe_hits(docs: DataFrame, buckets: int) -> DataFrame:
     """(key, places): per document, by id or LAST, the packed places where a probe met a block, or a block was met."""
-    buckets = parts(docs.sparkSession)
 
     def pieces(batches):
         for u in A.units(batches):
@@ -155,12 +157,11 @@ def probe_hits(docs: DataFrame) -> DataFrame:
     return found.groupBy("unit").applyInArrow(per_document, "key long, places binary")
 
 
-def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, hits: DataFrame, buckets: int) -> DataFrame:
     """Hits and repeats grow with the input, so they are merged with the documents at any size, never broadcast.
 
     (key, places): packed starts of the windows whose sequence of words starts in a document with a smaller id too, by the
     key of the document's id and text."""
-    buckets = parts(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
     near = hits.groupBy("key").agg(F.collect_list("places").alias("hits")).withColumnRenamed("key", "doc")
 
@@ -213,8 +214,11 @@ def repeated_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept, the words left, joined by single spaces."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = materialise(probe_hits(docs))
-    found = materialise(repeated_windows(docs, hits)).groupBy(F.col("key").alias("row")).agg(F.collect_list("places").alias("starts"))
+    buckets = buckets_for(docs, BUCKET_BYTES)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        hits = materialise(probe_hits(docs, buckets))
+        repeats = materialise(repeated_windows(docs, hits, buckets))
+    found = repeats.groupBy(F.col("key").alias("row")).agg(F.collect_list("places").alias("starts"))
 
     def key(batches):
         for u in A.units(batches):
