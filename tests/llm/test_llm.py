@@ -154,6 +154,21 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
+def test_links_between_saturated_groups(spark):
+    """Two dense groups, each vector's ten nearest in its own, with links from one to the other: one component."""
+    rng = np.random.default_rng(8)
+    a, side = np.zeros(32), np.zeros(32)
+    a[0], side[1] = 1.0, 1.0
+    b = math.cos(0.27) * a + math.sin(0.27) * side  # cosine 0.964
+    x = np.concatenate([a + rng.normal(size=(40, 32)) * 0.008, b + rng.normal(size=(40, 32)) * 0.008])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    assert near[:40, 40:].any() and (np.sort(u[:40] @ u[:40].T, 1)[:, -11] > (u[:40] @ u[40:].T).max(1)).all()
+    rows = embedding_dedup.embedding_components(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == {i: (int(near[i].sum()) - 1, 0) for i in range(80)}
+    assert {r.audited_recall for r in rows} == {1.0}
+
+
 def test_lm_base_and_gain(docs, raw):
     tokens = {i: [*WORD.findall(t.translate(ASCII_LOWER)), None] for i, t in raw.items()}
     c = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
