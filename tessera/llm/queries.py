@@ -10,7 +10,7 @@ from .language_id import identify_languages
 from .line_dedup import drop_repeated_lines
 from .lm_scoring import score_documents
 from .mixing import mix_sources
-from .packing import pack_documents
+from .packing import pack_conversations, pack_documents
 from .quality_rules import quality_verdicts
 from .secrets import secret_digest
 from .simhash import simhash_components
@@ -75,6 +75,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of op10 for instruction data, where all three limits bind: whole conversations of the conversations table."""
+    return pack_conversations(table(spark, sf_dir, "conversations"), vocabulary())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_line_dedup, op3_embedding_dedup, op4_lm_scoring, op5_language_id, op6_simhash, op7_secret_scan,
-    op8_substring_dedup, op9_quality_rules, op10_packing, pipeline,
+    op8_substring_dedup, op9_quality_rules, op10_packing, conversation_packing, pipeline,
 )}
 
 #: SQL for DuckDB. The other operators need hashes, models, tokenizers or closures that SQL doesn't express; the tests hold them

@@ -8,16 +8,18 @@ list. Within a list the shared positional bytes of each pair are tallied, pairs
 is verified on all bits.
 
 `drop_near_duplicates` looks for a Jaccard similarity of 0.8 of five-word shingles. There two fingerprints differ in 15 % of
-their bits, which no 64-bit fingerprint tells apart well, so it takes 256 bits (32 positional bytes), 64 posted triples, a
-minimum of 3 shared positional bytes and verifies at most 39 differing bits. Here the index is not exhaustive: a pair at 0.8
-meets with a probability of about 0.7, at 0.85 of 0.9, at 0.9 of 0.99, and groups are closed over their links.
+their bits, which no 64-bit fingerprint tells apart well, so it takes 1024 bits (128 positional bytes), 160 posted triples, a
+minimum of 3 shared positional bytes and verifies at most 166 differing bits. Here the index is not exhaustive: of pairs at 0.8
+to 0.85 some 94 % are found, above that nearly all; tests/llm/measure_near_duplicates.py measures this. Groups are closed over
+their links.
 
-Equal fingerprints become one entry first. A posting list is compared in blocks of bounded size, so a list that holds a large
+Equal fingerprints become one entry first. Posts carry only an entry's number; those of lists with a single entry go before
+fingerprints are attached. A posting list is compared in blocks of bounded size, so a list that holds a large
 part of all entries is spread over many groups, and each group returns a spanning forest of its links rather than all pairs.
 
 Edge cases: a text without a word (null, empty, white space) has fingerprint zero and links like any other; a text of fewer
-words than a shingle is one shingle; null ids have their fingerprint and a null component; repeated rows share a component; an
-empty table gives an empty result.
+words than a shingle is one shingle; null ids have their fingerprint and a null component; repeated rows share a component; extra
+columns of any name are kept by `drop_near_duplicates` and ignored by `simhash_components`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import arrays as A
 from .components import components
-from .spread import materialise
+from .spread import materialise, spread_join
 
 
 def covering(most_positions: int = 8, shared: int = 4, size: int = 3) -> list[tuple[int, ...]]:
@@ -142,13 +144,13 @@ def links(distinct: DataFrame, triples: list[tuple[int, ...]], least_bytes: int,
             raw = np.frombuffer(fp.buffers()[2], np.uint8)[fp[0:1].offset * width :][: batch.num_rows * width].reshape(-1, width)
             key = raw[:, at].astype(np.int64) @ np.array([1, 256, 65536]) + (np.arange(len(at)) << 24)
             for i in range(len(at)):
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, i]), batch.column("id"), fp], ["list", "id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, i]), batch.column("id")], ["list", "id"])
 
-    posts = distinct.select("id", "fp").mapInArrow(post, "list long, id long, fp binary")
-    sizes = posts.groupBy("list").count().filter("count > 1")
+    posts = distinct.select("id", "fp").mapInArrow(post, "list long, id long")
+    sizes = materialise(posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     # blocks of a list meet in pairs: an entry of block x goes to the groups (x, y) and (y, x) of all y
-    in_lists = posts.join(sizes, "list").withColumn("n", F.ceil(F.col("count") / block).cast("int"))
-    in_lists = in_lists.withColumn("x", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    in_lists = spread_join(posts, sizes, ["list"], ["id"]).withColumn("n", F.ceil(F.col("n") / block).cast("int"))
+    in_lists = in_lists.join(distinct.select("id", "fp"), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     placed = in_lists.select("list", "id", "fp", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"))
     gathered = placed.groupBy("list", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.struct("id", "fp")).alias("g"))
 
@@ -220,10 +222,11 @@ def hex_of(fp: str):
     return F.lower(F.concat(*(F.hex(F.substring(fp, 8 - i, 1)) for i in range(8))))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, least_bytes: int = 3, most_bits: int = 39, triples: int = 64) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 16, least_bytes: int = 3, most_bits: int = 166, triples: int = 160) -> DataFrame:
     """The documents with one of each group left: the smallest doc_id; repeated rows of that id all stay, and so do rows with a
     null id. With the defaults two documents link at a similarity of 0.8 of their five-word shingles."""
     named = grouped(wide_fingerprints(docs, shingle, words), scattered(8 * words, triples), least_bytes, most_bits)
     kept = named.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    stays = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    return stays.unionByName(docs.filter("doc_id IS NULL"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("kept_id"))
+    stays = rows.join(kept, "kept_id", "left_semi").unionByName(rows.filter("kept_id IS NULL"))
+    return stays.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

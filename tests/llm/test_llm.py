@@ -256,6 +256,18 @@ def test_near_duplicates_go_and_others_stay(spark):
     assert set(range(60)) <= kept and len(kept - set(range(60))) <= 1
 
 
+def test_near_duplicates_by_similarity(spark):
+    """Nine of ten pairs at the stated similarity are found, and hardly one that is far below it."""
+    from tests.llm.measure_near_duplicates import found
+
+    by_band = found(spark, 3000)
+    for band, (got, all_) in by_band.items():
+        if band >= 0.8:
+            assert got >= 0.9 * all_, by_band
+        if band < 0.65:
+            assert got <= 0.05 * all_, by_band
+
+
 def test_spread_out_posting_list(spark):
     """Blocks of a long posting list meet each other."""
     ids = list(range(50))
