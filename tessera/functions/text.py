@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 #: Fixed values.
 STOPWORDS = "de del la el los las un una unos unas y o con por para al en of the and for to from".split()
@@ -29,8 +29,9 @@ def singularize(t: Column) -> Column:
 
 
 def synonym_map(groups: list[list[str]]) -> Column:
-    """Word to the first word of its group, as a map literal."""
-    return F.create_map(*(F.lit(x) for g in groups for w in g for x in (w, g[0]))) if groups else F.lit(None).cast("map<string,string>")
+    """Word to the first word of its (last) group, as a map literal."""
+    known = {w: g[0] for g in groups for w in g}
+    return F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if known else F.lit(None).cast("map<string,string>")
 
 
 def tokenize(value: Column, synonyms: list[list[str]] | None = None) -> Column:
@@ -47,6 +48,39 @@ def canonical_terms(value: Column, synonyms: list[list[str]] | None = None) -> C
     return F.array_distinct(F.transform(tokenize(value, synonyms), lambda t: t["canonical"]))
 
 
+def term_set(value: Column, synonyms: list[list[str]] | None = None) -> Column:
+    """The tokens of a text and the canonical forms of those that have another, each once."""
+    t = tokenize(value, synonyms)
+    other = F.filter(t, lambda x: x["token"] != x["canonical"])
+    return F.array_union(F.transform(t, lambda x: x["token"]), F.transform(other, lambda x: x["canonical"]))
+
+
+def read_synonyms(spark: SparkSession, path: str) -> list[list[str]]:
+    """Synonym groups of text files: a group a line, words parted by commas or blanks, the first one canonical. The groups are a
+    small dimension, made into a map literal; a word of several groups belongs to the last."""
+    lines = spark.read.text(path).select(F.filter(F.split(F.lower("value"), r"[,\s]+"), lambda w: w != "").alias("words"))
+    return [r.words for r in lines.filter("size(words) > 1").collect()]
+
+
+def escape_xml(value: Column) -> Column:
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        value = F.replace(value, F.lit(plain), F.lit(escaped))
+    return value
+
+
+def percent(share: Column) -> Column:
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def spanish_date(day: Column) -> Column:
+    return F.date_format(day, "d/M/yyyy")
+
+
+def iso_time(at: Column) -> Column:
+    """A timestamp of the session's time zone as UTC, in milliseconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def trigrams(t: Column) -> Column:
     p = F.concat(F.lit("#"), t, F.lit("#"))
     found = F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3)))

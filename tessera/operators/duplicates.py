@@ -32,6 +32,12 @@ def profiles(c: Catalog, synonyms: list[list[str]] | None = None) -> DataFrame:
     )
 
 
+def compared_pairs(c: Catalog) -> DataFrame:
+    """One row, compared: the number of pairs of tables, all of which are judged, most of them by sharing nothing."""
+    n = F.count(F.lit(1))
+    return c.tables.agg(F.call_function("div", n * (n - 1), F.lit(2).cast("long")).alias("compared"))
+
+
 def duplicate_tables(c: Catalog, synonyms: list[list[str]] | None = None) -> DataFrame:
     """(table_a, table_b, score, verdict, reasons) in order of score, then of the tables."""
     p = profiles(c, synonyms)

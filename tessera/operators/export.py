@@ -54,3 +54,35 @@ def markdown_lines(issues: DataFrame, score: DataFrame, name: str, day: str) ->
 def report_filename(name: str, kind: str) -> str:
     """informe-NAME.KIND with runs of other characters than letters and digits as dashes."""
     return f"informe-{re.sub('[^a-z0-9]+', '-', name.lower()) or 'modelo'}.{'md' if kind == 'markdown' else kind}"
+
+
+def slug(value: str) -> str:
+    """Runs of other characters than letters and digits as dashes, none at either end."""
+    return re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", value.lower())) or "modelo"
+
+
+def report_object(issues: DataFrame, score: DataFrame, name: str, now: Column) -> DataFrame:
+    """(part, phase, owner, rule_no, item, line): the report as one JSON object, written in parallel: its head (part 0) with the
+    model's name, the time, the score and the counts, its issues (part 1), its end (part 2)."""
+    low = [F.lit(-1).cast("long").alias(c) for c in ORDER]
+    counts = F.struct(F.col("n_error").alias("error"), F.col("n_warning").alias("warning"), F.col("n_info").alias("info"))
+    head = F.to_json(F.struct(F.lit(name).alias("modelo"), now.alias("generado"), F.col("score").alias("puntuacion"), counts.alias("conteos")))
+    head = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"incidencias":['))
+    fields = [("severidad", "severity"), ("regla", "rule_id"), ("titulo", "title"), ("detalle", "detail"), ("tabla", None), ("categoria", "category"), ("tableId", "table_id")]
+    row = F.to_json(F.struct(*(F.coalesce("table_name", F.lit("")).alias(k) if c is None else F.col(c).alias(k) for k, c in fields)), {"ignoreNullFields": "false"})
+    at = [F.col(c).cast("long").alias(c) for c in ORDER]
+    rows = issues.select(F.lit(1).alias("part"), *at, F.struct(*at).alias("k"), row.alias("line"))
+    first = issues.agg(F.min(F.struct(*at)).alias("first"))
+    rows = rows.crossJoin(F.broadcast(first)).select("part", *ORDER, F.concat(F.when(F.col("k") == F.col("first"), "").otherwise(","), "line").alias("line"))
+    return score.select(F.lit(0).alias("part"), *low, head.alias("line")).union(rows).union(score.select(F.lit(2).alias("part"), *low, F.lit("]}").alias("line")))
+
+
+def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
+    """Writes the column line to text files under path, in order: file names follow the order, lines inside a file too."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+
+
+def write_file(files: DataFrame, path: str) -> None:
+    """Writes each text of (model_id, text), one file a row, under path/model=NAME; every file ends with one line break."""
+    named = files.select(F.regexp_replace("model_id", "^.*/", "").alias("model"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    named.repartition("model").write.mode("overwrite").partitionBy("model").text(path)

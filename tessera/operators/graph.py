@@ -25,13 +25,25 @@ def distinct_degree(c: Catalog) -> DataFrame:
     return c.tables.select("table_id").join(near, "table_id", "left").select("table_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def adjacency(c: Catalog) -> DataFrame:
+    """(table_id, neighbours): the distinct neighbours of every table; tables without references have none, and ends of
+    references that are no table are listed too."""
+    near = both_ways(c.refs).groupBy(F.col("a").alias("table_id")).agg(F.array_sort(F.collect_set("b")).alias("neighbours"))
+    return c.tables.select("table_id").join(near, "table_id", "full").select("table_id", F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"))
+
+
 def neighbours_within(c: Catalog, start: str, hops: int) -> DataFrame:
-    """(table_id, hop): tables at most `hops` references away, without the start; one join per hop, no loop over rows."""
+    """(table_id, hop): tables at most `hops` references away, without the start; one join per hop, no loop over rows. From the
+    second hop on what was found is written down, so that no hop repeats those before."""
     edges = both_ways(c.refs).distinct()
     seen = c.tables.sparkSession.createDataFrame([(start, 0)], "table_id string, hop int")
+    if hops > 1:
+        edges = cut_lineage(edges)
     for hop in range(1, hops + 1):
         front = seen.filter(F.col("hop") == hop - 1).join(edges, F.col("table_id") == F.col("a")).select(F.col("b").alias("table_id")).distinct()
         seen = seen.union(front.join(seen, "table_id", "left_anti").withColumn("hop", F.lit(hop)))
+        if hop < hops:
+            seen = cut_lineage(seen)
     return seen.filter("hop > 0")
 
 
@@ -47,10 +59,9 @@ def heat(values: DataFrame, value: str) -> DataFrame:
 
 
 def prefix_groups(c: Catalog) -> DataFrame:
-    """Tables by what stands before the first underscore of their code."""
+    """(prefix, table_ord, table_id): tables by what stands before the first underscore of their code."""
     prefix = F.when(F.instr("code", "_") > 0, F.substring_index("code", "_", 1)).otherwise("(sin prefijo)")
-    listed = F.array_sort(F.collect_list(F.struct("table_ord", "table_id")))
-    return c.tables.groupBy(prefix.alias("prefix")).agg(F.array_join(F.transform(listed, lambda x: x["table_id"]), ",").alias("tables"))
+    return c.tables.select(prefix.alias("prefix"), "table_ord", "table_id")
 
 
 def semantic_flags(c: Catalog) -> DataFrame:
@@ -99,16 +110,15 @@ def path_edges(c: Catalog, path: DataFrame) -> DataFrame:
     return c.refs.join(both, ["parent_table", "child_table"], "left_semi").select("ref_id")
 
 
-def _walk(model: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first walk of one model's rows (kind 0: tables by rank; kind 1: references by rank)."""
-    model = model.sort_values(["kind", "rank"])
-    near: dict[str, list[str]] = {t: [] for t in model.loc[model.kind == 0, "a"]}
-    starts = list(near)
-    for a, b in model.loc[model.kind == 1, ["a", "b"]].itertuples(index=False):
-        if a in near and a != b:
-            near[a].append(b)
+def _walk(part: pd.DataFrame) -> pd.DataFrame:
+    """Depth-first walk of one connected part (kind 0: tables by rank; kind 1: references by rank)."""
+    part = part.sort_values(["kind", "rank"])
+    ranks = dict(part.loc[part.kind == 0, ["a", "rank"]].itertuples(index=False))
+    near: dict[str, list[str]] = {t: [] for t in ranks}
+    for a, b in part.loc[part.kind == 1, ["a", "b"]].itertuples(index=False):
+        near[a].append(b)
     seen, depth, found = set(), {}, []
-    for start in starts:
+    for start in ranks:
         trail = [] if start in seen else [(start, iter(near[start]))]
         while trail:
             at, rest = trail[-1]
@@ -117,24 +127,56 @@ def _walk(model: pd.DataFrame) -> pd.DataFrame:
                 depth[at] = len(trail) - 1
             for b in rest:
                 if b not in seen:
-                    trail.append((b, iter(near.get(b, ()))))
+                    trail.append((b, iter(near[b])))
                     break
                 if b in depth:
-                    found += [(len(found), [t for t, _ in trail[depth[b]:]])]
+                    found.append((ranks[start], len(found), [t for t, _ in trail[depth[b] :]]))
             else:
                 trail.pop()
                 depth.pop(at, None)
-    return pd.DataFrame({"model_id": model.model_id.iloc[0], "cycle": [n for n, _ in found], "tables": [t for _, t in found]})
+    return pd.DataFrame({"model_id": part.model_id.iloc[0], "start": [x[0] for x in found], "nth": [x[1] for x in found], "tables": [x[2] for x in found]})
+
+
+def _without_sinks(edges: DataFrame) -> DataFrame:
+    """Edges (model_id, a, b, rank) between tables from which a way of any length leads on: all cycles lie among them, and no walk
+    through them is changed by what is left out."""
+    while True:
+        kept = cut_lineage(edges.join(edges.select("model_id", F.col("a").alias("b")).distinct(), ["model_id", "b"], "left_semi").select(edges.columns))
+        if kept.count() == edges.count():
+            return kept
+        edges = kept
+
+
+def _parts(edges: DataFrame) -> DataFrame:
+    """(model_id, a, part): the connected part of every end of an edge, by the least name in it. Labels are handed on to
+    neighbours, and to those of the label's own label, until none changes."""
+    both = edges.select("model_id", "a", "b").union(edges.select("model_id", "b", "a")).distinct()
+    label = cut_lineage(both.groupBy("model_id", "a").agg(F.least(F.min("b"), F.first("a")).alias("part")))
+    while True:
+        near = both.join(label.select("model_id", F.col("a").alias("b"), "part"), ["model_id", "b"]).groupBy("model_id", "a").agg(F.min("part").alias("near"))
+        jump = label.select("model_id", F.col("a").alias("part"), F.col("part").alias("jump"))
+        new = label.join(near, ["model_id", "a"]).join(jump, ["model_id", "part"])
+        new = cut_lineage(new.select("model_id", "a", F.least("part", "near", "jump").alias("part"), (F.least("part", "near", "jump") < F.col("part")).alias("moved")))
+        label = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            return label
 
 
 def fk_cycles(tables: DataFrame, refs: DataFrame) -> DataFrame:
     """(model_id, cycle, tables): one cycle per reference that leads back into the walk from parents to children. Which cycles
-    are found depends on the order of the walk, so each model is walked in one task, by the references between its tables; a
-    model is one file. Frames without model_id are one model."""
-    frames = [f if "model_id" in f.columns else f.withColumn("model_id", F.lit("model")) for f in (tables, refs)]
-    rows = frames[0].select("model_id", F.lit(0).alias("kind"), F.col("table_ord").alias("rank"), F.col("table_id").alias("a"), F.lit(None).cast("string").alias("b"))
-    rows = rows.union(frames[1].select("model_id", F.lit(1), "ref_ord", "parent_table", "child_table"))
-    return rows.groupBy("model_id").applyInPandas(_walk, "model_id string, cycle long, tables array<string>")
+    are found depends on the order of the walk, so each connected part of the tables from which ways lead on is walked in one task. Frames
+    without model_id are one model."""
+    tables, refs = (f if "model_id" in f.columns else f.withColumn("model_id", F.lit("model")) for f in (tables, refs))
+    known = tables.select("model_id", F.col("table_id").alias("a"), F.col("table_ord").alias("t_rank"))
+    edges = refs.select("model_id", F.col("parent_table").alias("a"), F.col("child_table").alias("b"), F.col("ref_ord").alias("rank")).filter("a <> b")
+    edges = edges.join(known.select("model_id", "a"), ["model_id", "a"], "left_semi")
+    edges = _without_sinks(cut_lineage(edges))
+    part = _parts(edges)
+    rows = edges.join(part, ["model_id", "a"]).select("model_id", "part", F.lit(1).alias("kind"), "rank", "a", "b")
+    rows = rows.union(part.join(known, ["model_id", "a"]).select("model_id", "part", F.lit(0), "t_rank", "a", F.lit(None).cast("string")))
+    found = rows.groupBy("model_id", "part").applyInPandas(_walk, "model_id string, start long, nth long, tables array<string>")
+    number = F.row_number().over(Window.partitionBy("model_id").orderBy("start", "nth")) - 1
+    return found.select("model_id", number.cast("long").alias("cycle"), "tables")
 
 
 def cycle_members(cycles: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def issue(rows: DataFrame, rule: str, phase: int, owner: str, item: Column | str
     )
 
 
-def all_findings(c: Catalog) -> DataFrame:
+def all_findings(c: Catalog, only: str | None = None) -> DataFrame:
     tables = effective_pk(c).select("table_ord", "table_id", F.col("code").alias("table_code"), F.col("name").alias("table_name"), "pk", "primary_key")
     cols = c.columns.join(tables, "table_id")
     joins = c.refs.select("*", F.posexplode("joins").alias("join_ord", "j")).select("*", "j.*")
@@ -140,16 +140,16 @@ def all_findings(c: Catalog) -> DataFrame:
         r(whole.filter(F.col("cardinality").rlike(r"(?i)[NM]\s*:\s*[NM]")), "many-to-many", zero, "label"),
         r(whole.filter(F.col("on_delete").rlike("(?i)no action")), "delete-no-action", zero, "label"),
     ]
-    return reduce(DataFrame.unionByName, found)
+    return found[next(i for i, r in enumerate(RULES) if r[0] == only)] if only else reduce(DataFrame.unionByName, found)
 
 
-def lint(catalog: Catalog, config: dict[str, str] | None = None) -> DataFrame:
+def lint(catalog: Catalog, config: dict[str, str] | None = None, only: str | None = None) -> DataFrame:
     """Issues (rule_id, severity, category, title, detail, table_id, table_name, and the order columns phase, owner, rule_no,
-    item). config: severity per rule; 'off' and unknown severities drop a rule's issues."""
+    item). config: severity per rule; 'off' and unknown severities drop a rule's issues. only: one rule, with no work for the others."""
     severity = {r[0]: (config or {}).get(r[0], r[2]) for r in RULES}
     rules = [(r[0], severity[r[0]], r[1], r[3]) for r in RULES if severity[r[0]] in PENALTY]
     dim = catalog.tables.sparkSession.createDataFrame(rules, "rule_id string, severity string, category string, title string")
-    return all_findings(catalog).join(F.broadcast(dim), "rule_id")
+    return all_findings(catalog, only).join(F.broadcast(dim), "rule_id")
 
 
 def lint_score(catalog: Catalog, config: dict[str, str] | None = None) -> DataFrame:

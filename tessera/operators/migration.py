@@ -10,6 +10,7 @@ from ..catalog import Catalog
 from ..session import cut_lineage
 from . import ddl
 from .diff import pair_objects
+from .export import slug
 
 #: The sections of a script, in order.
 SECTIONS = [
@@ -124,7 +125,7 @@ def _rebuilt(base: Catalog, target: Catalog, pairs: DataFrame, plans: DataFrame,
         mine = both.filter(F.col(s).isNotNull() & ~F.col(f"{s}.flag")) if kind == "key" else both.filter(F.col(s).isNotNull())
         rank = F.when(changed, 0).when(F.col(other).isNull(), 1).when(F.col(f"{s}.hit"), 2)
         reason = F.when(changed, reasons[0]).when(F.col(other).isNull(), lone).otherwise(cover)
-        rows = mine.select(f"{s}.bt", f"{s}.id", f"{s}.name", f"{s}.item", f"{s}.columns", rank.alias("rank"), reason.alias("reason")).filter("rank IS NOT NULL")
+        rows = mine.select(f"{s}.bt", f"{s}.id", f"{s}.name", f"{s}.item", f"{s}.columns", F.col(f"{other}.name").alias("other_name"), rank.alias("rank"), reason.alias("reason")).filter("rank IS NOT NULL")
         nth = F.row_number().over(Window.partitionBy("bt", "name").orderBy("rank", "item"))
         return rows.withColumn("nth", nth).filter("rank < 2 OR nth = 1").drop("nth")
 
@@ -153,13 +154,17 @@ def _references(base: Catalog, target: Catalog, pairs: DataFrame, plans: DataFra
     return found.select("b", "t", note.alias("note"), order.alias("at")).filter("note IS NOT NULL")
 
 
-def migration_statements(base: Catalog, target: Catalog) -> DataFrame:
-    """(section, owner, part, item, line): the script from base to target, empty if nothing changed. Lines of a section follow each
-    other by owner, part and item; a line may hold a whole CREATE TABLE. A changed comment of a column always has its statement."""
+def _analysis(base: Catalog, target: Catalog) -> tuple[Catalog, Catalog, DataFrame, DataFrame, DataFrame]:
     base, target = base.complete(), target.complete()
     pairs = pair_objects(base, target, "table")
     columns = cut_lineage(_column_changes(base, target, pairs))
-    plans = cut_lineage(_plans(base, target, pairs, columns))
+    return base, target, pairs, columns, cut_lineage(_plans(base, target, pairs, columns))
+
+
+def migration_statements(base: Catalog, target: Catalog) -> DataFrame:
+    """(section, owner, part, item, line): the script from base to target, empty if nothing changed. Lines of a section follow each
+    other by owner, part and item; a line may hold a whole CREATE TABLE. A changed comment of a column always has its statement."""
+    base, target, pairs, columns, plans = _analysis(base, target)
     named = plans.select("bt", "b_ord", "t_name", "b_name", "t_known")
     made = columns.join(named, "bt").select("*", ddl.quoted(F.col("t_name")).alias("on"))
     alter = _join("ALTER TABLE ", F.col("on"))
@@ -228,3 +233,119 @@ def statement_counts(lines: DataFrame) -> DataFrame:
     """One row: the lines that are neither blank nor a comment."""
     rows = lines.select(F.explode(F.split("line", "\n")).alias("l")).select(F.trim("l").alias("l"))
     return rows.agg(F.count(F.when((F.col("l") != "") & ~F.startswith("l", F.lit("--")), 1)).alias("statements"))
+
+
+#: The head of a script; the warning of a rollback whose script forwards drops columns or tables; the text without changes.
+RULE = "-- =========================================================================="
+HEAD = [
+    "-- Orden fijo: FKs → índices → PKs → tablas → columnas → PKs → índices → FKs.",
+    "-- Los nombres de constraints salen del modelo: contrasta con la base de datos antes de ejecutar.",
+]
+LOSSY = [
+    "-- AVISO: el script directo eliminaba columnas o tablas. El rollback recrea la",
+    "-- estructura vacía, pero los datos que se perdieron NO se recuperan.",
+]
+NO_CHANGES = "-- No hay cambios que aplicar entre los dos modelos."
+
+
+def is_lossy(statements: DataFrame) -> bool:
+    """Whether migration statements drop a table or a column."""
+    return not statements.filter((F.col("section") == TABLES) & (F.col("part") == 1) | (F.col("section") == COLUMNS) & (F.col("part") == 2)).isEmpty()
+
+
+def script_file(base: Catalog, target: Catalog, rollback: bool = False) -> DataFrame:
+    """(at, line): a whole script in order, a line of it a row: the head, then every section with statements, numbered. A rollback is
+    the way from target to base, with a warning where the way forward loses data."""
+    a, b = (target, base) if rollback else (base, target)
+    lines = script_lines(a, b)
+    head = [RULE, f"-- Script de {'rollback' if rollback else 'migración'} Oracle · {a.name} → {b.name}", *HEAD]
+    if rollback and is_lossy(migration_statements(base, target)):
+        head += LOSSY
+    head.append(RULE)
+    if lines.isEmpty():
+        head += ["", NO_CHANGES]
+    order = ["step", "title_first", "owner", "part", "item", "sub"]
+    zero = F.lit(0).cast("long")
+    titles = lines.select("step", "title").distinct().select(
+        "step", F.lit(0).alias("title_first"), zero.alias("owner"), F.lit(0).alias("part"), zero.alias("item"),
+        F.posexplode(F.array(F.lit(""), F.concat(F.lit("-- "), F.col("step").cast("string"), F.lit(". "), "title"))).alias("sub", "line"),
+    )
+    said = lines.select("step", F.lit(1).alias("title_first"), "owner", "part", "item", F.posexplode(F.split(F.regexp_replace("line", r"\s+$", ""), "\n")).alias("sub", "line"))
+    first = lines.sparkSession.createDataFrame([(0, 0, 0, 0, 0, i, x) for i, x in enumerate(head)], "step int, title_first int, owner long, part int, item long, sub int, line string")
+    return first.unionByName(titles).unionByName(said).select(F.struct(*order).alias("at"), "line")
+
+
+def script_name(base: str, target: str, rollback: bool = False) -> str:
+    return f"{'rollback' if rollback else 'migracion'}-{slug(base)}-a-{slug(target)}.sql"
+
+
+def impact(base: Catalog, target: Catalog) -> DataFrame:
+    """One row per table that a migration touches: side (0 paired, 1 removed, 2 added), table_ord, table_id, table_name, kind (added, removed,
+    modified, affected), changes, child_tables (whose references are dropped), outgoing_fks and indexes (that are dropped)."""
+    base, target, pairs, columns, plans = _analysis(base, target)
+    none, text = F.lit(None).cast("string"), lambda side: ddl.oracle_type(F.col(f"{side}.data_type"), F.col(f"{side}.length"), F.col(f"{side}.precision"))
+    yes_no = lambda c: F.when(c, "sí").otherwise("no")
+
+    def rows(frame: DataFrame, group: int, item: Column, said: list[Column]) -> DataFrame:
+        found = F.posexplode(F.array(*said)).alias("sub", "text")
+        return frame.select("bt", F.lit(group).alias("g"), item.cast("long").alias("item"), found).filter("text IS NOT NULL")
+
+    both = columns.filter("b IS NOT NULL AND t IS NOT NULL")
+    after, had = F.col("t.name"), lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    of_column = [
+        F.when(F.col("renamed"), _join("Columna renombrada: ", F.col("b.name"), " → ", after)),
+        F.when(F.col("retyped"), _join("Tipo de ", after, ": ", text("b"), " → ", text("t"))),
+        F.when(F.col("renulled"), F.when(F.col("t.mandatory"), _join(after, " pasa a NOT NULL")).otherwise(_join(after, " admite NULL"))),
+        F.when(F.col("redefault"), F.when(had("t.default_value"), _join("Default de ", after, ": ", F.col("t.default_value"))).otherwise(_join("Default de ", after, " eliminado"))),
+        F.when(~F.col("b.identity").eqNullSafe(F.col("t.identity")), _join("IDENTITY de ", after, ": ", yes_no(F.col("b.identity")), " → ", yes_no(F.col("t.identity")), " (puede exigir recrear la tabla)")),
+        F.when(F.col("recomment"), _join("Comentario de ", after, F.when(had("t.comment"), " actualizado").otherwise(" eliminado"))),
+    ]
+    pk = [F.array_join(k, ", ") for k in ("b_pk", "t_pk")]
+    of_key = (
+        F.when(F.size("b_pk") == 0, _join("Clave primaria añadida: (", pk[1], ")")).when(F.size("t_pk") == 0, "Clave primaria eliminada")
+        .when(F.col("b_pk") == F.col("t_pk"), "Clave primaria se reconstruye (cambia la definición de alguna de sus columnas)")
+        .otherwise(_join("Clave primaria: (", pk[0], ") → (", pk[1], ")"))
+    )
+    comment = F.when(_txt(F.col("b_comment")) != _txt(F.col("t_comment")), F.when(had("t_comment"), _join("Comentario de la tabla: ", F.col("t_comment"))).otherwise("Comentario de la tabla eliminado"))
+    zero = F.lit(0)
+    said = [
+        rows(plans, 0, zero, [F.when(F.col("b_name") != F.col("t_name"), _join("Tabla renombrada: ", F.col("b_name"), " → ", F.col("t_name"))), comment]),
+        rows(both, 1, F.col("b.col_ord"), of_column),
+        rows(columns.filter("b IS NULL"), 2, F.col("t.col_ord"), [_join("Columna añadida: ", after, " ", text("t"))]),
+        rows(columns.filter("t IS NULL"), 3, F.col("b.col_ord"), [_join("Columna eliminada: ", F.col("b.name"))]),
+        rows(plans.filter("pk_changed"), 4, zero, [of_key]),
+    ]
+    dropped = []
+    for k, (kind, word) in enumerate((("index", "Índice"), ("key", "Clave alternativa"))):
+        drop, make = _rebuilt(base, target, pairs, plans, kind)
+        drop, gender = cut_lineage(drop), "eliminado" if k == 0 else "eliminada"
+        own = F.when(F.col("rank") == 0, _join(f"{word} ", F.col("name"), " → ", F.col("other_name"))).when(F.col("rank") == 1, _join(f"{word} {gender}: ", F.col("name")))
+        said.append(rows(drop, 5 + 2 * k, F.col("rank") * 2**40 + F.col("item"), [own]))
+        said.append(rows(make.filter("rank = 1"), 6 + 2 * k, F.col("item"), [_join(f"{word} {'nuevo' if k == 0 else 'nueva'}: ", F.col("name"))]))
+        dropped.append(drop.select("bt", F.struct(F.lit(k).alias("k"), "rank", "item", "name").alias("x")))
+    changes = reduce(DataFrame.unionByName, said).groupBy("bt").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "item", "sub", "text"))), lambda x: x["text"]).alias("changes"))
+    indexes = dropped[0].union(dropped[1]).groupBy("bt").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("indexes"))
+
+    refs = cut_lineage(_references(base, target, pairs, plans).filter("b IS NOT NULL"))
+    entry = F.struct("at", F.col("b.child_table").alias("table_id"), F.coalesce("b.c_name", "b.child_table").alias("name"), F.col("b.name").alias("reference"))
+    children = refs.groupBy(F.col("b.parent_table").alias("bt")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("at")).alias("child_tables"))
+    toward = _join(F.col("note"), ": ", F.col("b.name"), " hacia ", F.coalesce("b.p_name", "b.parent_table"))
+    outgoing = refs.groupBy(F.col("b.child_table").alias("bt")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("b.name").alias("name"), toward.alias("toward")))).alias("out"))
+
+    n = target.columns.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"))
+    new = target.tables.join(pairs.filter("base_id IS NULL").select(F.col("target_id").alias("table_id")), "table_id", "left_semi").join(n, "table_id", "left")
+    gone = base.tables.join(pairs.filter("target_id IS NULL").select(F.col("base_id").alias("table_id")), "table_id", "left_semi")
+    empty = F.expr(NONE)
+    old = plans.select(F.lit(0).alias("side"), F.col("b_ord").alias("table_ord"), F.col("bt"), F.col("t_name").alias("table_name")).join(changes, "bt", "left")
+    old = old.unionByName(gone.select(F.lit(1).alias("side"), "table_ord", F.col("table_id").alias("bt"), F.col("name").alias("table_name"), F.array(F.lit("Tabla eliminada")).alias("changes")))
+    old = old.join(indexes, "bt", "left").join(children, "bt", "left").join(outgoing, "bt", "left")
+    made = F.array(_join("Tabla añadida con ", F.coalesce("n", F.lit(0)).cast("string"), " columna(s)"))
+    old = old.unionByName(new.select(F.lit(2).alias("side"), "table_ord", F.col("table_id").alias("bt"), F.col("name").alias("table_name"), made.alias("changes")), allowMissingColumns=True)
+    old = old.withColumns({"changes": F.coalesce("changes", empty), "indexes": F.coalesce("indexes", empty)})
+    kind = F.when(F.col("side") == 2, "added").when(F.col("side") == 1, "removed").when((F.size("changes") > 0) | (F.size("indexes") > 0), "modified").otherwise("affected")
+    names, why = (F.coalesce(F.transform("out", lambda x: x[f]), empty) for f in ("name", "toward"))
+    out = old.select(
+        "side", "table_ord", F.col("bt").alias("table_id"), "table_name", kind.alias("kind"), F.when(F.size("changes") == 0, why).otherwise(F.col("changes")).alias("changes"),
+        F.coalesce("child_tables", F.expr("cast(array() as array<struct<table_id:string,name:string,reference:string>>)")).alias("child_tables"), names.alias("outgoing_fks"), "indexes",
+    )
+    return out.filter((F.col("kind") != "affected") | (F.size("child_tables") > 0) | (F.size("outgoing_fks") > 0))

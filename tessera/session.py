@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the one that driver and executors share; `clean_up` deletes it."""
+    return f"{checkpoint_folder(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that the library has written for itself; results not yet written or collected are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder."""
     spark = df.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import Catalog
+from ..session import materialise
 
 BASE = "(SELECT count(*) AS n, min(s_suppkey) AS m FROM supplier) b"
 SQL = {
@@ -16,7 +17,7 @@ SQL = {
                CASE p_size % 5 WHEN 0 THEN 'VARCHAR' WHEN 1 THEN 'INTEGER' WHEN 2 THEN 'VARCHAR2' WHEN 3 THEN 'DATE' ELSE 'NUMBER' END AS data_type,
                CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size * 100 AS bigint) END AS length,
                p_size % 2 = 0 AS mandatory, p_size % 11 = 0 AS identity_
-        FROM part, {BASE}""",
+        FROM part, {BASE} WHERE p_partkey % n <> 3""",
     "cat_pk": "SELECT table_id, 'column-' || CAST(min(col_ord) AS varchar(20)) AS pk FROM cat_columns GROUP BY table_id",
     "cat_tables": """
         SELECT s_suppkey AS table_ord, 'table-' || CAST(s_suppkey AS varchar(20)) AS table_id,
@@ -30,7 +31,7 @@ SQL = {
                CASE WHEN p_partkey % 13 = 0 THEN 'column-none' ELSE pk.pk END AS parent_column, 'column-' || CAST(p_partkey AS varchar(20)) AS child_column,
                CASE p_partkey % 3 WHEN 0 THEN '1:N' WHEN 1 THEN 'N : M' ELSE '0..*' END AS cardinality,
                CASE p_partkey % 2 WHEN 0 THEN 'No action' ELSE 'Cascade' END AS on_delete
-        FROM part CROSS JOIN {BASE} LEFT JOIN cat_pk pk ON pk.table_id = 'table-' || CAST(p_partkey * 7 % (n + 1) + m AS varchar(20)) WHERE p_size % 7 = 0""",
+        FROM part CROSS JOIN {BASE} LEFT JOIN cat_pk pk ON pk.table_id = 'table-' || CAST(p_partkey * 7 % (n + 1) + m AS varchar(20)) WHERE p_size % 7 = 0 AND p_partkey % 4 <> 1""",
     "cat_indexes": """
         SELECT table_id, col_ord AS index_ord, 'IX_' || CAST(col_ord AS varchar(20)) AS name, column_id FROM cat_columns WHERE col_ord % 3 = 0
         UNION ALL
@@ -43,13 +44,16 @@ def oracle(query: str) -> str:
     return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in SQL.items()) + "\n" + query
 
 
-def synthetic_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+def synthetic_catalog(spark: SparkSession, sf_dir: str, keep: bool = False) -> Catalog:
+    """keep: write the catalog down first, for operators that look at it many times."""
     frames: dict[str, DataFrame] = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "supplier")}
     for name, sql in SQL.items():
         used = {k: v for k, v in frames.items() if k in sql}
         for k in used:
             sql = sql.replace(f"FROM {k}", f"FROM {{{k}}}").replace(f"JOIN {k}", f"JOIN {{{k}}}")
         frames[name] = spark.sql(sql, **used)
+        if keep:
+            frames[name] = materialise(frames[name])
     pk = F.when(F.col("pk").isNotNull(), F.array("pk"))
     tables = frames["cat_tables"].select("table_ord", "table_id", "code", "name", F.lit(None).cast("string").alias("comment"), pk.alias("primary_key"))
     joins = F.array(F.struct("parent_column", "child_column")).alias("joins")

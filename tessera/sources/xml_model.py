@@ -6,9 +6,8 @@ number of files at once. Tags are compared without namespace and case. Attribute
 
 from __future__ import annotations
 
-import html
-import re
 from dataclasses import dataclass
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,37 +18,36 @@ from ..session import cut_lineage
 NODES = "model_id string, node long, parent long, tag string, scalar string, label string, is_first boolean, ancestors array<long>, within map<string,long>"
 #: Tags whose nearest ancestor a node remembers.
 OWNERS = {"table", "column", "key", "index", "indexcolumn", "reference", "join", "domain", "tablesymbol", "primarykey"}
-_MARKUP = re.compile(r"<!--.*?-->|<\?.*?\?>|<!\[CDATA\[(.*?)\]\]>|<!(?:[^>\[]|\[[^\]]*\])*>|<(/?)([^\s/>]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 
 
 def _nodes(text: str) -> list[dict]:
-    """Nodes in document order. An element that isn't closed ends with its parent; a closing tag without an element is skipped."""
-    root = {"name": "", "parent": -1, "children": [], "text": "", "attrs": 0, "node": -1}
+    """Nodes in document order. Names keep their prefix, which needs no declaration. Of a file with an error in it, what stands
+    before the error counts."""
+    root = {"name": "", "parent": -1, "children": [], "text": "", "node": -1}
     out, open_ = [], [root]
 
     def add(name: str, value: str = "") -> dict:
-        n = {"name": name, "parent": open_[-1]["node"], "children": [], "text": value, "attrs": 0, "node": len(out), "up": [x["node"] for x in open_[1:]]}
+        n = {"name": name, "parent": open_[-1]["node"], "children": [], "text": value, "node": len(out), "up": [x["node"] for x in open_[1:]]}
         n["within"] = {k: x["node"] for x in open_[1:] if (k := _owner(x["name"])) in OWNERS}
         open_[-1]["children"].append(n)
         out.append(n)
         return n
 
-    for m in _MARKUP.finditer(text):
-        cdata, closing, name, rest, plain = m.groups()
-        if name and closing:
-            at = next((i for i in range(len(open_) - 1, 0, -1) if open_[i]["name"] == name), None)
-            if at is not None:
-                del open_[at:]
-        elif name:
-            open_.append(add(name))
-            for key, double, single in _ATTRIBUTE.findall(rest):
-                add(key, html.unescape(double or single))
-                open_[-1]["attrs"] += 1
-            if rest.rstrip().endswith("/"):
-                open_.pop()
-        elif cdata is not None or plain:
-            open_[-1]["text"] += cdata if cdata is not None else html.unescape(plain)
+    def start(name: str, attrs: list[str]) -> None:
+        open_.append(add(name))
+        for key, value in zip(attrs[::2], attrs[1::2]):
+            add(key, value)
+
+    def said(more: str) -> None:
+        open_[-1]["text"] += more
+
+    parser = expat.ParserCreate(encoding="UTF-8")
+    parser.ordered_attributes = parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, lambda name: open_.pop(), said
+    try:
+        parser.Parse(text.encode(), True)
+    except expat.ExpatError:
+        pass
     for n in reversed(out):
         _summarise(n)
     return out
