@@ -1,40 +1,22 @@
 """Spark helpers that the operators share.
 
 Edge cases: `spread_join` takes keys that are null as a join does (they meet nothing); `vector_sum` of no rows is None;
-`materialise` of an empty table gives an empty table of the same columns.
+`materialise` of an empty table gives an empty table of the same columns; columns of any name are carried along, but for hot_
+and salt_ in `spread_join`, which only gets tables that the operators have made.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import checkpoint_folder
+from ..session import clean_up, materialise, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder in the one that driver and executors share; `clean_up` deletes it."""
-    return f"{checkpoint_folder(spark)}/tessera-{spark.sparkContext.applicationId}"
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Deletes all that the operators have written for themselves; results not yet written or collected are lost."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["buckets_for", "clean_up", "let", "materialise", "parts", "shared_folder", "small_batches", "spread_join", "vector_sum"]
 
 
 @contextmanager

@@ -64,6 +64,61 @@ def test_edge_cases_keep_every_row(spark, odd):
         assert mixing.in_mixed_order(d).count() == rows
 
 
+CLASHING = (
+    "row unit text_hash doc no_id gone k h1 h2 share place period one mix_end mix_size mix_source turn ends n_lines n_removed kept hits key places bucket "
+    "salt_ hot_ n id fp list fold hash rank good llr score held_out known rare logs spans s0 first lines source_ x y g component"
+).split()
+NAMED = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_columns_of_any_name(spark):
+    """Results are those without the extra columns; operators that return the documents return these columns as they were."""
+    rng = random.Random(9)
+    lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(12)) for _ in range(12)]
+    rows = [(i if i else None, "\n".join(rng.choice(lines) for _ in range(8)), rng.choice("ab"), rng.choice(["s", "t", None]), 1) for i in range(40)]
+    plain = spark.createDataFrame(rows, NAMED)
+    extra = spark.createDataFrame([(*r, *(f"{c} {r[0]}" for c in CLASHING)) for r in rows], NAMED + "".join(f", `{c}` string" for c in CLASHING))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    judged = [
+        lm_scoring.score_documents, language_id.identify_languages, simhash.simhash_components, secrets.secret_digest, substring_dedup.drop_repeated_passages,
+        lambda d: quality_rules.quality_verdicts(d, labels), lambda d: packing.pack_documents(d, vocabulary()),
+    ]
+    # scores of models depend on the split into tasks, so both tables have one
+    plain, extra = plain.coalesce(1), extra.coalesce(1)
+    for f in judged:
+        assert sorted(map(str, f(plain).collect())) == sorted(map(str, f(extra).collect()))
+    own = [c for c in CLASHING if c not in ("n_lines", "n_removed")]
+    kept = [line_dedup.drop_repeated_lines, mixing.mix_sources, mixing.in_mixed_order, simhash.drop_near_duplicates, lambda d: quality_rules.drop_low_quality(d, labels)]
+    for f in kept:
+        a, b = f(plain), f(extra)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+        for r in b.select("doc_id", *(f"`{c}`" for c in own)).collect():
+            assert [r[c] for c in own] == [f"{c} {r.doc_id}" for c in own]
+
+
+def test_odd_texts_have_defined_results(odd):
+    """Values for null, empty, blank, repeated and very long texts, and null ids; an empty table gives an empty one everywhere."""
+    one = "the same words " * 40
+    lines = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_lines(odd).collect() if r.doc_id != 6)
+    want = [(1, None, 0, 0), (2, "", 0, 0), (3, " \n\t ", 0, 0), (4, one, 1, 0), (4, one, 1, 0), (5, one, 1, 0), (None, one, 1, 0), (None, None, 0, 0), (7, "ﷺ \u00a0 é", 1, 0)]
+    assert lines == collections.Counter(want)
+    passages = collections.Counter((r.doc_id, r.n_words, r.n_removed, len(r.kept)) for r in substring_dedup.drop_repeated_passages(odd).collect() if r.doc_id != 6)
+    whole = len(one.strip())
+    assert passages == collections.Counter([(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 120, 0, whole), (4, 120, 0, whole), (5, 120, 120, 0), (None, 120, 120, 0), (None, 0, 0, 0), (7, 3, 0, 5)])
+    langs = {r.doc_id: (r.lang_pred, r.score > 0) for r in language_id.identify_languages(odd).collect() if r.doc_id in (1, 2, 3, 6)}
+    assert langs == {1: ("und", False), 2: ("und", False), 3: ("und", False), 6: ("en", True)}
+    prints = {(r.doc_id, r.fingerprint == "0" * 16, r.component_id) for r in simhash.simhash_components(odd).collect() if r.doc_id not in (6, 7)}
+    assert prints == {(1, True, 1), (2, True, 1), (3, True, 1), (4, False, 4), (5, False, 4), (None, False, None), (None, True, None)}
+    found = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.spans) for r in secrets.secret_digest(odd).collect() if r.doc_id != 6}
+    assert found == {(i, 0, 0, 0, "") for i in (1, 2, 3, 4, 5, 7, None)}
+    tokens = {(r.doc_id, r.n_tokens) for r in lm_scoring.score_documents(odd).collect()}
+    assert tokens == {(1, 1), (2, 1), (3, 1), (4, 121), (5, 121), (None, 121), (None, 1), (6, 60_001), (7, 4)}
+    slots = mixing.mix_sources(odd, block_chars=100).collect()
+    assert len(slots) == 10 and all(r.on_target and r.mix_slot == r.mix_block for r in slots)  # one source gets all slots
+    stays = collections.Counter(r.doc_id for r in simhash.drop_near_duplicates(odd).collect())
+    assert stays == collections.Counter([1, 4, 4, None, None, 6, 7])
+
+
 def test_equal_ids_do_not_remove_each_other(odd):
     got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.drop_repeated_passages(odd).collect()}
     assert got[(4, 120)] == 0 and got[(5, 120)] == 120 and got[(None, 120)] == 120
@@ -99,6 +154,27 @@ def test_mixing_keeps_to_the_exact_weights(spark):
         assert np.abs(np.cumsum((m.source == source).to_numpy()) - w * np.arange(1, len(m) + 1)).max() < 1
 
 
+def test_mixing_whole_documents_longer_than_a_block(spark):
+    """Text of whole documents is less than a block and the longest document off target; the schedule is brute force's."""
+    rows = [(i, "x" * (200_000 if i % 2 else 10), "a" if i < 150 else "b") for i in range(200)]
+    m = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 3.0, "b": 1.0}).select("source", F.length("text").alias("size"), "mix_block", "mix_slot", "on_target").toPandas()
+    share, ends = {"a": 3, "b": 1}, m[m.on_target].mix_slot.max()
+    total = {s: -(-int(m[m.source == s]["size"].sum()) // 65_536) for s in share}
+    placed, counts = {}, dict.fromkeys(share, 0)
+    for slot in range(sum(total.values())):
+        due = [(-(-(counts[s] + 1) * 4 // share[s]), s) for s in share if counts[s] < total[s] and counts[s] * 4 // share[s] <= slot]
+        if due:
+            s = min(due)[1]
+            placed[s, counts[s]] = slot
+            counts[s] += 1
+    known = m[m.mix_slot.notna() & (m.mix_slot <= ends)]
+    assert all(placed[r.source, r.mix_block] == r.mix_slot for r in known.itertuples())
+    for slot in range(0, int(ends), 7):
+        for s in share:
+            got = m[(m.source == s) & (m.mix_slot <= slot)]["size"].sum()
+            assert abs(got - share[s] / 4 * (slot + 1) * 65_536) < 65_536 + 200_000
+
+
 @pytest.mark.parametrize("least", [1, 2, 3, 4])
 def test_lines(docs, raw, least):
     seen, want = set(), {}
@@ -116,6 +192,15 @@ def test_lines(docs, raw, least):
     assert got == want
 
 
+def test_line_runs_have_their_source(spark):
+    """Maximal runs with the place they repeat, from ranks of 2, 4 and 8 lines."""
+    a = [f"line {k}" for k in range(11)]
+    texts = {1: a, 2: ["new", *a, "end"], 3: [*a[2:5], "", "x", *a[6:8]], 4: [a[0], "y", a[1]]}
+    d = make(spark, [(i, "\n".join(t)) for i, t in texts.items()])
+    runs = sorted((r.doc, r.k, r.lines, r.source.doc, r.source.k) for r in line_dedup.repeated_runs(d).collect())
+    assert runs == [(2, 1, 11, 1, 0), (3, 0, 3, 1, 2), (3, 4, 2, 1, 6)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5)]
@@ -324,6 +409,32 @@ def test_packing_conversations(spark):
         assert len(g) == 1 or len(g) <= 3 and sum(r.tokens for r in g) <= 2048 and sum(r.loss_tokens for r in g) <= 1536
 
 
+def test_packing_takes_the_largest_dot_product():
+    """Step by step against the rule: of what fits, the item with the largest product of its demand and what is left."""
+    rng = np.random.default_rng(5)
+    limits = np.array([300, 6, 150])
+    tokens = rng.integers(1, 120, 60)
+    loss = (tokens * rng.random(60)).astype(int)
+    got = packing.Packer(tuple(limits), False, 0)
+    rows = got.pack(tokens, loss) + got.pack(np.empty(0, int), np.empty(0, int), True)
+    left, want = dict(enumerate(zip(tokens.tolist(), loss.tolist()))), []
+    while left:
+        offer, here = limits.copy(), []
+        while True:
+            fits = {i: (n, 1, m) for i, (n, m) in left.items() if n <= offer[0] and offer[1] >= 1 and m <= offer[2]}
+            if not fits:
+                break
+            i = max(fits, key=lambda i: (sum(a * b / c**2 for a, b, c in zip(fits[i], offer, limits)), -i))
+            here.append(i)
+            offer -= fits[i]
+            del left[i]
+        want.append(here)
+    by = collections.defaultdict(list)
+    for i, _, _, seq, _ in rows:
+        by[seq].append(i)
+    assert [by[k] for k in sorted(by)] == want
+
+
 def test_quality(docs, raw, spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     for r in quality_rules.quality_verdicts(docs, labels).collect():
@@ -337,6 +448,44 @@ def test_quality(docs, raw, spark):
         assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w)) and (not r.kept or not r.base_failed)
 
 
+def test_quality_ratio_by_hand(docs, raw, spark):
+    """The ratio and the verdict from counts of hashed trigrams kept in dictionaries, whatever else is in the batch."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+
+    def buckets(text):
+        b = text.encode() + b" "
+        return [((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 0x9E3779B1 % 2**32) >> 16 for k in range(len(b) - 2)]
+
+    counts = [collections.Counter(), collections.Counter()]
+    for i, t in raw.items():
+        counts[0].update(buckets(t))
+        if i in good:
+            counts[1].update(buckets(t))
+    sums = [sum(c.values()) + quality_rules.BUCKETS for c in counts]
+    ratio = lambda k: math.log((counts[1][k] + 1) / sums[1]) - math.log((counts[0][k] + 1) / sums[0])
+    table = [round(ratio(k) / quality_rules.UNIT) for k in range(quality_rules.BUCKETS)]
+    whole = {r.doc_id: r for r in quality_rules.quality_verdicts(docs, labels).collect()}
+    for i, r in whole.items():
+        b = buckets(raw[i])
+        want = sum(table[k] for k in b) * quality_rules.UNIT / max(len(b), 1)
+        assert r.llr == pytest.approx(want, abs=1e-9) and r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
+    again = quality_rules.quality_verdicts(docs.repartition(7, "text"), labels).collect()
+    assert {r.doc_id: r.llr for r in again} == {i: r.llr for i, r in whole.items()}
+
+
+def test_secrets_in_a_long_text(spark):
+    """Many spans in one text, with positions, and a candidate as long as a file."""
+    rng = random.Random(4)
+    words = [f"{rng.getrandbits(64):016x}" for _ in range(20_000)]
+    blob = "".join(rng.choice(secrets.ALPHABET) for _ in range(30_000))
+    text = " ".join(words) + " é " + blob
+    r = secrets.secret_digest(make(spark, [(1, text)])).first()
+    base = ",".join(f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{16,}", text))
+    assert r.n_hex == base.count(":") // 2 and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert r.spans.endswith(f"entropy:{len(text) - len(blob)}:{len(text)}")
+
+
 ASSIGN = re.compile(secrets.ASSIGN)
 
 
@@ -364,17 +513,19 @@ def test_secrets(spark, raw):
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(x[1] == k for x in base) for k in range(3)]
 
 
-def test_substrings(docs, raw):
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_substrings(docs, raw, parts):
     words = {i: WORD.findall(t) for i, t in raw.items()}
     least: dict = {}
     for i, w in words.items():
         for k in range(len(w) - 49):
             q = tuple(w[k : k + 50])
             least[q] = min(least.get(q, i), i)
-    for r in substring_dedup.drop_repeated_passages(docs).collect():
+    for r in substring_dedup.drop_repeated_passages(docs.repartition(parts)).collect():
         w = words[r.doc_id]
         gone = {j for k in range(len(w) - 49) if least[tuple(w[k : k + 50])] < r.doc_id for j in range(k, k + 50)}
         assert (r.n_words, r.n_removed) == (len(w), len(gone)) and r.kept == " ".join(x for j, x in enumerate(w) if j not in gone)
+    assert docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
 def test_units_of_equal_id_sums_stay_apart(spark):
