@@ -1,17 +1,24 @@
-"""Duplicate tables: pairs that share a vocabulary term are scored by name, columns and types.
+"""Duplicate tables: pairs that are alike in name or columns are scored by name, columns and types.
 
-A pair whose vocabularies share no term, and that doesn't have two empty column keys, can't reach the threshold, so pairs are
-made per term. Work is bounded by pairs that share a term.
+A score of 0.55 or more takes a likeness of names plus one of columns of at least 1, so one of the two is at least 0.5: half of the
+column terms, of the column keys or of the name terms are shared, or half of the codes' trigrams by Dice. Pairs are made only from
+the rarest parts of each of these sets, so many that two sets which share enough must meet in one; a term that
+most tables have is hardly ever among them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalog import Catalog
-from ..functions.text import canonical_terms, dice, jaccard
+from ..session import cut_lineage
+from ..functions.text import canonical_terms, trigrams
 
-KEEP, HIGH, EMPTY = 0.55, 0.72, "<empty>"
+KEEP, HIGH = 0.55, 0.72
+#: The share of its own size that a set has in common with another one that is alike enough.
+SHARES = {"col_terms": 1 / 2, "keys": 1 / 2, "name_terms": 1 / 2, "grams": 1 / 3}
 
 
 def profiles(c: Catalog, synonyms: list[list[str]] | None = None) -> DataFrame:
@@ -23,15 +30,25 @@ def profiles(c: Catalog, synonyms: list[list[str]] | None = None) -> DataFrame:
     types = last.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "type"))).alias("types"), F.collect_list("key").alias("keys"))
     words = cols.groupBy("table_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("col_terms"))
     none = F.array().cast("array<string>")
-    named = F.concat_ws(" ", "name", "code", "comment")
     t = c.tables.join(types, "table_id", "left").join(words, "table_id", "left")
+    plain = F.regexp_replace(F.lower("code"), "[^a-z0-9]", "")
     return t.select(
-        "table_ord", "table_id", "code", canonical_terms(F.concat_ws(" ", "name", "code"), synonyms).alias("name_terms"),
-        F.array_union(canonical_terms(named, synonyms), F.coalesce("col_terms", none)).alias("vocabulary"), F.coalesce("col_terms", none).alias("col_terms"),
+        "table_ord", "table_id", canonical_terms(F.concat_ws(" ", "name", "code"), synonyms).alias("name_terms"), plain.alias("plain"),
+        F.when(plain != "", trigrams(plain)).otherwise(none).alias("grams"), F.coalesce("col_terms", none).alias("col_terms"),
         F.coalesce("keys", none).alias("keys"), F.coalesce("types", F.create_map().cast("map<string,string>")).alias("types"),
     )
 
 
+def rarest(p: DataFrame) -> DataFrame:
+    """(table_ord, table_id, kind, term): of each set of a table the rarest terms, by all tables, that it must share with a set alike."""
+    own = [p.select("table_ord", "table_id", F.lit(k).alias("kind"), F.size(k).alias("size"), F.explode(k).alias("term")) for k in SHARES]
+    posts = reduce(DataFrame.union, own)
+    df = posts.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df"))
+    share = F.coalesce(*(F.when(F.col("kind") == k, F.ceil(F.col("size") * v - 1e-9)) for k, v in SHARES.items()))
+    at = F.row_number().over(Window.partitionBy("table_id", "kind").orderBy("df", "term"))
+    return posts.join(df, ["kind", "term"]).withColumn("at", at).filter((F.col("at") <= F.col("size") - share + 1) & (F.col("df") > 1)).select("table_ord", "table_id", "kind", "term")
+
+
 def compared_pairs(c: Catalog) -> DataFrame:
     """One row, compared: the number of pairs of tables, all of which are judged, most of them by sharing nothing."""
     n = F.count(F.lit(1))
@@ -40,19 +57,29 @@ def compared_pairs(c: Catalog) -> DataFrame:
 
 def duplicate_tables(c: Catalog, synonyms: list[list[str]] | None = None) -> DataFrame:
     """(table_a, table_b, score, verdict, reasons) in order of score, then of the tables."""
-    p = profiles(c, synonyms)
-    posts = p.select("table_ord", "table_id", F.explode(F.array_union("vocabulary", F.when(F.array_contains("keys", ""), F.array(F.lit(EMPTY))).otherwise(F.array().cast("array<string>")))).alias("term"))
-    a, b = (posts.toDF(f"ord_{x}", f"table_{x}", "term") for x in "ab")
-    pairs = a.join(b, "term").filter("ord_a < ord_b").select("table_a", "table_b", "ord_a", "ord_b").distinct()
+    p = cut_lineage(profiles(c, synonyms))
+    posts = cut_lineage(rarest(p))
+    a, b = (posts.toDF(f"ord_{x}", f"table_{x}", "kind", "term") for x in "ab")
+    pairs = a.join(b, ["kind", "term"]).filter("ord_a < ord_b").select("table_a", "table_b", "ord_a", "ord_b").distinct()
     side = [p.drop("table_ord").select(*(F.col(n).alias(f"{n}_{x}" if n != "table_id" else f"table_{x}") for n in p.columns if n != "table_ord")) for x in "ab"]
     s = pairs.join(side[0], "table_a").join(side[1], "table_b")
-    plain = [F.regexp_replace(F.lower(f"code_{x}"), "[^a-z0-9]", "") for x in "ab"]
-    j = jaccard(F.col("name_terms_a"), F.col("name_terms_b"))
-    shared = F.array_intersect("keys_a", "keys_b")
-    exact = F.size(shared)
-    columns = 0.5 * exact / F.greatest(F.size("keys_a"), F.size("keys_b"), F.lit(1)) + 0.5 * jaccard(F.col("col_terms_a"), F.col("col_terms_b"))
-    alike = F.size(F.filter(shared, lambda k: F.element_at("types_a", k) == F.element_at("types_b", k)))
-    s = s.withColumns({"name": F.greatest(j, 0.6 * dice(*plain) + 0.4 * j), "columns": columns, "exact": exact, "types": F.when(exact > 0, alike / F.greatest(exact, F.lit(1))).otherwise(0.0)})
+
+    def shared(of: str) -> tuple[Column, Column]:
+        """How many two sets have in common, and how many both have together."""
+        n, both = F.size(F.array_intersect(f"{of}_a", f"{of}_b")), F.size(f"{of}_a") + F.size(f"{of}_b")
+        return n, both
+
+    n, both = shared("grams")
+    dice = F.when((F.col("plain_a") == F.col("plain_b")) & (F.col("plain_a") != ""), 1.0).otherwise(2.0 * n / F.greatest(F.lit(1), both))
+    n, both = shared("name_terms")
+    j = n / F.greatest(F.lit(1), both - n)
+    s = s.withColumn("name", F.greatest(j, 0.6 * dice + 0.4 * j))
+    n, both = shared("col_terms")
+    exact = shared("keys")[0]
+    columns = 0.5 * exact / F.greatest(F.size("keys_a"), F.size("keys_b"), F.lit(1)) + 0.5 * n / F.greatest(F.lit(1), both - n)
+    s = s.withColumns({"columns": columns, "exact": exact}).filter(0.45 * F.col("name") + 0.45 * F.col("columns") + 0.1 >= KEEP - 1e-9)
+    alike = F.size(F.filter(F.array_intersect("keys_a", "keys_b"), lambda k: F.element_at("types_a", k) == F.element_at("types_b", k)))
+    s = s.withColumn("types", F.when(F.col("exact") > 0, alike / F.greatest("exact", F.lit(1))).otherwise(0.0))
     s = s.withColumn("raw", 0.45 * F.col("name") + 0.45 * F.col("columns") + 0.1 * F.col("types")).filter(F.col("raw") >= KEEP)
     reasons = F.filter(F.array(
         F.when(F.col("name") >= 0.8, "Nombres prácticamente idénticos").when(F.col("name") >= 0.5, "Nombres relacionados semánticamente"),
