@@ -149,8 +149,10 @@ def links(distinct: DataFrame, triples: list[tuple[int, ...]], least_bytes: int,
     posts = distinct.select("id", "fp").mapInArrow(post, "list long, id long")
     sizes = materialise(posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     # blocks of a list meet in pairs: an entry of block x goes to the groups (x, y) and (y, x) of all y
-    in_lists = spread_join(posts, sizes, ["list"], ["id"]).withColumn("n", F.ceil(F.col("n") / block).cast("int"))
-    in_lists = in_lists.join(distinct.select("id", "fp"), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    in_lists = spread_join(posts, sizes, ["list"], ["id"]).select("id", F.struct("list", F.ceil(F.col("n") / block).cast("int").alias("n")).alias("l"))
+    # an entry has at most one row a triple; its fingerprint joins it once
+    in_lists = in_lists.groupBy("id").agg(F.collect_list("l").alias("l")).join(distinct.select("id", "fp"), "id").withColumn("l", F.explode("l"))
+    in_lists = in_lists.select("id", "fp", "l.list", "l.n").withColumn("x", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     placed = in_lists.select("list", "id", "fp", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"))
     gathered = placed.groupBy("list", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list(F.struct("id", "fp")).alias("g"))
 
