@@ -110,11 +110,13 @@ def mix_sources(
 
     other: weight of every source that weights doesn't name. Blocks have block_chars characters, or more where the input has
     more than most_blocks blocks of that size, so that the schedule, which is one task's work, has a bounded length."""
-    text, doc_id = F.col("row.text"), F.col("row.doc_id")
+    # columns of the documents get numbered names, so that none clashes and what the caller doesn't take is never shuffled
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    text, doc_id = F.col(own["text"]), F.col(own["doc_id"])
     order = F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), F.xxhash64(text).cast("string"))))
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    d = docs.toDF(*own.values())
     d = d.withColumns({
-        "mix_source": F.coalesce("row.source", F.lit(NO_SOURCE)), "mix_size": F.coalesce(F.length(text), F.lit(0)).cast("long"),
+        "mix_source": F.coalesce(own["source"], F.lit(NO_SOURCE)), "mix_size": F.coalesce(F.length(text), F.lit(0)).cast("long"),
         "mix_order": order, "mix_hash": F.xxhash64(text), "mix_bucket": F.substring(order, 1, 3),
     })
     sums = materialise(d.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("size")))
@@ -137,8 +139,8 @@ def mix_sources(
     slots = plan.select("mix_source", F.col("turn").alias("mix_block"), F.col("place").alias("mix_slot"), "ends")
     placed = placed.join(F.broadcast(slots), ["mix_source", "mix_block"], "left")  # at most most_blocks rows and one a source
     on_target = F.coalesce(F.col("mix_slot") < F.col("ends"), F.lit(False))
-    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
-    return placed.select(*own, "mix_block", "mix_slot", "mix_start", on_target.alias("on_target"))
+    kept = [F.col(name).alias(c) for c, name in own.items() if c not in ADDED]
+    return placed.select(*kept, "mix_block", "mix_slot", "mix_start", on_target.alias("on_target"))
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
