@@ -2,6 +2,9 @@
 
 A word is a maximal run of bytes outside ASCII white space (0x20, 0x09-0x0D). Hashes are 64-bit polynomial hashes over a
 random byte table, so that the hash of any word, line or word window comes from two prefix sums, then a bit mixer.
+
+Edge cases: a null text counts as empty, and an empty one has no words; a text of any length is one unit of work at least (`units` never
+cuts a text); a null id hashes apart from every other; empty batches give empty arrays; columns are asked for by name, so others don't matter.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps over an edge table in the shared folder."""
+"""Connected components by alternating large-star and small-star steps over an edge table in the shared folder.
+
+Edge cases: edges from a vertex to itself are left out, and so are vertices without another edge; repeated edges count once; an
+empty table gives an empty result; extra columns are ignored. Ends that are null are not allowed.
+"""
 
 from __future__ import annotations
 

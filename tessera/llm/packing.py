@@ -11,7 +11,9 @@ Every task packs its own rows, block by block of bounded size, so nothing is shu
 sequence ids carry the task's partition number in their upper bits.
 
 Edge cases: a null text counts as empty and is the single end token; null ids are kept; repeated rows are packed each; an
-empty table gives an empty result; a very long text is cut into many whole sequences.
+empty table gives an empty result; a very long text is cut into many whole sequences; extra columns are ignored. Every token of a
+document bears loss and a segment is at least one token, so with equal limits only that on tokens binds for documents; for
+conversations all three do.
 """
 
 from __future__ import annotations
