@@ -32,7 +32,7 @@ from . import arrays as A
 from .spread import buckets_for, materialise, vector_sum
 
 OWN, LISTED, IN_CLASS, CONTEXT = 64, 16_384, 128, 2048
-DEPTH, BACK, NOISE, BLOCK = 16, 3, 16, 1024
+DEPTH, BACK, NOISE, BLOCK = 16, 3, 8, 1024
 RATE, RATE_IN_CLASS = 0.1, 0.05
 BUCKET_BYTES = 64 << 20  # text whose rare words meet in one bucket, about
 END = np.array([0x1234567890ABCDEF], np.uint64)[0]  # the end token's place among the word hashes
@@ -190,38 +190,27 @@ class Trainer:
         parts_ = [m.R[c] for c in ctx]
         r = sum(p * c for p, c in zip(parts_, m.C))
         noise = self.rng.choice(len(self.share), NOISE, p=self.share)
-        true = (r * m.Q[s]).sum(1) + m.b[s] - self.prior[s]
-        false = r @ m.Q[noise].T + m.b[noise] - self.prior[noise]
-        d_true, d_false = 1 / (1 + np.exp(true)), -1 / (1 + np.exp(-false))  # gradients of the log likelihood
-        d_r = d_true[:, None] * m.Q[s] + d_false @ m.Q[noise]
-        hot = np.zeros((len(self.share), len(s)), np.float32)
-        hot[s, np.arange(len(s))] = d_true
-        for j, q in enumerate(noise):
-            hot[q] += d_false[:, j]
-        g_Q, g_b = hot @ r, hot.sum(1)
+        d_r, d_true, d_false = contrast(r, m.Q[s], m.b[s] - self.prior[s], m.Q[noise], m.b[noise] - self.prior[noise])
+        g = scatter(s, np.column_stack([d_true[:, None] * r, d_true]), len(self.share))
+        np.add.at(g, noise, np.column_stack([d_false.T @ r, d_false.sum(0)]))
         tail = np.flatnonzero(s >= OWN)
         if len(tail):
             d_r[tail] += self.step_in_classes(r[tail], rows[tail])
-        g_C = np.array([(d_r * p).sum(0) for p in parts_])
-        at = ctx.ravel()
-        d_in = np.concatenate([d_r * c for c in m.C])
-        g_R = np.stack([np.bincount(at, d_in[:, k], len(m.R)) for k in range(DEPTH)], 1)
-        for v, g, total in zip(m.views, (g_R, g_C, g_Q, g_b), self.sums):
-            g = g / len(s)
-            total += g * g
-            v += self.rate * g / np.sqrt(total)
+        g_C = np.stack([np.einsum("ij,ij->j", d_r, p) for p in parts_])
+        g_R = scatter(ctx.ravel(), np.concatenate([d_r * c for c in m.C]), len(m.R))
+        for v, grad, total in zip(m.views, (g_R, g_C, g[:, :DEPTH], g[:, DEPTH]), self.sums):
+            grad = (grad / len(s)).astype(np.float32)
+            total += grad * grad
+            v += self.rate * grad / np.sqrt(total)
 
     def step_in_classes(self, r: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """A step of the words' own vectors; the gradient for r."""
         m = self.m
         noise = np.minimum(np.searchsorted(self.cdf2, self.rng.random(NOISE)), len(self.cdf2) - 1)
-        true = (r * m.Q2[rows]).sum(1) + m.b2[rows] - self.prior2[rows]
-        false = r @ m.Q2[noise].T + m.b2[noise] - self.prior2[noise]
-        d_true, d_false = 1 / (1 + np.exp(true)), -1 / (1 + np.exp(-false))
-        d_r = d_true[:, None] * m.Q2[rows] + d_false @ m.Q2[noise]
+        d_r, d_true, d_false = contrast(r, m.Q2[rows], m.b2[rows] - self.prior2[rows], m.Q2[noise], m.b2[noise] - self.prior2[noise])
         kinds, which = np.unique(np.concatenate([rows, noise]), return_inverse=True)
         g = np.concatenate([np.column_stack([d_true[:, None] * r, d_true]), np.column_stack([d_false.T @ r, d_false.sum(0)])])
-        g = np.stack([np.bincount(which, g[:, k], len(kinds)) for k in range(DEPTH + 1)], 1).astype(np.float32)
+        g = scatter(which, g, len(kinds)).astype(np.float32)
         self.sums2[kinds] += g * g
         g *= RATE_IN_CLASS / np.sqrt(self.sums2[kinds])
         m.Q2[kinds] += g[:, :DEPTH]
@@ -229,6 +218,20 @@ class Trainer:
         return d_r
 
 
+def contrast(r: np.ndarray, q: np.ndarray, offset: np.ndarray, q_noise: np.ndarray, offset_noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the noise-contrastive log likelihood for r and for the scores of the tokens and of the noise; offsets hold the
+    bias less the log of the noise's rate."""
+    d_true = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, q) + offset))
+    d_false = -1 / (1 + np.exp(-(r @ q_noise.T + offset_noise)))
+    return d_true[:, None] * q + d_false @ q_noise, d_true, d_false
+
+
+def scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of values by place."""
+    width = values.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), values.ravel(), n * width).reshape(n, width)
+
+
 def frequent_words(docs: DataFrame, most: int, per_unit: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
     """At most `most` words, most frequent first, with their last two bytes, by the sums of what units of text report as their own most frequent ones.
     The list only decides which words are counted in vectors and which in buckets; all counts are exact."""
