@@ -134,7 +134,9 @@ def as_binary(x: np.ndarray) -> pa.Array:
 
 def links(distinct: DataFrame, triples: list[tuple[int, ...]], least_bytes: int, most_bits: int, block: int = 2048) -> DataFrame:
     """Links (u, v) between the entries (id long, fp binary) of `distinct` whose components are those of all pairs that meet in
-    the posting list of a triple, share least_bytes positional bytes and differ in at most most_bits bits."""
+    the posting list of a triple, share least_bytes positional bytes and differ in at most most_bits bits. Where `distinct` has a
+    component too, links inside it are known already: lists that hold one component only are left out."""
+    known = ["component"] if "component" in distinct.columns else []
 
     def post(batches):
         at = np.array(triples)
@@ -144,10 +146,12 @@ def links(distinct: DataFrame, triples: list[tuple[int, ...]], least_bytes: int,
             raw = np.frombuffer(fp.buffers()[2], np.uint8)[fp[0:1].offset * width :][: batch.num_rows * width].reshape(-1, width)
             key = raw[:, at].astype(np.int64) @ np.array([1, 256, 65536]) + (np.arange(len(at)) << 24)
             for i in range(len(at)):
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, i]), batch.column("id")], ["list", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, i]), *(batch.column(c) for c in ("id", *known))], ["list", "id", *known])
 
-    posts = distinct.select("id", "fp").mapInArrow(post, "list long, id long")
-    sizes = materialise(posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    posts = distinct.select("id", "fp", *known).mapInArrow(post, "list long, id long" + ", component long" * len(known))
+    several = F.min(known[0]) != F.max(known[0]) if known else F.count(F.lit(1)) > 1
+    sizes = materialise(posts.groupBy("list").agg(F.count(F.lit(1)).alias("n"), several.alias("several")).filter("several").drop("several"))
+    posts = posts.select("list", "id")
     # blocks of a list meet in pairs: an entry of block x goes to the groups (x, y) and (y, x) of all y
     in_lists = spread_join(posts, sizes, ["list"], ["id"]).select("id", F.struct("list", F.ceil(F.col("n") / block).cast("int").alias("n")).alias("l"))
     # an entry has at most one row a triple; its fingerprint joins it once
@@ -200,11 +204,17 @@ def spanning(ids: np.ndarray, f: np.ndarray, least_bytes: int, most_bits: int) -
     return np.concatenate(us), np.concatenate(vs)
 
 
-def grouped(prints: DataFrame, triples: list[tuple[int, ...]], least_bytes: int, most_bits: int) -> DataFrame:
-    """(doc_id, fp, component_id) from (doc_id, fp)."""
+def grouped(prints: DataFrame, triples: list[tuple[int, ...]], least_bytes: int, most_bits: int, first: int = 0) -> DataFrame:
+    """(doc_id, fp, component_id) from (doc_id, fp). first: so many triples are posted before the others, so that for these the
+    members of a large group of near copies, which meet in nearly all lists, are known to belong together."""
     prints = materialise(prints)
     entries = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("fp")))
-    found = components(links(entries, triples, least_bytes, most_bits))
+    known, late = None, entries
+    if first:
+        known = materialise(links(entries, triples[:first], least_bytes, most_bits))
+        late = materialise(entries.join(components(known), "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component")))
+    more = links(late, triples[first:], least_bytes, most_bits)
+    found = components(more if known is None else known.union(more))
     # an entry without a link is its own component
     joined = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -224,10 +234,10 @@ def hex_of(fp: str):
     return F.lower(F.concat(*(F.hex(F.substring(fp, 8 - i, 1)) for i in range(8))))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 16, least_bytes: int = 3, most_bits: int = 166, triples: int = 160) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 16, least_bytes: int = 3, most_bits: int = 166, triples: int = 160, first: int = 16) -> DataFrame:
     """The documents with one of each group left: the smallest doc_id; repeated rows of that id all stay, and so do rows with a
     null id. With the defaults two documents link at a similarity of 0.8 of their five-word shingles."""
-    named = grouped(wide_fingerprints(docs, shingle, words), scattered(8 * words, triples), least_bytes, most_bits)
+    named = grouped(wide_fingerprints(docs, shingle, words), scattered(8 * words, triples), least_bytes, most_bits, first)
     kept = named.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("kept_id"))
     stays = rows.join(kept, "kept_id", "left_semi").unionByName(rows.filter("kept_id IS NULL"))

@@ -353,6 +353,20 @@ def test_near_duplicates_by_similarity(spark):
             assert got <= 0.05 * all_, by_band
 
 
+def test_two_rounds_of_posting_find_the_same_groups(spark):
+    """Lists of one known component are left out; groups stay those of a single round."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (40, 16), dtype=np.uint8)
+    rows = []
+    for i in range(400):
+        f = base[rng.integers(0, 40) if i % 2 else 0].copy()
+        f[rng.integers(0, 16, 3)] ^= np.uint8(1) << rng.integers(0, 8, 3, dtype=np.uint8)
+        rows.append((i, f.tobytes()))
+    prints, triples = spark.createDataFrame(rows, "doc_id long, fp binary"), simhash.scattered(16, 40)
+    one, two = ({r.doc_id: r.component_id for r in simhash.grouped(prints, triples, 3, 5, first).collect()} for first in (0, 6))
+    assert one == two and len(set(one.values())) > 30
+
+
 def test_spread_out_posting_list(spark):
     """Blocks of a long posting list meet each other."""
     ids = list(range(50))
