@@ -69,7 +69,7 @@ def test_split_identifier(spark, value, want):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("part", "supplier", "orders", "customer", "lineitem", "embeddings"):
+    for t in ("part", "supplier", "orders", "customer", "lineitem", "embeddings", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     rel = con.sql(registry.ORACLES[name])
     columns = sorted(rel.columns)
