@@ -4,13 +4,14 @@ Index: rows are cut into shards of bounded size. A shard keeps, for every dimens
 component, highest first. The table of shards is written to the shared folder.
 
 Search: a query's segments of a shard are taken in the order of the highest product that they can hold with the query's component, over all
-dimensions. Each adds that bound to its rows' scores and counts the dimension as seen. As the products come in falling order, whatever a row has not been seen in adds at most the next segment's bound, so
+dimensions. Each adds that bound to its rows' scores and counts the dimension as seen. As the products come in falling order,
+whatever a row has not been seen in adds at most the next segment's bound, so
 
     bound of a row = what was added + unseen dimensions * next segment's bound.
 
 The best rows so far are scored exactly; their k-th best is the mark to reach. Rows whose bound is below the mark are proven not to be among
-the k best. The search of a shard ends only when the rows that are not ruled out are few, or no segment is left; these possible
-members are then all scored exactly in integers.
+the k best. The search of a shard ends only when half of its rows or more are ruled out, or no segment is left; the other ones, possible
+members, are then all scored exactly in integers.
 
 One shard in 64 is searched first, and its k-th best score is where the others begin: so from all other shards together a query gets some 64 * k
 rows back, however many shards there are. Queries travel in blocks and meet each shard in a task of bounded size.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .spread import materialise, parts, small_batches
 
 #: Components a shard, queries a block, one shard in HEAD is searched first, about LEVELS segments a dimension.
-SHARD, BLOCK, HEAD, LEVELS = 1 << 20, 512, 64, 32
+SHARD, BLOCK, HEAD, LEVELS = 1 << 20, 256, 64, 64
 MOST, LEAST = float(1 << 25), -(1 << 62)
 INDEX = "shard long, dims int, ids binary, x binary, rows binary, of binary, lows binary, starts binary, width long"
 BLOCKS = "block long, q_dims int, q binary, q_ids binary, marks binary"
@@ -77,6 +78,24 @@ def runs_of_length(batches, most: int, columns: tuple[str, ...]):
             count += 1
 
 
+def shard_row(number: int, x: np.ndarray, ids: np.ndarray) -> dict:
+    """A shard as its row of the index."""
+    low, high = int(x.min()), int(x.max())
+    width = max(1, -(-(high - low + 1) // LEVELS))
+    level = (x - low) // width
+    order, of, lows, starts = np.empty(x.shape[::-1], np.int32), [], [], []
+    for d in range(x.shape[1]):
+        order[d] = np.argsort(-level[:, d], kind="stable")
+        falling = level[order[d], d]
+        at = np.flatnonzero(np.concatenate([[True], falling[1:] != falling[:-1]]))
+        of.append(np.full(len(at), d))
+        lows.append(low + falling[at].astype(np.int64) * width)
+        starts.append(at + d * len(x))
+    of, lows, starts = (np.concatenate(a).astype(np.int64).tobytes() for a in (of, lows, [*starts, [x.size]]))
+    own = {"ids": ids.astype(np.int64).tobytes(), "x": x.astype(np.int32).tobytes(), "rows": order.tobytes()}
+    return {"shard": number, "dims": x.shape[1], **own, "of": of, "lows": lows, "starts": starts, "width": width}
+
+
 def build_index(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     """The shards of rows (vec_id, x), written to the shared folder. ids and x are a shard's rows; rows holds the row
     numbers of its segments, one after the other, and for every segment there are its dimension (of), its lowest component and its start in rows."""
@@ -86,20 +105,7 @@ def build_index(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     def build(batches):
         task = TaskContext.get().partitionId()
         for number, x, ids in runs_of_length(batches, shard, ("vec_id",)):
-            low, high = int(x.min()), int(x.max())
-            width = max(1, -(-(high - low + 1) // LEVELS))
-            level = (x - low) // width
-            order, of, lows, starts = np.empty(x.shape[::-1], np.int32), [], [], []
-            for d in range(x.shape[1]):
-                order[d] = np.argsort(-level[:, d], kind="stable")
-                falling = level[order[d], d]
-                at = np.flatnonzero(np.concatenate([[True], falling[1:] != falling[:-1]]))
-                of.append(np.full(len(at), d))
-                lows.append(low + falling[at].astype(np.int64) * width)
-                starts.append(at + d * len(x))
-            ends = [np.concatenate(a).astype(np.int64) for a in (of, lows, [*starts, [x.size]])]
-            raw = [a.tobytes() for a in (ids.astype(np.int64), x.astype(np.int32), order, *ends)]
-            yield one_row([number * tasks + task, x.shape[1], *raw, width], INDEX)
+            yield one_row(list(shard_row(number * tasks + task, x, ids).values()), INDEX)
 
     return materialise(rows.repartition(tasks).mapInArrow(build, INDEX))
 
@@ -122,35 +128,53 @@ class Shard:
 
     def __init__(self, row: dict):
         self.ids, self.x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["x"], np.int32).reshape(-1, row["dims"])
-        self.rows, self.starts = np.frombuffer(row["rows"], np.int32), np.frombuffer(row["starts"], np.int64).tolist()
+        self.rows, self.starts = np.frombuffer(row["rows"], np.int32).astype(np.int64), np.frombuffer(row["starts"], np.int64)
         self.dim, self.low = np.frombuffer(row["of"], np.int64), np.frombuffer(row["lows"], np.int64)
-        self.high = self.low + row["width"] - 1
+        self.width = row["width"] - 1
+        self.high = self.low + self.width
+        self.highs = np.repeat(self.high, np.diff(self.starts))  # by entry
+        self.first = np.searchsorted(self.dim, np.arange(row["dims"] + 1))
+        self.doubles, self.most = self.x.astype(float), int(np.abs(self.x).max())
+        self.added = 0  # entries of segments that searches have added so far
 
     def exact(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.most * int(np.abs(q).max()) * len(q) < 1 << 52:  # products of doubles are exact
+            return (self.doubles[at] @ q.astype(float)).astype(np.int64)
         return self.x[at].astype(np.int64) @ q
 
     def best(self, q_id: int, q: np.ndarray, k: int, mark: int, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows for q, of those of at least `mark`; rows with the query's id are left out."""
         n, dims = self.x.shape
         q = np.concatenate([q[:dims], np.zeros(max(0, dims - len(q)), np.int64)])
-        bound = np.where(q[self.dim] >= 0, q[self.dim] * self.high, q[self.dim] * self.low)
+        up = q[self.dim] >= 0
+        bound = q[self.dim] * np.where(up, self.high, self.low)
         order = np.argsort(-bound, kind="stable")
-        falling = bound[order].tolist()
-        sums, seen = np.zeros(n, np.int64), np.zeros(n, np.int16 if dims < 1 << 15 else np.int32)
-        own = self.ids == q_id
-        possible, done, scored = None, 0, np.zeros(n, bool)
-        # proofs are tried as the next bound falls to these shares of the first, and then at every eighth of what is left
-        tries = [t for share in (0.5, 0.25, 0.12, 0.06, 0.0) if 0 < (t := int(np.searchsorted(-bound[order], -share * falling[0], side="right"))) < len(order)]
-        left = tries[-1] if tries else 0
-        tries = sorted({*tries, *np.linspace(left, len(order), 9).astype(int).tolist()} - {0})
+        falling, of = bound[order], self.dim[order]
+        sums, seen, taken = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(dims, np.int64)
+        exact_doubles = dims < 1 << 16 and max(abs(int(falling[0])), abs(int(falling[-1]))) * dims < 1 << 36
+        own, possible, done = self.ids == q_id, None, 0
+        # proofs are tried as the next bound falls to these shares of the first, and then at every sixth of what is left
+        shares = np.searchsorted(-falling, -falling[0] * np.array([0.25, 0.0]), side="right") if falling[0] > 0 else [0]
+        tries = sorted({*map(int, shares), *np.linspace(max(shares), len(order), 7).astype(int).tolist()} - {0})
         for stop in tries:
-            for s, b in zip(order[done:stop].tolist(), falling[done:stop]):
-                at = self.rows[self.starts[s] : self.starts[s + 1]]
-                sums[at] += b
-                seen[at] += 1
-            done = stop
-            ahead = falling[done] if done < len(falling) else 0
-            most = sums + (dims - seen.astype(np.int64)) * ahead
+            # segments of a dimension are taken from its highest component down, or from its lowest up if the query's is negative
+            now = taken + np.bincount(of[done:stop], minlength=dims)
+            pieces = []
+            for d in np.flatnonzero(now > taken).tolist():
+                ends = (self.first[d] + taken[d], self.first[d] + now[d]) if q[d] >= 0 else (self.first[d + 1] - now[d], self.first[d + 1] - taken[d])
+                a, b = self.starts[ends[0]], self.starts[ends[1]]
+                pieces.append((self.rows[a:b], (self.highs[a:b] - (0 if q[d] >= 0 else self.width)) * q[d]))
+            rows, value = (np.concatenate(c) for c in zip(*pieces))
+            self.added += len(rows)
+            if exact_doubles:  # a bound and a count share a number
+                both = np.bincount(rows, value * 65536.0 + 1.0, n).astype(np.int64)
+                sums += both >> 16
+                seen += both & 65535
+            else:
+                np.add.at(sums, rows, value)
+                seen += np.bincount(rows, minlength=n)
+            taken, done = now, stop
+            most = sums + (dims - seen) * (falling[done] if done < len(falling) else 0)
             most[own] = LEAST
             # the best so far, scored exactly, raise the mark
             lead = np.argpartition(-most, min(4 * k, n) - 1)[: 4 * k]
@@ -158,7 +182,7 @@ class Shard:
             if len(lead) >= k:
                 mark = max(mark, int(np.partition(self.exact(lead, q), len(lead) - k)[len(lead) - k]))
             possible = np.flatnonzero((most >= mark) & ~own)
-            if len(possible) <= max(few, n // 128):
+            if len(possible) <= max(few, n // 2):  # scoring them takes a fraction of adding the segments that are left
                 break
         score = self.exact(possible, q)
         top = np.lexsort((self.ids[possible], -score))[:k]
