@@ -440,3 +440,6 @@ def demo_references(spark, d):
     c = demo_catalog(spark)
     p, q = (c.tables.select(F.col("table_id").alias(f"{x}_table"), F.col("code").alias(x)) for x in ("parent", "child"))
     return c.refs.join(p, "parent_table").join(q, "child_table").select("name", "parent", "child")
+
+
+from . import search_queries  # noqa: E402, F401  registers its queries
