@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession, functions as F
 
 #: Fixed values.
-STOPWORDS = "de del la el los las un una unos unas y o con por para al en of the and for to from".split()
+STOPWORDS = ("de", "del", "la", "el", "los", "las", "un", "una", "unos", "unas", "y", "o", "con", "por", "para", "al", "en", "of", "the", "and", "for", "to", "from")
 INVARIANT = (
-    "status alias analysis address process access business class bus plus bonus campus virus series species atlas lens news gross pass mass "
-    "cross case base release phase course purchase response expense license warehouse"
-).split()
+    "status", "alias", "analysis", "address", "process", "access", "business", "class", "bus", "plus", "bonus", "campus", "virus", "series", "species", "atlas",
+    "lens", "news", "gross", "pass", "mass", "cross", "case", "base", "release", "phase", "course", "purchase", "response", "expense", "license", "warehouse",
+)
 
 
 def split_identifier(value: Column) -> Column:
@@ -22,7 +22,7 @@ def singularize(t: Column) -> Column:
     """Conservative singular: short and invariant words stay; -ies to -y, consonant -es and plain -s are cut."""
     n = F.length(t)
     return (
-        F.when((n <= 3) | t.isin(INVARIANT), t).when(t.endswith("ies") & (n > 4), F.concat(F.substring(t, F.lit(1), n - 3), F.lit("y")))
+        F.when((n <= 3) | t.isin(*INVARIANT), t).when(t.endswith("ies") & (n > 4), F.concat(F.substring(t, F.lit(1), n - 3), F.lit("y")))
         .when(t.endswith("es") & (n > 4) & ~t.rlike("[aeiou]es$"), F.substring(t, F.lit(1), n - 2))
         .when(t.endswith("s") & ~t.rlike("(ss|us|is)$"), F.substring(t, F.lit(1), n - 1)).otherwise(t)
     )
@@ -38,9 +38,9 @@ def tokenize(value: Column, synonyms: list[list[str]] | None = None) -> Column:
     """Array of (token, canonical): lower case, without stopwords and words of one letter, singular unless the word is in a
     synonym group; duplicates stay."""
     known = synonym_map(synonyms or [])
-    words = F.filter(F.transform(split_identifier(value), F.lower), lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS))
+    words = F.filter(F.transform(split_identifier(value), F.lower), lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
     single = F.transform(words, lambda w: F.when(F.coalesce(F.map_contains_key(known, w), F.lit(False)), w).otherwise(singularize(w)))
-    single = F.filter(single, lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS))
+    single = F.filter(single, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
     return F.transform(single, lambda w: F.struct(w.alias("token"), F.coalesce(F.try_element_at(known, w), w).alias("canonical")))
 
 
@@ -116,5 +116,17 @@ def match_score(query: str, text: Column, weight: float | Column) -> Column:
     return rules.when(F.contains(F.regexp_replace(t, r"[_\s]", ""), F.lit("".join(words))), 0.65) * weight
 
 
+def match_score_of(query: Column, text: Column) -> Column:
+    """The same for a column of queries, in lower case, trimmed and not empty."""
+    t, words = F.lower(text), F.filter(F.split(query, r"\s+"), lambda w: w != "")
+    parts = F.split(t, r"[\s_]+")
+    found = F.size(F.filter(words, lambda w: F.exists(parts, lambda x: F.contains(x, w))))
+    several = F.size(words) > 1
+    return (
+        F.when(t == query, 1.0).when(F.startswith(t, query), 0.95).when(F.contains(t, query), 0.8).when(several & (found == F.size(words)), 0.7).when(several & (found > 0), 0.5)
+        .when(F.contains(F.regexp_replace(t, r"[_\s]", ""), F.array_join(words, "")), 0.65)
+    )
+
+
 def _inside(t: Column, word: str) -> Column:
     return F.exists(F.split(t, r"[\s_]+"), lambda x: F.contains(x, F.lit(word)))

@@ -6,46 +6,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import Catalog
 
-#: Input types and what they become; {n}, {n_or_255} and {n_or_1} stand for the declared length.
+#: Input types, and what they become without a length, with one (n), and with length and precision (n, p).
 TYPES = [
-    (("INT8", "INT4", "INT2", "SERIAL"), "NUMBER[(n)]"),
-    (("FLOAT8", "FLOAT4", "DOUBLE PRECISION", "REAL"), "NUMBER"),
-    (("BOOL", "BOOLEAN"), "NUMBER(1)"),
-    (("BYTEA", "BLOB"), "BLOB"),
-    (("TIMESTAMPTZ", "TIMESTAMP WITH TIME ZONE", "TIMESTAMP"), "TIMESTAMP"),
-    (("MONEY",), "NUMBER(16, 2)"),
-    (("UNKNOWN", ""), "VARCHAR2(255)"),
-    (("INTEGER", "INT"), "NUMBER"),
-    (("BIGINT",), "NUMBER(19)"),
-    (("SMALLINT",), "NUMBER(5)"),
-    (("VARCHAR",), "VARCHAR2(n or 255)"),
-    (("CHAR",), "CHAR(n or 1)"),
-    (("TEXT", "LONGTEXT", "CLOB"), "CLOB"),
-    (("DATE", "DATETIME"), "DATE"),
-    (("DECIMAL", "NUMERIC", "FLOAT", "DOUBLE"), "NUMBER[(n, p)]"),
+    (("INT8", "INT4", "INT2", "SERIAL"), "NUMBER", "NUMBER(n)", "NUMBER(n)"),
+    (("FLOAT8", "FLOAT4", "DOUBLE PRECISION", "REAL"), "NUMBER", "NUMBER", "NUMBER"),
+    (("BOOL", "BOOLEAN"), "NUMBER(1)", "NUMBER(1)", "NUMBER(1)"),
+    (("BYTEA", "BLOB"), "BLOB", "BLOB", "BLOB"),
+    (("TIMESTAMPTZ", "TIMESTAMP WITH TIME ZONE", "TIMESTAMP"), "TIMESTAMP", "TIMESTAMP", "TIMESTAMP"),
+    (("MONEY",), "NUMBER(16, 2)", "NUMBER(16, 2)", "NUMBER(16, 2)"),
+    (("UNKNOWN", ""), "VARCHAR2(255)", "VARCHAR2(255)", "VARCHAR2(255)"),
+    (("INTEGER", "INT"), "NUMBER", "NUMBER", "NUMBER"),
+    (("BIGINT",), "NUMBER(19)", "NUMBER(19)", "NUMBER(19)"),
+    (("SMALLINT",), "NUMBER(5)", "NUMBER(5)", "NUMBER(5)"),
+    (("VARCHAR",), "VARCHAR2(255)", "VARCHAR2(n)", "VARCHAR2(n)"),
+    (("CHAR",), "CHAR(1)", "CHAR(n)", "CHAR(n)"),
+    (("TEXT", "LONGTEXT", "CLOB"), "CLOB", "CLOB", "CLOB"),
+    (("DATE", "DATETIME"), "DATE", "DATE", "DATE"),
+    (("DECIMAL", "NUMERIC", "FLOAT", "DOUBLE"), "NUMBER", "NUMBER(n)", "NUMBER(n, p)"),
 ]
 
 
 def oracle_type(data_type: Column, length: Column, precision: Column | None = None) -> Column:
-    """The Oracle type; a type that isn't listed stays, with its length and precision."""
-    base = F.upper(F.trim(F.coalesce(data_type, F.lit(""))))
+    """The Oracle type; a type that isn't listed stays, trimmed and in upper case, with its length and precision; a missing one is VARCHAR."""
+    base = F.upper(F.regexp_replace(F.coalesce(data_type, F.lit("VARCHAR")), r"^\s+|\s+$", ""))
     n = F.when(length > 0, length).cast("string")
     p = F.when(precision > 0, precision).cast("string") if precision is not None else F.lit(None).cast("string")
-    one = F.coalesce(F.concat(F.lit("("), n, F.lit(")")), F.lit(""))
-    two = F.coalesce(F.concat(F.lit("("), n, F.lit(", "), p, F.lit(")")), one)
-    out = None
-    for names, target in TYPES:
-        if target == "NUMBER[(n)]":
-            value = F.concat(F.lit("NUMBER"), one)
-        elif target == "NUMBER[(n, p)]":
-            value = F.concat(F.lit("NUMBER"), two)
-        elif " or " in target:
-            kind, default = target.rstrip(")").split("(")[0], target.rstrip(")").split(" or ")[1]
-            value = F.concat(F.lit(f"{kind}("), F.coalesce(n, F.lit(default)), F.lit(")"))
-        else:
-            value = F.lit(target)
-        out = F.when(base.isin(*names), value) if out is None else out.when(base.isin(*names), value)
-    return out.otherwise(F.concat(data_type, two))
+
+    def filled(plain: Column, one: Column, two: Column) -> Column:
+        put = lambda text: F.replace(F.replace(text, F.lit("n"), n), F.lit("p"), p)  # noqa: E731  null where a number is missing
+        return F.coalesce(put(two), F.replace(one, F.lit("n"), n), plain)
+
+    out = F.when(F.lit(False), "")
+    for names, *targets in TYPES:
+        out = out.when(base.isin(*names), filled(*(F.lit(t) for t in targets)))
+    other = F.coalesce(F.concat(base, F.lit("("), n, F.lit(", "), p, F.lit(")")), F.concat(base, F.lit("("), n, F.lit(")")), base)
+    return out.otherwise(other)
 
 
 def quoted(name: Column) -> Column:

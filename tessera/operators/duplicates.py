@@ -1,9 +1,11 @@
 """Duplicate tables: pairs that are alike in name or columns are scored by name, columns and types.
 
-A score of 0.55 or more takes a likeness of names plus one of columns of at least 1, so one of the two is at least 0.5: half of the
-column terms, of the column keys or of the name terms are shared, or half of the codes' trigrams by Dice. Pairs are made only from
-the rarest parts of each of these sets, so many that two sets which share enough must meet in one; a term that
-most tables have is hardly ever among them.
+A score of 0.55 or more takes a likeness of names plus one of columns of at least 1, so one of the two is at least 0.5: the vocabularies, the column
+keys or the name terms have a Jaccard similarity (of keys: a share of the larger set) of 0.5, or the codes' trigrams a Dice coefficient of 0.5.
+Pairs come from a set-similarity join over these four sets. Of each set only the rarest elements are posted, so many that two sets
+which share enough must meet in one (an element that most tables have is hardly ever among them); sets that meet are paired only if their
+sizes allow the similarity and if what follows the common element in both is enough to reach it. The tables of an element that many sets post
+are cut into blocks of about PART, and blocks meet in pairs, so no task has all of them. All pairs found are scored in full.
 """
 
 from __future__ import annotations
@@ -17,36 +19,62 @@ from ..session import cut_lineage
 from ..functions.text import canonical_terms, trigrams
 
 KEEP, HIGH = 0.55, 0.72
-#: The share of its own size that a set has in common with another one that is alike enough.
-SHARES = {"col_terms": 1 / 2, "keys": 1 / 2, "name_terms": 1 / 2, "grams": 1 / 3}
+#: Of each kind of set: the share of its own size that a set has in common with another one that is alike enough; how many times larger than the
+#: other one it is at most; and the share of both sizes together that is common at least.
+SHARES = {"vocabulary": (1 / 2, 2, 1 / 3), "keys": (1 / 2, 2, 1 / 4), "name_terms": (1 / 2, 2, 1 / 3), "grams": (1 / 3, 3, 1 / 4)}
+PART = 512
 
 
 def profiles(c: Catalog, synonyms: list[list[str]] | None = None) -> DataFrame:
-    """One row per table: names, name terms, vocabulary, distinct column keys, and the last type of each key."""
+    """One row per table: name terms (of name, code and comment), vocabulary (these and the columns' terms), distinct column keys, and the last type of each key."""
     terms = canonical_terms(F.col("code"), synonyms)
-    cols = c.columns.select("table_id", "col_ord", terms.alias("t"), F.lower("data_type").alias("type"))
+    cols = c.columns.select("table_id", "col_ord", terms.alias("t"), F.lower(F.coalesce("data_type", F.lit(""))).alias("type"))
     cols = cols.withColumn("key", F.array_join(F.array_sort("t"), "+"))
     last = cols.groupBy("table_id", "key").agg(F.max_by("type", "col_ord").alias("type"))
     types = last.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "type"))).alias("types"), F.collect_list("key").alias("keys"))
-    words = cols.groupBy("table_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("col_terms"))
+    words = cols.groupBy("table_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("of_columns"))
     none = F.array().cast("array<string>")
-    t = c.tables.join(types, "table_id", "left").join(words, "table_id", "left")
+    comment = [] if "comment" not in c.tables.columns else [F.coalesce("comment", F.lit(""))]
+    names = canonical_terms(F.concat_ws(" ", "name", "code", *comment), synonyms)
+    t = c.tables.join(types, "table_id", "left").join(words, "table_id", "left").withColumn("names", names)
     plain = F.regexp_replace(F.lower("code"), "[^a-z0-9]", "")
     return t.select(
-        "table_ord", "table_id", canonical_terms(F.concat_ws(" ", "name", "code"), synonyms).alias("name_terms"), plain.alias("plain"),
-        F.when(plain != "", trigrams(plain)).otherwise(none).alias("grams"), F.coalesce("col_terms", none).alias("col_terms"),
+        "table_ord", "table_id", F.col("names").alias("name_terms"), plain.alias("plain"),
+        F.when(plain != "", trigrams(plain)).otherwise(F.array(F.lit(""))).alias("grams"), F.array_union("names", F.coalesce("of_columns", none)).alias("vocabulary"),
         F.coalesce("keys", none).alias("keys"), F.coalesce("types", F.create_map().cast("map<string,string>")).alias("types"),
     )
 
 
 def rarest(p: DataFrame) -> DataFrame:
-    """(table_ord, table_id, kind, term): of each set of a table the rarest terms, by all tables, that it must share with a set alike."""
+    """(table_ord, table_id, kind, term, size, at): of each set of a table the rarest terms, by all tables, that it must share with a set alike."""
     own = [p.select("table_ord", "table_id", F.lit(k).alias("kind"), F.size(k).alias("size"), F.explode(k).alias("term")) for k in SHARES]
     posts = reduce(DataFrame.union, own)
     df = posts.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df"))
-    share = F.coalesce(*(F.when(F.col("kind") == k, F.ceil(F.col("size") * v - 1e-9)) for k, v in SHARES.items()))
+    share = F.coalesce(*(F.when(F.col("kind") == k, F.ceil(F.col("size") * v[0] - 1e-9)) for k, v in SHARES.items()))
     at = F.row_number().over(Window.partitionBy("table_id", "kind").orderBy("df", "term"))
-    return posts.join(df, ["kind", "term"]).withColumn("at", at).filter((F.col("at") <= F.col("size") - share + 1) & (F.col("df") > 1)).select("table_ord", "table_id", "kind", "term")
+    kept = posts.join(df, ["kind", "term"]).withColumn("at", at).filter((F.col("at") <= F.col("size") - share + 1) & (F.col("df") > 1))
+    return kept.select("table_ord", "table_id", "kind", "term", "size", "at")
+
+
+def candidate_pairs(posts: DataFrame) -> DataFrame:
+    """(ord_a, table_a, ord_b, table_b) of tables that may be alike enough in one kind of set, each once."""
+    blocks = posts.groupBy("kind", "term").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("n")).filter("n > 1")
+    placed = posts.join(blocks, ["kind", "term"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    placed = cut_lineage(placed.withColumn("x", F.pmod(F.xxhash64("table_id"), F.col("n")).cast("int")))
+    side = lambda s, others, own, other: placed.select("kind", "term", F.col("x").alias(own), F.explode(others).alias(other), *(F.col(c).alias(f"{c}_{s}") for c in ("table_ord", "table_id", "size", "at")))
+    # blocks x <= y of a term meet once; inside a block the order of the tables tells pairs from their mirror images
+    met = side("l", F.sequence("x", F.col("n") - 1), "lo", "hi").join(side("r", F.sequence(F.lit(0), "x"), "hi", "lo"), ["kind", "term", "lo", "hi"])
+    met = met.filter((F.col("lo") < F.col("hi")) | (F.col("table_ord_l") < F.col("table_ord_r")))
+    rest = F.least(F.col("size_l") - F.col("at_l"), F.col("size_r") - F.col("at_r")) + 1
+
+    def possible(times: float, share: float) -> Column:
+        # this is the first common element in one of a pair's rows, so all other ones come after it in both sets
+        return (F.col("size_l") <= times * F.col("size_r")) & (F.col("size_r") <= times * F.col("size_l")) & (rest >= share * (F.col("size_l") + F.col("size_r")) - 1e-9)
+
+    met = met.filter(F.coalesce(*(F.when(F.col("kind") == k, possible(v[1], v[2])) for k, v in SHARES.items())))
+    first = F.col("table_ord_l") < F.col("table_ord_r")
+    ends = [F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")) for x, y in ("lr", "rl") for c in ("table_ord", "table_id")]
+    return met.select(*(e.alias(n) for e, n in zip(ends, ("ord_a", "table_a", "ord_b", "table_b")))).distinct()
 
 
 def compared_pairs(c: Catalog) -> DataFrame:
@@ -58,9 +86,7 @@ def compared_pairs(c: Catalog) -> DataFrame:
 def duplicate_tables(c: Catalog, synonyms: list[list[str]] | None = None) -> DataFrame:
     """(table_a, table_b, score, verdict, reasons) in order of score, then of the tables."""
     p = cut_lineage(profiles(c, synonyms))
-    posts = cut_lineage(rarest(p))
-    a, b = (posts.toDF(f"ord_{x}", f"table_{x}", "kind", "term") for x in "ab")
-    pairs = a.join(b, ["kind", "term"]).filter("ord_a < ord_b").select("table_a", "table_b", "ord_a", "ord_b").distinct()
+    pairs = candidate_pairs(cut_lineage(rarest(p)))
     side = [p.drop("table_ord").select(*(F.col(n).alias(f"{n}_{x}" if n != "table_id" else f"table_{x}") for n in p.columns if n != "table_ord")) for x in "ab"]
     s = pairs.join(side[0], "table_a").join(side[1], "table_b")
 
@@ -70,11 +96,11 @@ def duplicate_tables(c: Catalog, synonyms: list[list[str]] | None = None) -> Dat
         return n, both
 
     n, both = shared("grams")
-    dice = F.when((F.col("plain_a") == F.col("plain_b")) & (F.col("plain_a") != ""), 1.0).otherwise(2.0 * n / F.greatest(F.lit(1), both))
+    dice = F.when(F.col("plain_a") == F.col("plain_b"), 1.0).when((F.col("plain_a") == "") | (F.col("plain_b") == ""), 0.0).otherwise(2.0 * n / F.greatest(F.lit(1), both))
     n, both = shared("name_terms")
     j = n / F.greatest(F.lit(1), both - n)
     s = s.withColumn("name", F.greatest(j, 0.6 * dice + 0.4 * j))
-    n, both = shared("col_terms")
+    n, both = shared("vocabulary")
     exact = shared("keys")[0]
     columns = 0.5 * exact / F.greatest(F.size("keys_a"), F.size("keys_b"), F.lit(1)) + 0.5 * n / F.greatest(F.lit(1), both - n)
     s = s.withColumns({"columns": columns, "exact": exact}).filter(0.45 * F.col("name") + 0.45 * F.col("columns") + 0.1 >= KEEP - 1e-9)

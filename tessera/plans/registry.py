@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import annotations, data_quality, ddl, diff, edits, export, graph, layers, lint as L, migration, search
-from ..operators.duplicates import compared_pairs, duplicate_tables
+from ..operators.duplicates import compared_pairs
 from ..session import ship_package
 from ..sources.demo import demo_catalog
 from ..sources.synthetic import oracle, synthetic_catalog as _catalog
@@ -156,11 +156,6 @@ def warnings_by_rule(spark, d):
     return layers.by_severity(L.lint(synthetic_catalog(spark, d, keep=True)), "warning").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def duplicate_table_pairs(spark, d):
-    return duplicate_tables(synthetic_catalog(spark, d, keep=True))
-
-
 @query(oracle("SELECT count(*) * (count(*) - 1) // 2 AS compared FROM cat_tables"))
 def compared_table_pairs(spark, d):
     return compared_pairs(synthetic_catalog(spark, d))
@@ -247,25 +242,6 @@ def export_json(spark, d):
     return export.json_lines(L.lint(synthetic_catalog(spark, d, keep=True))).select("line")
 
 
-SEARCHED = "sup le"
-
-
-def _match(text: str) -> str:
-    q, words = SEARCHED, SEARCHED.split()
-    inside = " + ".join(f"CAST(len(list_filter(regexp_split_to_array(lower({text}), '[\\s_]+'), lambda x: contains(x, '{w}'))) > 0 AS int)" for w in words)
-    return f"""CASE WHEN lower({text}) = '{q}' THEN 1.0 WHEN starts_with(lower({text}), '{q}') THEN 0.95 WHEN contains(lower({text}), '{q}') THEN 0.8
-        WHEN {inside} = {len(words)} THEN 0.7 WHEN {inside} > 0 THEN 0.5 WHEN contains(regexp_replace(lower({text}), '[_\\s]', '', 'g'), '{"".join(words)}') THEN 0.65 END"""
-
-
-@query(oracle(f"""SELECT kind, id, matched_in, round(CAST(w AS double) * CAST(coalesce({_match("matched_in")}, {_match("title")}) AS double), 6) AS score FROM (
-    SELECT 'table' AS kind, table_id AS id, name AS title, name AS matched_in, 1.0 AS w FROM cat_tables
-    UNION ALL SELECT 'table', table_id, name, code, 0.95 FROM cat_tables WHERE lower(code) <> lower(name)
-    UNION ALL SELECT 'column', column_id, name, name, 0.85 FROM cat_columns UNION ALL SELECT 'column', column_id, name, code, 0.8075 FROM cat_columns WHERE lower(code) <> lower(name)
-    UNION ALL SELECT 'index', name, name, name, 0.5 FROM cat_indexes) WHERE coalesce({_match("matched_in")}, {_match("title")}) IS NOT NULL"""))
-def global_search(spark, d):
-    return search.global_search(synthetic_catalog(spark, d), SEARCHED).select("kind", "id", "matched_in", F.round("score", 6).alias("score"))
-
-
 @query("""WITH u AS (SELECT vec_id, CAST(embedding AS double[]) AS e, sqrt(list_dot_product(CAST(embedding AS double[]), CAST(embedding AS double[]))) AS n FROM embeddings WHERE embedding IS NOT NULL)
     SELECT q_id, vec_id, score FROM (SELECT q.vec_id AS q_id, u.vec_id, round(CASE WHEN q.n * u.n = 0 THEN 0 ELSE list_dot_product(q.e, u.e) / (q.n * u.n) END, 6) AS score
     FROM u AS q JOIN u ON q.vec_id <> u.vec_id AND len(q.e) = len(u.e) WHERE q.vec_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) <= 20""")
