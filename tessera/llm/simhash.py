@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import arrays as A
 from .components import components
-from .spread import materialise, spread_join
+from .spread import materialise, salted_join
 
 
 def covering(most_positions: int = 8, shared: int = 4, size: int = 3) -> list[tuple[int, ...]]:
@@ -153,7 +153,7 @@ def links(distinct: DataFrame, triples: list[tuple[int, ...]], least_bytes: int,
     sizes = materialise(posts.groupBy("list").agg(F.count(F.lit(1)).alias("n"), several.alias("several")).filter("several").drop("several"))
     posts = posts.select("list", "id")
     # blocks of a list meet in pairs: an entry of block x goes to the groups (x, y) and (y, x) of all y
-    in_lists = spread_join(posts, sizes, ["list"], ["id"]).select("id", F.struct("list", F.ceil(F.col("n") / block).cast("int").alias("n")).alias("l"))
+    in_lists = salted_join(posts, sizes, ["list"], ["id"]).select("id", F.struct("list", F.ceil(F.col("n") / block).cast("int").alias("n")).alias("l"))
     # an entry has at most one row a triple; its fingerprint joins it once
     in_lists = in_lists.groupBy("id").agg(F.collect_list("l").alias("l")).join(distinct.select("id", "fp"), "id").withColumn("l", F.explode("l"))
     in_lists = in_lists.select("id", "fp", "l.list", "l.n").withColumn("x", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
@@ -208,7 +208,7 @@ def grouped(prints: DataFrame, triples: list[tuple[int, ...]], least_bytes: int,
     """(doc_id, fp, component_id) from (doc_id, fp). first: so many triples are posted before the others, so that for these the
     members of a large group of near copies, which meet in nearly all lists, are known to belong together."""
     prints = materialise(prints)
-    entries = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("fp")))
+    entries = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("fp")))
     known, late = None, entries
     if first:
         known = materialise(links(entries, triples[:first], least_bytes, most_bits))
@@ -217,9 +217,9 @@ def grouped(prints: DataFrame, triples: list[tuple[int, ...]], least_bytes: int,
     found = components(more if known is None else known.union(more))
     # an entry without a link is its own component
     joined = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = materialise(salted_join(joined.select("fp", "id", "component", F.col("n").alias("rows")), least, ["component"], ["id"]).select("fp", "component_id", F.col("rows").alias("n")))
+    return salted_join(prints, named, ["fp"], ["doc_id"]).drop("n").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, most_bits: int = 4) -> DataFrame:
