@@ -141,10 +141,11 @@ def per_text(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.diff(acc[off])
 
 
-def units(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about `most` bytes of text; a longer text stays whole, alone or with the next few."""
+def units(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about `most` bytes of text, and about `rows` rows at most; a longer text stays whole, alone or with the
+    next few."""
     try:
-        yield from _cut(batches, column, most)
+        yield from _cut(batches, column, most, most // rows if rows else 1)
     finally:
         release_memory()
 
@@ -160,17 +161,25 @@ def release_memory() -> None:
         pass
 
 
-def _cut(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], column: str, most: int, row: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(size + 1) // most
+        block = np.cumsum(size + row) // most
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             yield batch.slice(lo, hi - lo)
 
 
+def stretches(numbers: np.ndarray, also: int) -> list[tuple[int, int, int]]:
+    """(number, first place, end) of each number in sorted `numbers`, and of `also`, which may have no place; takes time by what is there, however
+    large the numbers are."""
+    at = numbers.astype(np.int64)
+    met = np.union1d(at, [also])
+    return list(zip(met.tolist(), np.searchsorted(at, met).tolist(), np.searchsorted(at, met, "right").tolist()))
+
+
 def crc_mod(ids: pa.Array, m: int) -> np.ndarray:
     """crc32 of each id as text, modulo m; a null id has the empty text."""
     import zlib

@@ -296,14 +296,12 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = 65_536, ro
             order = np.lexsort((doc, bucket))
             h, cls, doc, bucket = h[order], cls[order], doc[order], bucket[order]
             learn = A.crc_mod(u.column("doc_id"), folds) != 0
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
             unit = int(A.mix(np.array([keys.sum()], np.uint64)).view(np.int64)[0])
             home, flags, rows = unit % buckets, A.pack(learn), []
-            for b in range(buckets):
-                s = slice(cut[b], cut[b + 1])
-                if cut[b] < cut[b + 1] or b == home:
-                    step = np.diff(doc[s], prepend=0)
-                    rows.append((b, unit, A.pack(h[s], step * n_classes + cls[s]), flags, A.pack(keys) if b == home else None))
+            for b, lo, hi in A.stretches(bucket, home):
+                s = slice(lo, hi)
+                step = np.diff(doc[s], prepend=0)
+                rows.append((b, unit, A.pack(h[s], step * n_classes + cls[s]), flags, A.pack(keys) if b == home else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SENT.values())], list(SENT))
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

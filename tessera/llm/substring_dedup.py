@@ -69,13 +69,10 @@ def by_bucket(
     unit has answered itself."""
     bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows = [(buckets + unit % buckets, unit, A.pack(np.diff(local, prepend=0)), None)] if len(local) else []
-    for b in range(buckets):
-        at = order[cut[b] : cut[b + 1]]
-        if len(at) or b == unit % buckets:
-            keys = A.pack(x["keys"], x["counts"]) if b == unit % buckets else None
-            rows.append((b, unit, A.pack(*(c(at) for c in columns)), keys))
+    for b, lo, hi in A.stretches(bucket[order], unit % buckets):
+        keys = A.pack(x["keys"], x["counts"]) if b == unit % buckets else None
+        rows.append((b, unit, A.pack(*(c(order[lo:hi]) for c in columns)), keys))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(SENT.values())], list(SENT))
 
 
