@@ -24,6 +24,7 @@ from . import arrays as A
 from .spread import spread_join, vector_sum
 
 DIMS = 4096
+UNIT_ROWS = 1000  # a row's counts take 32 KB whatever its text, so the rows of a unit are bounded too
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -31,17 +32,20 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejecte
 
 def term_counts(texts: pa.Array) -> np.ndarray:
     """Rows of hashed n-gram counts, one per text, over its letters and single spaces."""
-    data, off = A.flat(pc.utf8_lower(pc.fill_null(texts, "")))
-    gap = np.concatenate([[True], NOT_LETTER[data]])
-    keep = ~(gap[1:] & gap[:-1])  # one space for any run of other characters
-    off = np.concatenate([[0], np.cumsum(keep)])[off]
-    x = np.concatenate([[32], np.where(gap[1:], 32, data)[keep]]).astype(np.uint32)
-    n, doc = len(off) - 1, np.repeat(np.arange(len(off) - 1), np.diff(off))
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    data, off = A.flat(pc.binary_join_element_wise(pa.scalar(" ", lower.type), lower, pa.scalar("", lower.type)))
+    # one space for any run of other characters, and one before every text, so that no term reaches into the text before
+    gap = NOT_LETTER[data]
+    after_gap = np.concatenate([[False], gap[:-1]])
+    after_gap[off[:-1]] = False
+    keep = ~(gap & after_gap)
+    n, x = len(off) - 1, np.where(gap, 32, data)[keep].astype(np.uint32)
+    doc = np.repeat(np.arange(n), np.diff(off))[keep]
     out = np.zeros(n * DIMS)
-    two = x[:-1] << 8 | x[1:]
-    for code, whose in ((two, doc), (two[:-1] << 8 | x[2:] | np.uint32(1 << 24), doc[1:])):
-        code = (code * np.uint32(0x9E3779B1)) >> np.uint32(20)
-        out += np.bincount(whose * DIMS + code, minlength=n * DIMS)
+    two, one_text = x[:-1] << 8 | x[1:], doc[:-1] == doc[1:]
+    for code, whose, inside in ((two, doc[1:], one_text), (two[:-1] << 8 | x[2:] | np.uint32(1 << 24), doc[2:], one_text[:-1] & one_text[1:])):
+        code = (code[inside] * np.uint32(0x9E3779B1)) >> np.uint32(20)
+        out += np.bincount(whose[inside] * DIMS + code, minlength=n * DIMS)
     return out.reshape(n, DIMS)
 
 
@@ -76,7 +80,7 @@ def trusted_centroids(sample: DataFrame, model: list, idf: np.ndarray) -> list:
     centres = np.array([np.frombuffer(r.centre) for r in model])
 
     def vote(batches):
-        for u in A.units(batches):
+        for u in A.units(batches, rows=UNIT_ROWS):
             near = (vectors(u.column("text"), idf) @ centres.T).argmax(1)
             yield pa.RecordBatch.from_arrays([A.longs(near), u.column("lang")], ["near", "lang"])
 
@@ -117,7 +121,7 @@ def identify_languages(docs: DataFrame, sample_per_lang: int = 300, clusters: in
 
     def frequencies(batches):
         df, n = np.zeros(DIMS), 0
-        for u in A.units(batches):
+        for u in A.units(batches, rows=UNIT_ROWS):
             df += (term_counts(u.column("text")) > 0).sum(0)
             n += u.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([np.append(df, n).tobytes()], pa.binary())], ["df"])
@@ -143,7 +147,7 @@ def identify_languages(docs: DataFrame, sample_per_lang: int = 300, clusters: in
     low = np.array([r.low for r in model] or [1.0])
 
     def predict(batches):
-        for u in A.units(batches):
+        for u in A.units(batches, rows=UNIT_ROWS):
             cos = vectors(u.column("text"), idf) @ centres.T
             best = cos.argmax(1)
             score = np.clip(cos[np.arange(len(best)), best], 0, 1)

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tessera.llm import fill_in_middle, impact_search, queries, sort_means
+from tessera.llm import arrays as A, fill_in_middle, impact_search, language_id, queries, sort_means
 
 DATA = "/root/testdata/sf0.001"
 VEC = "vec_id long, embedding array<float>, label int"
@@ -179,3 +181,82 @@ def test_proof_leaves_rows_unscored(vectors):
     ids, score = shard.best(0, x[0].astype(np.int64), 1, impact_search.LEAST)
     assert ids.tolist() == [len(x)] and score.tolist() == [int(x[0].astype(np.int64) @ near[0])]
     assert shard.added < 0.9 * shard.rows.size
+
+
+def test_stretches_are_those_of_a_scan_of_all_numbers():
+    rng = np.random.default_rng(4)
+    for n, most in ((0, 5), (1, 1), (40, 7), (40, 10**9)):
+        x = np.sort(rng.integers(0, most, n)).astype(np.uint64)
+        for also in {0, int(x[0]) if n else 3}:
+            want = [(b, int((x < b).sum()), int((x <= b).sum())) for b in sorted({*x.tolist(), also})]
+            assert A.stretches(x, also) == want
+
+
+def test_units_of_short_texts_have_few_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "ab", "x" * 3_000_000, *["short"] * 20_000])], ["text"])
+    cut = list(A.units([batch, batch.slice(0, 0)], rows=1000))
+    assert max(u.num_rows for u in cut) <= 1001 and pa.Table.from_batches(cut).column("text").to_pylist() == batch.column("text").to_pylist()
+
+
+# language identification
+
+
+def grams(text):
+    """Hashed pairs and triples of the bytes of a text's letters and single spaces, one before and one after it, counted one by one."""
+    x, out = re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", f" {(text or '').lower()} ".encode()), np.zeros(language_id.DIMS)
+    for k in range(len(x) - 1):
+        out[((x[k] << 8 | x[k + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    for k in range(len(x) - 2):
+        out[((x[k] << 16 | x[k + 1] << 8 | x[k + 2] | 1 << 24) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def test_language_terms_are_counted_one_by_one():
+    texts = [None, "", "a", "  A b", "it's 12 o'clock", "Straße, déjà vu!", "日本 x", "\n\t!", "word " * 50]
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        got = language_id.term_counts(pa.array(order, pa.string()))
+        assert all((row == grams(t)).all() for row, t in zip(got, order))
+    assert language_id.term_counts(pa.array([], pa.string())).shape == (0, language_id.DIMS)
+
+
+def test_language_is_that_of_the_nearest_centroid(spark):
+    """Every cosine worked out for one text at a time, from counts made one by one."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10_000).collect()}
+    learn = sorted((i, t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and t is not None and lang is not None)
+    counts = {i: grams(t) for i, t, _ in rows}
+    all_learn = [i for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 and lang is not None]
+    idf = np.log((1 + len(all_learn)) / (1 + sum((counts[i] > 0).astype(int) for i in all_learn))) + 1
+
+    def unit(i):
+        x = np.log1p(counts[i]) * idf
+        return x / max(np.linalg.norm(x), 1e-12)
+
+    centres = []
+    for lang in sorted({x for _, _, x in learn}):
+        own = np.stack([unit(i) for i, _, x in learn if x == lang])
+        centres += [(lang, c) for c in language_id.centroids_of(own, 4)[0]]
+    centres.sort(key=lambda x: (x[0], x[1].tobytes()))
+    near = [max(range(len(centres)), key=lambda j: centres[j][1] @ unit(i)) for i, _, _ in learn]
+    votes = [[sum(near[k] == j and r[2] == lang for k, r in enumerate(learn)), near.count(j)] for j, (lang, _) in enumerate(centres)]
+    langs = [lang for lang, _ in centres]
+    kept = []
+    for j, lang in enumerate(langs):
+        own, total = votes[j]
+        mine = [votes[m][0] for m in range(len(langs)) if langs[m] == lang]
+        best = next(m for m in range(len(langs)) if langs[m] == lang and votes[m][0] == max(mine))
+        if own > 0.5 * total and own >= 0.08 * sum(mine) or j == best:
+            kept.append(centres[j])
+    for i, text, _ in rows:
+        letters = any(ch.isalpha() for ch in text or "")
+        cos = [c @ unit(i) for _, c in kept]
+        r = got[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if letters:
+            assert abs(r.score - max(cos)) < 1e-6 and cos[langs_at(kept, r.lang_pred, cos)] > max(cos) - 1e-6
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def langs_at(kept, lang, cos):
+    return max((j for j in range(len(kept)) if kept[j][0] == lang), key=lambda j: cos[j])
