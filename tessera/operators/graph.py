@@ -102,6 +102,46 @@ def shortest_path(c: Catalog, start: str, end: str) -> DataFrame:
         seen = cut_lineage(seen.union(front.select("b")))
 
 
+def shortest_paths(c: Catalog, pairs: DataFrame) -> DataFrame:
+    """(start, end, length, path) for every pair (start, end: table ids) with a way over references in either direction; of equal ways the one that
+    `shortest_path` takes. A pair of a table with itself has length 0. Repeated pairs count once; pairs with a null or without a way have no row.
+
+    All pairs are searched at once, from both ends: the starts share one front and the ends another, and in each step the front with fewer rows moves on
+    by one reference. A pair whose way has as many references as both fronts have gone is met where the two now stand, for the first time, so only
+    the fronts meet, never all that was seen. Pairs that are met, and pairs one of whose fronts has come to its end, leave, and their fronts with them."""
+    ends = [c.refs.select(F.col(a).alias("node"), F.col(b).alias("next"), "ref_ord") for a, b in (("parent_table", "child_table"), ("child_table", "parent_table"))]
+    edges = materialise(ends[0].union(ends[1]).filter("node <> next").groupBy("node", "next").agg(F.min("ref_ord").alias("ref_ord")))
+    open_ = materialise(pairs.select("start", "end").filter("start IS NOT NULL AND end IS NOT NULL").distinct())
+    none = F.array().cast("array<long>")
+    fronts = {side: open_.select(side, F.col(side).alias("node"), F.array(side).alias("path"), none.alias("key")).distinct() for side in ("start", "end")}
+    fronts = {side: materialise(f) for side, f in fronts.items()}
+    seen = {side: f.select(side, "node") for side, f in fronts.items()}
+    results, length = None, 0
+    while True:
+        there = fronts["end"].withColumnsRenamed({"path": "rest", "key": "rest_key"})
+        ways = open_.join(fronts["start"], "start").join(there, ["end", "node"])
+        path, key = F.concat("path", F.slice("rest", F.lit(2), F.size("rest"))), F.concat("key", "rest_key")
+        # keys have one length, so the least of a pair is that of the first way
+        met = materialise(ways.groupBy("start", "end").agg(F.min_by(path, key).alias("path")).select("start", "end", F.lit(length).alias("length"), "path"))
+        results = met if results is None else results.union(met)
+        open_ = open_.join(met, ["start", "end"], "left_anti")
+        for side, f in fronts.items():
+            open_ = open_.join(f.select(side).distinct(), side, "left_semi").select("start", "end")
+        open_ = materialise(open_)
+        if open_.isEmpty():
+            return results
+        fronts = {side: f.join(open_.select(side).distinct(), side, "left_semi") for side, f in fronts.items()}
+        side = min(fronts, key=lambda x: fronts[x].count())
+        step = [F.concat("path", F.array("next")), F.concat("key", F.array("ref_ord"))]
+        if side == "end":
+            step = [F.concat(F.array("next"), "path"), F.concat(F.array("ref_ord"), "key")]
+        moved = fronts[side].join(edges, "node").select(side, F.col("next").alias("node"), step[0].alias("path"), step[1].alias("key"))
+        moved = moved.join(seen[side], [side, "node"], "left_anti")
+        fronts[side] = materialise(moved.groupBy(side, "node").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key")))
+        seen[side] = seen[side].union(fronts[side].select(side, "node"))
+        length += 1
+
+
 def path_edges(c: Catalog, path: DataFrame) -> DataFrame:
     """(ref_id) of all references, parallel ones too, between neighbours on the path (step, table_id)."""
     nxt = path.select((F.col("step") - 1).alias("step"), F.col("table_id").alias("b"))
