@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources import snapshots
 from .lint import PENALTY, RULES
 
 SCHEMA = "id string, tableId string, columnId string, text string, createdAt long, updatedAt long"
 NAMES = ["id", "table_id", "column_id", "text", "created_at", "updated_at"]
+SAVED = "id string, table_id string, column_id string, text string, created_at long, updated_at long"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +24,21 @@ def save(annotations: DataFrame, path: str) -> None:
     annotations.select(NAMES).toDF(*(f.split()[0] for f in SCHEMA.split(", "))).write.mode("overwrite").json(path)
 
 
+def load_saved(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The notes of a store that `save_changes` writes, as of a version or the latest; none where there is no store yet."""
+    return snapshots.read(spark, path, SAVED, version)
+
+
+def save_changes(annotations: DataFrame, path: str, gone: DataFrame | None = None, based_on: int | None = None) -> int:
+    """Merges notes into the store under path by their id and publishes the next version, whose number it returns; those whose
+    ids are in `gone` (id) go. The notes may come from path itself. Of notes with one id the last updated counts."""
+    changes = annotations.select(*NAMES, F.lit(False).alias("is_gone"))
+    if gone is not None:
+        lost = gone.select("id", *(F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in SAVED.split(", ")[1:-1]), F.lit(2**63 - 1).alias("updated_at"), F.lit(True).alias("is_gone"))
+        changes = changes.unionByName(lost)
+    return snapshots.merge(changes, path, SAVED, ["id"], "updated_at", "is_gone", based_on)
+
+
 def add(annotations: DataFrame, new: DataFrame, now: int) -> DataFrame:
     """new: (id, table_id, column_id, text). Texts are trimmed; blank ones are not added."""
     rows = new.select("id", "table_id", F.nullif("column_id", F.lit("")).alias("column_id"), F.trim("text").alias("text"))
