@@ -418,4 +418,4 @@ def demo_references(spark, d):
     return c.refs.join(p, "parent_table").join(q, "child_table").select("name", "parent", "child")
 
 
-from . import search_queries  # noqa: E402, F401  registers its queries
+from . import search_queries, source_queries  # noqa: E402, F401  register their queries

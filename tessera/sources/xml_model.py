@@ -1,96 +1,28 @@
 """Schema catalogs from model files in XML (.pdm, .xml).
 
-Each file becomes a table of nodes, in the task that reads it; all that follows is joins and groupings over that table, for any
+Each file becomes rows of nodes (xml_files), in the task that reads it; all that follows is joins and groupings over that table, for any
 number of files at once. Tags are compared without namespace and case. Attributes are nodes too, before the children.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import Catalog
 from ..session import cut_lineage
-
-NODES = "model_id string, node long, parent long, tag string, scalar string, label string, is_first boolean, ancestors array<long>, within map<string,long>"
-#: Tags whose nearest ancestor a node remembers.
-OWNERS = {"table", "column", "key", "index", "indexcolumn", "reference", "join", "domain", "tablesymbol", "primarykey"}
-
-
-def _nodes(text: str) -> list[dict]:
-    """Nodes in document order. Names keep their prefix, which needs no declaration. Of a file with an error in it, what stands
-    before the error counts."""
-    root = {"name": "", "parent": -1, "children": [], "text": "", "node": -1}
-    out, open_ = [], [root]
-
-    def add(name: str, value: str = "") -> dict:
-        n = {"name": name, "parent": open_[-1]["node"], "children": [], "text": value, "node": len(out), "up": [x["node"] for x in open_[1:]]}
-        n["within"] = {k: x["node"] for x in open_[1:] if (k := _owner(x["name"])) in OWNERS}
-        open_[-1]["children"].append(n)
-        out.append(n)
-        return n
-
-    def start(name: str, attrs: list[str]) -> None:
-        open_.append(add(name))
-        for key, value in zip(attrs[::2], attrs[1::2]):
-            add(key, value)
-
-    def said(more: str) -> None:
-        open_[-1]["text"] += more
-
-    parser = expat.ParserCreate(encoding="UTF-8")
-    parser.ordered_attributes = parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, lambda name: open_.pop(), said
-    try:
-        parser.Parse(text.encode(), True)
-    except expat.ExpatError:
-        pass
-    for n in reversed(out):
-        _summarise(n)
-    return out
-
-
-def _owner(name: str) -> str:
-    tag = _tag(name)
-    return "join" if tag == "referencejoin" else tag
-
-
-def _tag(name: str) -> str:
-    return name.rsplit(":", 1)[-1].lower()
-
-
-def _summarise(n: dict) -> None:
-    """scalar: the text, else that of a child `value` or `text`, else of the only entry. label: that of the child code, name or
-    id, else the first text found inside."""
-    text, entries, by_tag = n["text"].strip(), {}, {}
-    for child in n["children"]:
-        entries.setdefault(child["name"], child)
-    for child in entries.values():
-        by_tag[_tag(child["name"])] = child
-    n["firsts"] = {c["node"] for c in entries.values()}
-    n["scalar"] = n["label"] = text if text or not entries else None
-    if entries:
-        named = next((by_tag[k]["scalar"] for k in ("code", "name", "id") if k in by_tag), None)
-        n["label"] = named if named is not None else next((c["label"] for c in n["children"] if c["label"]), text or None)
-        if not text:
-            sole = next((entries[k] for k in ("value", "text") if k in entries), None) or (next(iter(entries.values())) if len(entries) == 1 else None)
-            n["scalar"] = sole["scalar"] if sole else None
+from .xml_files import NODES, can_open, parse, read_nodes
 
 
 def node_rows(batches):
     """(model_id, text) to NODES."""
+    names = [f.split()[0] for f in NODES.replace("map<string,long>", "map").split(", ")]
     for batch in batches:
         for model_id, text in zip(batch["model_id"], batch["text"]):
-            nodes = _nodes(text or "")
-            firsts = set().union(*(n["firsts"] for n in nodes)) if nodes else set()
-            rows = [
-                (model_id, n["node"], n["parent"], _tag(n["name"]), n["scalar"], n["label"], n["node"] in firsts or n["parent"] < 0, n["up"], n["within"])
-                for n in nodes
-            ]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in NODES.replace("map<string,long>", "map").split(", ")])
+            rows = [(model_id, *row) for row in parse([(text or "").encode()])]
+            yield pd.DataFrame(rows, columns=names)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -187,7 +119,10 @@ def _keyed(frame: DataFrame, scope: list[str], ident: str, order: str) -> DataFr
 def catalogs(files: DataFrame) -> Catalogs:
     """Catalogs of files (model_id, model_name, text). A file without text has no objects. Every frame starts from the
     nodes, and later plans use each frame many times, so each is computed once and kept in the shared folder."""
-    nodes = cut_lineage(files.select("model_id", "text").mapInPandas(node_rows, NODES))
+    return _catalogs(cut_lineage(files.select("model_id", "text").mapInPandas(node_rows, NODES)), files.select("model_id", "model_name"))
+
+
+def _catalogs(nodes: DataFrame, files: DataFrame) -> Catalogs:
     none = F.array().cast("array<string>")
 
     t = _props(nodes, _in(nodes, "table", "tables").select("model_id", "node")).withColumn("table_ord", _ordinal())
@@ -301,4 +236,9 @@ def _placed(nodes: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def read_catalogs(spark: SparkSession, path: str) -> Catalogs:
-    return catalogs(read_files(spark, path))
+    """Catalogs of the model files under a path, parsed a piece at a time by the data source of xml_files; where its client can't
+    open the path's file system, Spark reads each file as one text."""
+    if not can_open(path):
+        return catalogs(read_files(spark, path))
+    read = cut_lineage(read_nodes(spark, path))
+    return _catalogs(read.filter("node >= 0").drop("model_name"), read.filter("node = -1").select("model_id", "model_name"))
