@@ -310,7 +310,29 @@ def second_version(c):
     return type(c)(tables, columns.join(tables.select("table_id"), "table_id", "left_semi"), c.refs, c.indexes, c.keys)
 
 
-@query()
+def _changed(label: str, before: str, after: str) -> str:
+    """A field's change as JSON, where what is shown before and after differs."""
+    b, a = (f"coalesce(nullif(CAST({x} AS varchar), ''), '—')" for x in (before, after))
+    return f"""CASE WHEN {b} <> {a} THEN '{{"field":"{label}","before":"' || {b} || '","after":"' || {a} || '"}}' END"""
+
+
+_COLUMN_CHANGES = ", ".join(_changed(*x) for x in (
+    ("Código", "b.code", "t.code"), ("Nombre", "b.name", "t.name"), ("Tipo", "b.data_type", "t.data_type"), ("Longitud", "nullif(b.length, 0)", "nullif(t.length_2, 0)"),
+    ("Nullable", "CASE WHEN b.mandatory THEN 'NOT NULL' ELSE 'NULL' END", "CASE WHEN t.mandatory THEN 'NOT NULL' ELSE 'NULL' END"), ("Identity", "b.identity_", "t.identity_"),
+))
+
+
+# Both versions have the same columns but for their lengths: of one code in a table the last is the match, for the first.
+@query(oracle(f"""SELECT 'table' AS object_type, CASE table_ord % 10 WHEN 3 THEN 'removed' ELSE 'modified' END AS kind, table_id AS id, name, CAST(NULL AS varchar) AS parent,
+        CASE table_ord % 10 WHEN 3 THEN '[]' ELSE '[{{"field":"Comentario","before":"—","after":"v2"}}]' END AS changes FROM cat_tables WHERE table_ord % 10 IN (3, 5)
+    UNION ALL SELECT 'column', kind, id, name, parent, CASE kind WHEN 'modified' THEN changes ELSE '[]' END FROM (
+        WITH c AS (SELECT k.*, CASE WHEN col_ord % 7 = 0 THEN coalesce(length, 0) + 1 ELSE length END AS length_2, h.name AS parent,
+                arg_max(column_id, col_ord) OVER (PARTITION BY k.table_id, lower(trim(k.code))) AS hit
+            FROM cat_columns k JOIN cat_tables h ON h.table_id = k.table_id WHERE h.table_ord % 10 <> 3),
+        b AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY hit ORDER BY col_ord) = 1 THEN hit END AS target FROM c)
+        SELECT CASE WHEN b.column_id IS NULL THEN 'added' WHEN t.column_id IS NULL THEN 'removed' ELSE 'modified' END AS kind, coalesce(t.column_id, b.column_id) AS id, coalesce(t.name, b.name) AS name,
+            coalesce(t.parent, b.parent) AS parent, '[' || array_to_string(list_filter([{_COLUMN_CHANGES}], lambda x: x IS NOT NULL), ',') || ']' AS changes
+        FROM b FULL JOIN c t ON t.column_id = b.target) WHERE kind <> 'modified' OR changes <> '[]'"""))
 def diff_models(spark, d):
     c = synthetic_catalog(spark, d, keep=True)
     return diff.diff_models(c, second_version(c)).withColumn("changes", F.to_json("changes"))
