@@ -338,6 +338,26 @@ def diff_models(spark, d):
     return diff.diff_models(c, second_version(c)).withColumn("changes", F.to_json("changes"))
 
 
+@query(f"SELECT count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'modified') AS modified, count(*) AS total FROM ({ORACLES['diff_models']})")
+def diff_totals(spark, d):
+    """The summary of the model diff."""
+    c = synthetic_catalog(spark, d, keep=True)
+    return diff.diff_summary(diff.diff_models(c, second_version(c)))
+
+
+@query(oracle(f"""SELECT metric, table_id, value, CASE WHEN hi <= lo THEN 0 ELSE least(3, CAST(floor((value - lo) * 4 / CAST(hi - lo AS double)) AS integer)) END AS bin
+    FROM (SELECT *, min(value) OVER (PARTITION BY metric) AS lo, max(value) OVER (PARTITION BY metric) AS hi FROM (
+        SELECT metric, t.table_id, count(x.table_id) AS value FROM cat_tables t CROSS JOIN (VALUES ('columns'), ('indexes'), ('issues'), ('relations')) m(metric) LEFT JOIN (
+            SELECT 'columns' AS metric, table_id FROM cat_columns UNION ALL SELECT 'indexes', table_id FROM cat_indexes UNION ALL SELECT 'issues', table_id FROM {ISSUES}
+            UNION ALL SELECT 'relations', parent_table FROM cat_refs UNION ALL SELECT 'relations', child_table FROM cat_refs) x USING (metric, table_id) GROUP BY ALL))"""))
+def heat_of_tables(spark, d):
+    """Every metric of the heat map with its bins."""
+    c = synthetic_catalog(spark, d, keep=True)
+    issues = L.lint(c)
+    found = [graph.heat(graph.heat_values(c, m, issues), "value").select(F.lit(m).alias("metric"), "table_id", "value", "bin") for m in ("columns", "indexes", "issues", "relations")]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 @query()
 def migration_script(spark, d):
     c = synthetic_catalog(spark, d, keep=True)
