@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import Catalog
-from ..session import cut_lineage
+from ..session import cut_lineage, honest_sizes
 from .xml_files import NODES, can_open, parse, read_nodes
 
 
@@ -123,6 +123,7 @@ def catalogs(files: DataFrame) -> Catalogs:
 
 
 def _catalogs(nodes: DataFrame, files: DataFrame) -> Catalogs:
+    honest_sizes(nodes.sparkSession)
     none = F.array().cast("array<string>")
 
     t = _props(nodes, _in(nodes, "table", "tables").select("model_id", "node")).withColumn("table_ord", _ordinal())
@@ -131,10 +132,13 @@ def _catalogs(nodes: DataFrame, files: DataFrame) -> Catalogs:
         "model_id", F.col("node").alias("owner"), "table_ord", F.concat(F.lit("table-"), F.col("table_ord")).alias("table_id"),
         _v("id").alias("pd_id"), code.alias("code"), F.coalesce(_v("name"), code).alias("name"), _v("comment").alias("comment"),
     )
+    # what a step starts from is written down, so that no plan holds more than a few joins: Spark's driver keeps a plan's text for each stage of it
+    t = cut_lineage(t)
     owners = t.select("model_id", "owner", "table_id")
 
     def numbered(tag: str, container: str) -> DataFrame:
-        return _props(nodes, _in(nodes, tag, container, "table").select("model_id", "owner", "node").join(owners, ["model_id", "owner"])).withColumn("at", _ordinal())
+        found = cut_lineage(_in(nodes, tag, container, "table").select("model_id", "owner", "node").join(owners, ["model_id", "owner"]))
+        return cut_lineage(_props(nodes, found)).withColumn("at", _ordinal())
 
     c = numbered("column", "columns")
     code = F.coalesce(_v("code"), F.concat(F.lit("column_"), F.col("at")))
@@ -154,18 +158,19 @@ def _catalogs(nodes: DataFrame, files: DataFrame) -> Catalogs:
 
     by = ["model_id", "item"]
     k = numbered("key", "keys")
-    kc = _resolved(inside("column", "key", F.col("label")), c, by)
+    kc = cut_lineage(_resolved(inside("column", "key", F.col("label")), c, by))
     k = k.join(kc.withColumnRenamed("item", "node"), ["model_id", "node"], "left").withColumn("name", F.coalesce(_v("name"), F.concat(F.lit("key_"), F.col("at"))))
     k = k.select(
         "model_id", "owner", "table_id", F.col("at").cast("long").alias("key_ord"), F.concat(F.lit("key-"), F.col("at")).alias("key_id"), _v("id").alias("pd_id"),
         "name", F.coalesce("columns", none).alias("columns"), (F.contains(F.lower("name"), F.lit("primary")) | _bool(_v("primary"))).alias("is_primary"),
     )
+    k = cut_lineage(k)
 
     x = numbered("index", "indexes")
     parts = _props(nodes, nodes.filter("tag = 'indexcolumn'").select("model_id", "node", "label", F.try_element_at("within", F.lit("index")).alias("item"), F.try_element_at("within", F.lit("table")).alias("owner")))
     parts = parts.select("model_id", "item", "owner", F.col("node").alias("at"), F.coalesce(_v("indexcolumn.expression", "expression"), "label").alias("value")).filter("value <> ''")
     plain = inside("column", "index", F.col("label")).join(parts.select("model_id", "item"), by, "left_anti")
-    xc = _resolved(parts.unionByName(plain), c, by)
+    xc = cut_lineage(_resolved(cut_lineage(parts.unionByName(plain)), c, by))
     x = x.join(xc.withColumnRenamed("item", "node"), ["model_id", "node"], "left").select(
         "model_id", "table_id", F.col("at").cast("long").alias("index_ord"), F.concat(F.lit("index-"), F.col("at")).alias("index_id"), _v("id").alias("pd_id"),
         F.coalesce(_v("name"), F.concat(F.lit("index_"), F.col("at"))).alias("name"), F.coalesce("columns", none).alias("columns"), _bool(_v("unique")).alias("is_unique"),
@@ -175,10 +180,10 @@ def _catalogs(nodes: DataFrame, files: DataFrame) -> Catalogs:
     named = nodes.filter("tag = 'key' AND element_at(within, 'primarykey') IS NOT NULL").select("model_id", F.try_element_at("within", F.lit("table")).alias("owner"), _low("scalar").alias("low")).distinct()
     chosen = k.withColumn("low", _low("pd_id")).join(named, ["model_id", "owner", "low"], "left_semi").groupBy("model_id", "owner").agg(F.min_by(F.struct("key_id", "columns"), "key_ord").alias("chosen"))
     listed = inside("column", "primarykey", F.col("label")).select("model_id", "owner", F.col("owner").alias("item"), "at", "value")
-    listed = _resolved(listed, c, by).withColumnRenamed("item", "owner").withColumnRenamed("columns", "listed")
+    listed = cut_lineage(_resolved(listed, c, by)).withColumnRenamed("item", "owner").withColumnRenamed("columns", "listed")
     t = t.join(chosen, ["model_id", "owner"], "left").join(listed, ["model_id", "owner"], "left")
     pk = F.when(F.col("chosen").isNotNull(), F.col("chosen.columns")).otherwise(F.col("listed"))
-    t = t.withColumn("primary_key", F.when(F.size(pk) > 0, pk))
+    t = cut_lineage(t.withColumn("primary_key", F.when(F.size(pk) > 0, pk)))
     k = k.join(t.select("model_id", "owner", F.col("chosen.key_id").alias("primary")), ["model_id", "owner"], "left").withColumn("is_primary", F.col("is_primary") | F.coalesce(F.col("key_id") == F.col("primary"), F.lit(False))).drop("owner", "primary")
     t = cut_lineage(_placed(nodes, t.drop("owner", "chosen", "listed")))
 
@@ -198,16 +203,17 @@ def _references(nodes: DataFrame, t: DataFrame, c: DataFrame) -> DataFrame:
         F.coalesce(_v("name"), F.concat(F.lit("reference_"), F.col("at"))).alias("name"), F.coalesce(_v("parenttable"), F.lit("")).alias("parent_table"), F.coalesce(_v("childtable"), F.lit("")).alias("child_table"),
         F.coalesce(_v("cardinality"), F.lit("N:1")).alias("cardinality"), constraint(_v("ondelete", "deleteconstraint")).alias("on_delete"), constraint(_v("onupdate", "updateconstraint")).alias("on_update"),
     )
-    tables = _keyed(t, ["model_id"], "table_id", "table_ord")
+    r, tables = cut_lineage(r), cut_lineage(_keyed(t, ["model_id"], "table_id", "table_ord"))
     for side in ("parent_table", "child_table"):
         r = r.withColumn("low", _low(side)).join(tables.withColumnRenamed("id", "found"), ["model_id", "low"], "left").withColumn(side, F.coalesce("found", side)).drop("low", "found")
+    r = cut_lineage(r)
     j = _props(nodes, _in(nodes, "join", "joins", "reference").select("model_id", F.col("owner").alias("ref"), "node")).select(
         "model_id", F.col("ref"), F.col("node").alias("at"), _v("parentcolumn").alias("lp"), _v("childcolumn").alias("lc"), _v("object1").alias("o1"), _v("object2").alias("o2"),
     )
     legacy, empty = F.col("lp").isNotNull() | F.col("lc").isNotNull(), F.lit("")
     j = j.select("model_id", F.col("ref").alias("node"), "at", F.coalesce(F.when(legacy, F.col("lp")).otherwise(F.col("o1")), empty).alias("parent_column"), F.coalesce(F.when(legacy, F.col("lc")).otherwise(F.col("o2")), empty).alias("child_column"))
     j = j.join(r.select("model_id", "node", "parent_table", "child_table"), ["model_id", "node"])
-    columns = _keyed(c, ["model_id", "table_id"], "column_id", "col_ord")
+    j, columns = cut_lineage(j), cut_lineage(_keyed(c, ["model_id", "table_id"], "column_id", "col_ord"))
     for side in ("parent", "child"):
         known = columns.select("model_id", F.col("table_id").alias(f"{side}_table"), "low", F.col("id").alias("found"))
         j = j.withColumn("low", _low(f"{side}_column")).join(known, ["model_id", f"{side}_table", "low"], "left").withColumn(f"{side}_column", F.coalesce("found", f"{side}_column")).drop("low", "found")
@@ -229,7 +235,7 @@ def _placed(nodes: DataFrame, t: DataFrame) -> DataFrame:
     width = s.filter("from_rect AND at.w > 0").groupBy("model_id").agg(F.median("at.w").alias("width"))
     scale = F.when(F.col("from_rect"), F.coalesce(240.0 / F.col("width"), F.lit(1.0))).otherwise(1.0)
     at = F.struct(*((F.col(f"at.{f}") * scale).alias(f) for f in "xywh"))
-    last = s.join(width, "model_id", "left").groupBy("model_id", "low").agg(F.max_by(at, "node").alias("at"))
+    last = cut_lineage(s.join(width, "model_id", "left").groupBy("model_id", "low").agg(F.max_by(at, "node").alias("at")))
     for i, key in enumerate(("pd_id", "code", "name")):
         t = t.withColumn("low", _low(key)).join(last.withColumnRenamed("at", f"at{i}"), ["model_id", "low"], "left").drop("low")
     return t.withColumn("position", F.coalesce("at0", "at1", "at2")).drop("at0", "at1", "at2")
