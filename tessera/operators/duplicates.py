@@ -1,7 +1,9 @@
 """Duplicate tables: pairs that are alike in name or columns are scored by name, columns and types.
 
-A score of 0.55 or more takes a likeness of names plus one of columns of at least 1, so one of the two is at least 0.5: the vocabularies, the column
+A score of 0.55 or more of tables without a common column key takes a Jaccard similarity of their vocabularies of 4/9, however alike the names are. With a
+common key it takes a likeness of names plus one of columns of at least 1, so one of the two is at least 0.5: the vocabularies, the column
 keys or the name terms have a Jaccard similarity (of keys: a share of the larger set) of 0.5, or the codes' trigrams a Dice coefficient of 0.5.
+So name terms and trigrams are posted together with each of the table's keys: names of one pattern alone don't make a pair.
 Pairs come from a set-similarity join over these four sets. Of each set only the rarest elements are posted, so many that two sets
 which share enough must meet in one (an element that most tables have is hardly ever among them); sets that meet are paired only if their
 sizes allow the similarity and if what follows the common element in both is enough to reach it. The tables of an element that many sets post
@@ -21,7 +23,9 @@ from ..functions.text import canonical_terms, trigrams
 KEEP, HIGH = 0.55, 0.72
 #: Of each kind of set: the share of its own size that a set has in common with another one that is alike enough; how many times larger than the
 #: other one it is at most; and the share of both sizes together that is common at least.
-SHARES = {"vocabulary": (1 / 2, 2, 1 / 3), "keys": (1 / 2, 2, 1 / 4), "name_terms": (1 / 2, 2, 1 / 3), "grams": (1 / 3, 3, 1 / 4)}
+SHARES = {"vocabulary": (4 / 9, 9 / 4, 4 / 13), "keys": (1 / 2, 2, 1 / 4), "name_terms": (1 / 2, 2, 1 / 3), "grams": (1 / 3, 3, 1 / 4)}
+#: Kinds that count only for tables with a common key.
+WITH_KEY = ["name_terms", "grams"]
 PART = 512
 
 
@@ -53,7 +57,10 @@ def rarest(p: DataFrame) -> DataFrame:
     share = F.coalesce(*(F.when(F.col("kind") == k, F.ceil(F.col("size") * v[0] - 1e-9)) for k, v in SHARES.items()))
     at = F.row_number().over(Window.partitionBy("table_id", "kind").orderBy("df", "term"))
     kept = posts.join(df, ["kind", "term"]).withColumn("at", at).filter((F.col("at") <= F.col("size") - share + 1) & (F.col("df") > 1))
-    return kept.select("table_ord", "table_id", "kind", "term", "size", "at")
+    keys = p.select("table_id", F.explode("keys").alias("key")).withColumn("kind", F.explode(F.array(*map(F.lit, WITH_KEY))))
+    keyed = kept.join(keys, ["table_id", "kind"]).withColumn("term", F.concat("term", F.lit("\x01"), "key"))
+    shown = ["table_ord", "table_id", "kind", "term", "size", "at"]
+    return kept.filter(~F.col("kind").isin(WITH_KEY)).select(*shown).union(keyed.select(*shown))
 
 
 def candidate_pairs(posts: DataFrame) -> DataFrame:
