@@ -71,17 +71,23 @@ def met(left: DataFrame, right: DataFrame, compare: Callable, schema: str) -> Da
     return a.join(b, ["a", "b", "dims"]).mapInArrow(run, schema)
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, components: int = 1 << 20) -> DataFrame:
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, components: int = 1 << 20, few: int = 64) -> DataFrame:
     """(q_id, vec_id, score): for every query (vec_id, embedding) the k nearest of all rows, itself left out; ties by vec_id. Scores are
     rounded to six digits; a zero vector has 0 with all; vectors of other lengths or without a number don't meet.
 
     Both sides are packed into blocks; a pair of blocks is a matrix product in a task, which keeps each query's k best of the
-    block, ties by vec_id; the k best of all are taken from these. Nothing is collected to the driver."""
+    block, ties by vec_id; the k best of all are taken from these. A task scores `few` queries at a time, so that scores take no more memory than
+    the vectors do. Nothing is collected to the driver."""
     fine = "embedding IS NOT NULL AND size(embedding) > 0 AND vec_id IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x))"
     sides = [df.filter(fine).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x")) for df in (queries, vectors)]
 
     def best(q_ids, q, ids, x):
-        s = np.round(_unit(q) @ _unit(x).T, 6) + 0.0
+        x = _unit(x).T
+        found = [of_few(q_ids[i : i + few], q[i : i + few], ids, x) for i in range(0, len(q_ids), few)]
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def of_few(q_ids, q, ids, x):
+        s = np.round(_unit(q) @ x, 6) + 0.0
         s[q_ids[:, None] == ids[None, :]] = -np.inf
         if len(ids) > k:  # ties with the k-th best stay until ids settle them
             s[s < np.partition(s, len(ids) - k, axis=1)[:, [len(ids) - k]]] = -np.inf
