@@ -20,7 +20,7 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.quality_rules import drop_low_quality
 from tessera.llm.queries import table, vocabulary
 from tessera.llm.simhash import drop_near_duplicates
-from tessera.llm.spread import shared_folder
+from tessera.llm.spread import as_written, shared_folder
 from tessera.session import ship_package
 
 
@@ -41,8 +41,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # files are read again in any order, so the order of the mix is made anew; sequence_id follows it
-    return pack_documents(in_mixed_order(docs), vocabulary())
+    # tasks read files in any order, so rows go back into the order in which the mixing stage has written them; sequence_id follows it
+    written = as_written(docs)
+    return pack_documents(in_mixed_order(docs) if written is None else written, vocabulary())
 
 
 STAGES = [

@@ -12,11 +12,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import clean_up, materialise, shared_folder
 
-__all__ = ["buckets_for", "clean_up", "let", "materialise", "parts", "salted_join", "shared_folder", "small_batches", "spread_join", "vector_sum"]
+__all__ = ["as_written", "buckets_for", "clean_up", "let", "materialise", "parts", "salted_join", "shared_folder", "small_batches", "spread_join", "vector_sum"]
 
 
 @contextmanager
@@ -35,6 +36,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def as_written(docs: DataFrame) -> DataFrame | None:
+    """The rows of Parquet files that Spark has written, in the order of its parts and of the rows in them; None where docs come from no file."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("row_"))
+    except AnalysisException:
+        return None
+    order = [F.coalesce(F.regexp_extract("file_", r"^part-(\d+)", 1).try_cast("long"), F.lit(-1)), F.col("file_"), F.col("row_")]
+    return placed.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).drop("file_", "row_")
+
+
 def buckets_for(docs: DataFrame, bytes_each: int) -> int:
     """Buckets of about bytes_each bytes of text, so that what meets in one has a bounded size; at least one a shuffle partition."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
