@@ -113,7 +113,7 @@ def _rebuilt(base: Catalog, target: Catalog, pairs: DataFrame, plans: DataFrame,
         f = getattr(c, frame).join(keep, "table_id")
         cover = ddl.found(F.col("known"), F.col("columns"), "code")
         sides[s] = f.select(F.struct(F.col(ident).alias("id"), F.col(order).alias("item"), "name", F.coalesce(flag, F.lit(False)).alias("flag"), F.coalesce("columns", F.expr(NONE)).alias("columns"), "bt", F.arrays_overlap(cover, "touched").alias("hit"), F.arrays_overlap(cover, "renamed").alias("renamed")).alias(s), F.col(ident).alias(f"{s}_id"))
-    both = found.join(sides["b"], F.col("base_id") == F.col("b_id"), "left").join(sides["t"], F.col("target_id") == F.col("t_id"), "left")
+    both = cut_lineage(found.join(sides["b"], F.col("base_id") == F.col("b_id"), "left").join(sides["t"], F.col("target_id") == F.col("t_id"), "left"))
     paired = F.col("b").isNotNull() & F.col("t").isNotNull()
     if kind == "key":
         both = both.filter("NOT coalesce(b.flag, false) OR NOT coalesce(t.flag, false)")
@@ -156,7 +156,7 @@ def _references(base: Catalog, target: Catalog, pairs: DataFrame, plans: DataFra
 
 def _analysis(base: Catalog, target: Catalog) -> tuple[Catalog, Catalog, DataFrame, DataFrame, DataFrame]:
     base, target = base.complete(), target.complete()
-    pairs = pair_objects(base, target, "table")
+    pairs = cut_lineage(pair_objects(base, target, "table"))
     columns = cut_lineage(_column_changes(base, target, pairs))
     return base, target, pairs, columns, cut_lineage(_plans(base, target, pairs, columns))
 
@@ -253,13 +253,23 @@ def is_lossy(statements: DataFrame) -> bool:
     return not statements.filter((F.col("section") == TABLES) & (F.col("part") == 1) | (F.col("section") == COLUMNS) & (F.col("part") == 2)).isEmpty()
 
 
+def loses_data(base: Catalog, target: Catalog) -> bool:
+    """`is_lossy` of the statements from base to target, which aren't made for it: a table without a partner, or a column of paired tables without one."""
+    base, target = base.complete(), target.complete()
+    pairs = cut_lineage(pair_objects(base, target, "table"))
+    gone = pairs.filter("target_id IS NULL").select(F.col("base_id").alias("table_id"))
+    if not base.tables.join(gone, "table_id", "left_semi").isEmpty():
+        return True
+    return not _column_changes(base, target, pairs).filter("t IS NULL").isEmpty()
+
+
 def script_file(base: Catalog, target: Catalog, rollback: bool = False) -> DataFrame:
     """(at, line): a whole script in order, a line of it a row: the head, then every section with statements, numbered. A rollback is
     the way from target to base, with a warning where the way forward loses data."""
     a, b = (target, base) if rollback else (base, target)
     lines = script_lines(a, b)
     head = [RULE, f"-- Script de {'rollback' if rollback else 'migración'} Oracle · {a.name} → {b.name}", *HEAD]
-    if rollback and is_lossy(migration_statements(base, target)):
+    if rollback and loses_data(base, target):
         head += LOSSY
     head.append(RULE)
     if lines.isEmpty():
