@@ -1,8 +1,8 @@
 """Text vectors by latent semantic analysis: a randomised singular value decomposition of the TF-IDF matrix.
 
 The features of a text are those of the lexical index (tokens weigh 1, canonical forms 0.7), hashed into a fixed number of
-columns. They are made once, in the JVM, and written down as arrays; every pass reads these. A pass multiplies the sparse rows of a
-task with a dense matrix of `rank + extra` columns (all terms of one text at a time, blocks of texts in numpy) and, for the range
+columns. They are made once, in the JVM, added up by text and written down as arrays; every pass reads these. A pass multiplies the rows of a
+task with a dense matrix of `rank + extra` columns (a few texts at a time, as a dense block over the features that they have) and, for the range
 of the matrix, back with their transpose; tasks add up their products in memory and hand on a row for each block of 1024 features, which
 Spark sums. So the matrix itself is never moved, and what the driver holds is features * (rank + extra) numbers, fixed by parameters.
 
@@ -26,7 +26,9 @@ from ..blocks import cosine_top, summed
 from ..functions.text import tokenize
 from ..session import materialise
 
-STEP, CHUNK = 1024, 1 << 14
+STEP, CHUNK, ROWS = 1024, 1 << 14, 128
+#: A text's features, each once, with their weights.
+ENTRIES = "feature array<int>, weight array<double>"
 
 
 @dataclass(frozen=True)
@@ -71,6 +73,41 @@ def sparse_rows(batch: pa.RecordBatch, features: int):
         yield lo, hi - lo, key // features, key % features, np.bincount(at, np.concatenate(weights), len(key))
 
 
+def added_up(features: int):
+    """Arrow function from (whole, part) to ENTRIES."""
+
+    def run(batches):
+        for batch in batches:
+            for _, n, row, feature, weight in sparse_rows(batch, features):
+                ends = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x)) for x in (feature.astype(np.int32), weight)], ["feature", "weight"])
+
+    return run
+
+
+def entries_of(batch: pa.RecordBatch):
+    """(rows, row, feature, weight) of stretches of a batch of ENTRIES, as `sparse_rows` has them."""
+    size = batch.column("feature").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    at, n = np.concatenate([[0], np.cumsum(size)]), batch.num_rows
+    feature, weight = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("feature", "weight"))
+    lo = 0
+    while lo < n:
+        hi = min(lo + ROWS, n, max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1))
+        part = slice(at[lo], at[hi])
+        yield hi - lo, np.repeat(np.arange(hi - lo), size[lo:hi]), feature[part], weight[part]
+        lo = hi
+
+
+def dense_block(rows: int, row: np.ndarray, feature: np.ndarray, v: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(used, block): the features that the rows have, rising, and the rows over these."""
+    seen = np.zeros(features, bool)
+    seen[feature] = True
+    used = np.flatnonzero(seen)
+    block = np.zeros((rows, len(used)))
+    block[row, (np.cumsum(seen) - 1)[feature]] = v
+    return used, block
+
+
 def unit_entries(rows: int, row: np.ndarray, feature: np.ndarray, weight: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF values of the entries, each row of length 1."""
     v = weight * idf[feature]
@@ -110,12 +147,13 @@ def fit(docs: DataFrame, rank: int = 64, features: int = 1 << 16, extra: int = 1
     """Model of docs (text): the leading `rank` right singular vectors of its TF-IDF matrix, rows of length 1. passes: products with the matrix and
     its transpose before the last one; each brings the range found nearer to the leading vectors."""
     spark, width = docs.sparkSession, rank + extra
-    rows = materialise(hashed_features(docs.withColumn("doc_id", F.lit(0)), features, synonyms).select("whole", "part"))
+    rows = hashed_features(docs.withColumn("doc_id", F.lit(0)), features, synonyms).select("whole", "part")
+    rows = materialise(rows.mapInArrow(added_up(features), ENTRIES))
 
     def count(batches):
         df = np.zeros((features, 1))
         for batch in batches:
-            for _, _, _, feature, _ in sparse_rows(batch, features):
+            for _, _, feature, _ in entries_of(batch):
                 df[:, 0] += np.bincount(feature, minlength=features)
         yield from _blocks(df)
 
@@ -130,14 +168,9 @@ def fit(docs: DataFrame, rank: int = 64, features: int = 1 << 16, extra: int = 1
             idf, q = sent.value
             total = np.zeros(q.shape)
             for batch in batches:
-                for _, n, row, feature, weight in sparse_rows(batch, features):
-                    v = unit_entries(n, row, feature, weight, idf)
-                    y = _times(n, row, feature, v, q)
-                    order = np.argsort(feature, kind="stable")
-                    f, back = feature[order], v[order, None] * y[row[order]]
-                    first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else []
-                    if len(f):
-                        total[f[first]] += np.add.reduceat(back, first, axis=0)
+                for n, row, feature, weight in entries_of(batch):
+                    used, block = dense_block(n, row, feature, unit_entries(n, row, feature, weight, idf), features)
+                    total[used] += block.T @ (block @ q[used].astype(float))
             yield from _blocks(total)
 
         z = _whole(summed(rows.mapInArrow(there_and_back, "block int, data binary")), features, width)
@@ -153,8 +186,9 @@ def fit(docs: DataFrame, rank: int = 64, features: int = 1 << 16, extra: int = 1
         idf, q = sent.value
         total = np.zeros((width, width))
         for batch in batches:
-            for _, n, row, feature, weight in sparse_rows(batch, features):
-                y = _times(n, row, feature, unit_entries(n, row, feature, weight, idf), q)
+            for n, row, feature, weight in entries_of(batch):
+                used, block = dense_block(n, row, feature, unit_entries(n, row, feature, weight, idf), features)
+                y = block @ q[used].astype(float)
                 total += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
 
