@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalog import Catalog
 from ..session import cut_lineage, materialise
 
+#: Tables in the cycles of a piece, and how many times its trail they are at least, so that few whole trails are written; tables in a batch of listed cycles.
+PIECE, WHOLE_TRAIL, BATCH = 1_000_000, 32, 200_000
+
 
 def both_ways(refs: DataFrame) -> DataFrame:
     """(a, b) for each end of each reference."""
@@ -150,31 +155,58 @@ def path_edges(c: Catalog, path: DataFrame) -> DataFrame:
     return c.refs.join(both, ["parent_table", "child_table"], "left_semi").select("ref_id")
 
 
-def _walk(part: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first walk of one connected part (kind 0: tables by rank; kind 1: references by rank)."""
+def _walk(part: pd.DataFrame, piece: int) -> pd.DataFrame:
+    """Depth-first walk of one connected part (kind 0: tables by rank; kind 1: references by rank). A cycle is the end of the walk's trail from `first` on; of the
+    trail a row has only what was added beyond the first `keep` tables of the row before, so that rows are about as many words as there are tables, however
+    long the cycles. A piece of rows, whose cycles have some `piece` tables, begins with a whole trail and can be listed by itself."""
     part = part.sort_values(["kind", "rank"])
     ranks = dict(part.loc[part.kind == 0, ["a", "rank"]].itertuples(index=False))
     near: dict[str, list[str]] = {t: [] for t in ranks}
     for a, b in part.loc[part.kind == 1, ["a", "b"]].itertuples(index=False):
         near[a].append(b)
     seen, depth, found = set(), {}, []
+    number = size = keep = 0
     for start in ranks:
-        trail = [] if start in seen else [(start, iter(near[start]))]
+        trail = [] if start in seen else [iter(near[start])]
+        names = [start] if trail else []
+        keep, before = 0, len(found)
         while trail:
-            at, rest = trail[-1]
+            at = names[-1]
             if at not in seen:
                 seen.add(at)
-                depth[at] = len(trail) - 1
-            for b in rest:
+                depth[at] = len(names) - 1
+            for b in trail[-1]:
                 if b not in seen:
-                    trail.append((b, iter(near[b])))
+                    trail.append(iter(near[b]))
+                    names.append(b)
                     break
                 if b in depth:
-                    found.append((ranks[start], len(found), [t for t, _ in trail[depth[b] :]]))
+                    if size > max(piece, WHOLE_TRAIL * len(names)):
+                        number, size, keep = number + 1, 0, 0
+                    found.append((ranks[start], len(found) - before, number, len(found), keep, depth[b], names[keep:]))
+                    keep, size = len(names), size + len(names) - depth[b]
             else:
                 trail.pop()
-                depth.pop(at, None)
-    return pd.DataFrame({"model_id": part.model_id.iloc[0], "start": [x[0] for x in found], "nth": [x[1] for x in found], "tables": [x[2] for x in found]})
+                depth.pop(names.pop(), None)
+                keep = min(keep, len(names))
+    out = pd.DataFrame(found, columns=["start", "nth", "piece", "at", "keep", "first", "added"])
+    return out.assign(model_id=part.model_id.iloc[0], part=part.part.iloc[0])[["model_id", "part", *out.columns]]
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(model_id, cycle, tables) of rows of `_walk`, piece by piece in their order."""
+    trail, rows, size = [], [], 0
+    for batch in batches:
+        for model, cycle, keep, first, added in batch.itertuples(index=False):
+            del trail[keep:]
+            trail.extend(added)
+            rows.append((model, cycle, trail[first:]))
+            size += len(trail) - first
+            if size > BATCH:
+                yield pd.DataFrame(rows, columns=["model_id", "cycle", "tables"])
+                rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["model_id", "cycle", "tables"])
 
 
 def _trimmed(edges: DataFrame, passes: int | None = None) -> DataFrame:
@@ -277,10 +309,11 @@ def _parts(edges: DataFrame) -> DataFrame:
             return label
 
 
-def fk_cycles(tables: DataFrame, refs: DataFrame) -> DataFrame:
+def fk_cycles(tables: DataFrame, refs: DataFrame, piece: int = PIECE) -> DataFrame:
     """(model_id, cycle, tables): one cycle per reference that leads back into the walk from parents to children. Which cycles
-    are found depends on the order of the walk, so each connected part of the tables from which ways lead on is walked in one task. Frames
-    without model_id are one model."""
+    are found depends on the order of the walk, so each connected part of the tables from which ways lead on is walked in one task, which reads its references
+    and writes down little more than the tables. Cycles are numbered by counts and listed in pieces of some `piece` tables over all tasks, as
+    they can be far more than the references. Frames without model_id are one model."""
     tables, refs = (f if "model_id" in f.columns else f.withColumn("model_id", F.lit("model")) for f in (tables, refs))
     known = tables.select("model_id", F.col("table_id").alias("a"), F.col("table_ord").alias("t_rank"))
     edges = refs.select("model_id", F.col("parent_table").alias("a"), F.col("child_table").alias("b"), F.col("ref_ord").alias("rank")).filter("a <> b")
@@ -289,9 +322,15 @@ def fk_cycles(tables: DataFrame, refs: DataFrame) -> DataFrame:
     part = _parts(edges)
     rows = edges.join(part, ["model_id", "a"]).select("model_id", "part", F.lit(1).alias("kind"), "rank", "a", "b")
     rows = rows.union(part.join(known, ["model_id", "a"]).select("model_id", "part", F.lit(0), "t_rank", "a", F.lit(None).cast("string")))
-    found = rows.groupBy("model_id", "part").applyInPandas(_walk, "model_id string, start long, nth long, tables array<string>")
-    number = F.row_number().over(Window.partitionBy("model_id").orderBy("start", "nth")) - 1
-    return found.select("model_id", number.cast("long").alias("cycle"), "tables")
+    schema = "model_id string, part string, start long, nth long, piece long, at long, keep long, first long, added array<string>"
+    found = materialise(rows.groupBy("model_id", "part").applyInPandas(lambda x: _walk(x, piece), schema))
+    counts = found.groupBy("model_id", "part", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("model_id").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = found.join(counts.select("model_id", "part", "start", before.alias("before")), ["model_id", "part", "start"])
+    numbered = numbered.select("model_id", "part", "piece", "at", (F.col("before") + F.col("nth")).alias("cycle"), "keep", "first", "added")
+    n_parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = numbered.repartition(n_parts, "model_id", "part", "piece").sortWithinPartitions("model_id", "part", "piece", "at")
+    return pieces.select("model_id", "cycle", "keep", "first", "added").mapInPandas(_listed, "model_id string, cycle long, tables array<string>")
 
 
 def cycle_members(cycles: DataFrame) -> DataFrame:
