@@ -1,10 +1,11 @@
 """Text vectors by latent semantic analysis: a randomised singular value decomposition of the TF-IDF matrix.
 
 The features of a text are those of the lexical index (tokens weigh 1, canonical forms 0.7), hashed into a fixed number of
-columns. They are made once, in the JVM, added up by text and written down as arrays; every pass reads these. A pass multiplies the rows of a
+columns. They are made once, a row a word in the JVM, added up by text and written down as arrays; every pass reads these, and so does the encoding of the texts that
+a model was made of. A pass multiplies the rows of a
 task with a dense matrix of `rank + extra` columns (a few texts at a time, as a dense block over the features that they have) and, for the range
 of the matrix, back with their transpose; tasks add up their products in memory and hand on a row for each block of 1024 features, which
-Spark sums. So the matrix itself is never moved, and what the driver holds is features * (rank + extra) numbers, fixed by parameters.
+Spark sums; there are two tasks a core at most, so that these products don't grow with the table. So the matrix itself is never moved, and what the driver holds is features * (rank + extra) numbers, fixed by parameters.
 
 The model goes to every executor once, as a broadcast of features * rank single-precision numbers (16 MB by default), and texts are
 encoded by an Arrow function. Vectors have length 1; their dot product is the cosine of texts in the latent space.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..blocks import cosine_top, summed
-from ..functions.text import tokenize
+from ..functions.text import is_word, split_identifier, token_of, tokenize
 from ..session import materialise
 
 STEP, CHUNK, ROWS = 1024, 1 << 14, 128
@@ -85,6 +86,58 @@ def added_up(features: int):
     return run
 
 
+def added_words(features: int):
+    """Arrow function from rows (doc_id, place, whole, part) to doc_id and ENTRIES: a text begins at place 0, and what follows are its words' features."""
+
+    def rows(ids: pa.Array, starts: np.ndarray, whole: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        n, row = len(starts), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(whole))))
+        keys = [row[x >= 0] * features + x[x >= 0] for x in (whole, part)]
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        weight = np.bincount(at, np.repeat([1.0, 0.7], [len(k) for k in keys]), len(key))
+        ends = pa.array(np.searchsorted(key // features, np.arange(n + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key % features).astype(np.int32), weight)]
+        return pa.RecordBatch.from_arrays([ids, *lists], ["doc_id", "feature", "weight"])
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            # whole texts leave as soon as they are many words, or one text that is longer
+            begins = np.flatnonzero(batch.column("place").to_numpy() == 0)
+            if size >= 16 * CHUNK and len(begins) and size > batch.num_rows - begins[-1]:
+                yield done([*waiting[:-1], batch.slice(0, begins[-1])])
+                waiting = [batch.slice(begins[-1])]
+                size = waiting[0].num_rows
+        if size:
+            yield done(waiting)
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        starts = np.flatnonzero(t.column("place").to_numpy() == 0)
+        ids = pa.concat_arrays(t.column("doc_id").take(pa.array(starts)).chunks)
+        return rows(ids, starts, *(t.column(c).to_numpy() for c in ("whole", "part")))
+
+    return run
+
+
+def entries(docs: DataFrame, features: int = 1 << 16, synonyms: list[list[str]] | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ENTRIES) of every text, its features as `hashed_features` has them. Words are rows, as work on rows is compiled and that on the elements of an array isn't."""
+    number = lambda x: F.pmod(F.xxhash64(x), F.lit(features)).cast("int")
+    kind = dict(docs.dtypes)[ident]
+    # before the words of a text stands an empty one, which every text has
+    words = F.concat(F.array(F.lit("")), split_identifier(F.coalesce(F.col(text), F.lit(""))))
+    d = docs.select(F.col(ident).alias("doc_id"), F.posexplode(words).alias("place", "w"))
+    d = d.select(F.when(F.col("place") == 0, F.col("doc_id")).alias("doc_id"), "place", F.lower("w").alias("w")).filter((F.col("place") == 0) | is_word(F.col("w")))
+    token, canonical = token_of(F.col("w"), synonyms)
+    d = d.select("doc_id", "place", token.alias("token"), canonical.alias("canonical")).filter((F.col("place") == 0) | is_word(F.col("token")))
+    whole = F.when(F.col("place") == 0, -1).otherwise(number(F.col("token")))
+    other = (F.col("place") > 0) & (F.col("token") != F.col("canonical"))
+    part = F.when(other, number(F.col("canonical"))).otherwise(-1) if synonyms else F.lit(-1)  # without synonyms a token is its canonical form
+    return d.select("doc_id", "place", whole.alias("whole"), part.alias("part")).mapInArrow(added_words(features), f"doc_id {kind}, {ENTRIES}")
+
+
 def entries_of(batch: pa.RecordBatch):
     """(rows, row, feature, weight) of stretches of a batch of ENTRIES, as `sparse_rows` has them."""
     size = batch.column("feature").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -98,12 +151,12 @@ def entries_of(batch: pa.RecordBatch):
         lo = hi
 
 
-def dense_block(rows: int, row: np.ndarray, feature: np.ndarray, v: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+def dense_block(rows: int, row: np.ndarray, feature: np.ndarray, v: np.ndarray, features: int, kind: type = float) -> tuple[np.ndarray, np.ndarray]:
     """(used, block): the features that the rows have, rising, and the rows over these."""
     seen = np.zeros(features, bool)
     seen[feature] = True
     used = np.flatnonzero(seen)
-    block = np.zeros((rows, len(used)))
+    block = np.zeros((rows, len(used)), kind)
     block[row, (np.cumsum(seen) - 1)[feature]] = v
     return used, block
 
@@ -146,9 +199,13 @@ def _whole(parts: dict[int, np.ndarray], features: int, width: int) -> np.ndarra
 def fit(docs: DataFrame, rank: int = 64, features: int = 1 << 16, extra: int = 16, passes: int = 6, seed: int = 1, synonyms: list[list[str]] | None = None) -> LatentModel:
     """Model of docs (text): the leading `rank` right singular vectors of its TF-IDF matrix, rows of length 1. passes: products with the matrix and
     its transpose before the last one; each brings the range found nearer to the leading vectors."""
-    spark, width = docs.sparkSession, rank + extra
-    rows = hashed_features(docs.withColumn("doc_id", F.lit(0)), features, synonyms).select("whole", "part")
-    rows = materialise(rows.mapInArrow(added_up(features), ENTRIES))
+    return fit_entries(materialise(entries(docs.withColumn("doc_id", F.lit(0)), features, synonyms)), rank, features, extra, passes, seed)
+
+
+def fit_entries(rows: DataFrame, rank: int = 64, features: int = 1 << 16, extra: int = 16, passes: int = 6, seed: int = 1) -> LatentModel:
+    """The model of stored `entries`."""
+    spark, width = rows.sparkSession, rank + extra
+    rows = rows.select("feature", "weight").coalesce(2 * spark.sparkContext.defaultParallelism)
 
     def count(batches):
         df = np.zeros((features, 1))
@@ -169,8 +226,8 @@ def fit(docs: DataFrame, rank: int = 64, features: int = 1 << 16, extra: int = 1
             total = np.zeros(q.shape)
             for batch in batches:
                 for n, row, feature, weight in entries_of(batch):
-                    used, block = dense_block(n, row, feature, unit_entries(n, row, feature, weight, idf), features)
-                    total[used] += block.T @ (block @ q[used].astype(float))
+                    used, block = dense_block(n, row, feature, unit_entries(n, row, feature, weight, idf), features, np.float32)
+                    total[used] += block.T @ (block @ q[used])
             yield from _blocks(total)
 
         z = _whole(summed(rows.mapInArrow(there_and_back, "block int, data binary")), features, width)
@@ -187,8 +244,8 @@ def fit(docs: DataFrame, rank: int = 64, features: int = 1 << 16, extra: int = 1
         total = np.zeros((width, width))
         for batch in batches:
             for n, row, feature, weight in entries_of(batch):
-                used, block = dense_block(n, row, feature, unit_entries(n, row, feature, weight, idf), features)
-                y = block @ q[used].astype(float)
+                used, block = dense_block(n, row, feature, unit_entries(n, row, feature, weight, idf), features, np.float32)
+                y = (block @ q[used]).astype(float)
                 total += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
 
@@ -205,20 +262,27 @@ def fit(docs: DataFrame, rank: int = 64, features: int = 1 << 16, extra: int = 1
 
 def encode(texts: DataFrame, model: LatentModel, ident: str = "doc_id", text: str = "text", synonyms: list[list[str]] | None = None) -> DataFrame:
     """(doc_id, embedding): the vector of every text, of length 1, or of zeros for a text without a known feature."""
+    return encode_entries(entries(texts, len(model.idf), synonyms, ident, text), model)
+
+
+def encode_entries(rows: DataFrame, model: LatentModel) -> DataFrame:
+    """(doc_id, embedding) of `entries`."""
     features = len(model.idf)
-    sent, kind = texts.sparkSession.sparkContext.broadcast((model.idf, model.basis)), dict(texts.dtypes)[ident]
+    sent, kind = rows.sparkSession.sparkContext.broadcast((model.idf, model.basis)), dict(rows.dtypes)["doc_id"]
 
     def run(batches):
         idf, basis = sent.value
         for batch in batches:
-            for lo, n, row, feature, weight in sparse_rows(batch, features):
+            lo = 0
+            for n, row, feature, weight in entries_of(batch):
                 y = _times(n, row, feature, unit_entries(n, row, feature, weight, idf), basis)
                 norm = np.linalg.norm(y, axis=1, keepdims=True)
                 y = np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-12)
                 ends = pa.array(np.arange(n + 1, dtype=np.int32) * y.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], ["doc_id", "embedding"])
+                lo += n
 
-    return hashed_features(texts, features, synonyms, ident, text).mapInArrow(run, f"doc_id {kind}, embedding array<double>")
+    return rows.mapInArrow(run, f"doc_id {kind}, embedding array<double>")
 
 
 def semantic_top(docs: DataFrame, queries: DataFrame, model: LatentModel, k: int = 10) -> DataFrame:
